@@ -1,6 +1,9 @@
 """The queries of the corpus operators, and their SQL where SQL can express them."""
 
+from veriscope.llm.embedding_dedup import ORACLE as OP3_SQL
+from veriscope.llm.embedding_dedup import op3_embedding_dedup
 from veriscope.llm.quality_votes import op5_quality_rules
+from veriscope.llm.source_mix import op8_source_mix
 
-QUERIES = {"op5_quality_rules": op5_quality_rules}
-ORACLES = {}
+QUERIES = {"op3_embedding_dedup": op3_embedding_dedup, "op5_quality_rules": op5_quality_rules, "op8_source_mix": op8_source_mix}
+ORACLES = {"op3_embedding_dedup": OP3_SQL}
