@@ -178,13 +178,14 @@ AROUND = [
     "<form><p>{}</p><label>{}</label></form>",
     '<div class="comments"><h3>{}</h3><p>{}</p></div>',
     '<section id="comments"><ul><li>{}</li></ul></section>',
+    '<section class="comments"><article><p>{}</p></article><article><p>{}</p></article></section>',
     '<div class="share">{}</div>',
     "<p><a href=x>{}</a> | <a href=x>{}</a></p>",
     "<div><a href=x>{}</a> <a href=x>Privacy</a></div>",
 ]
 
 
-def training_blocks(pages: int = 500, seed: int = 7):
+def training_blocks(pages: int = 1500, seed: int = 7):
     """The labelled table: blocks of pages dealt from CONTENT and AROUND with texts of any length, in any order.
 
     Returns features and whether the block is content. Sidebars, adverts and the like also stand inside articles.
