@@ -6,6 +6,7 @@ from veriscope.llm.html_text import op1_html_extraction
 from veriscope.llm.quality_votes import op5_quality_rules
 from veriscope.llm.secret_crf import op2_secret_crf
 from veriscope.llm.source_mix import op8_source_mix
+from veriscope.llm.toxic_cnn import op4_toxic_cnn
 
-QUERIES = {"op1_html_extraction": op1_html_extraction, "op2_secret_crf": op2_secret_crf, "op3_embedding_dedup": op3_embedding_dedup, "op5_quality_rules": op5_quality_rules, "op8_source_mix": op8_source_mix}
+QUERIES = {"op1_html_extraction": op1_html_extraction, "op2_secret_crf": op2_secret_crf, "op3_embedding_dedup": op3_embedding_dedup, "op4_toxic_cnn": op4_toxic_cnn, "op5_quality_rules": op5_quality_rules, "op8_source_mix": op8_source_mix}
 ORACLES = {"op3_embedding_dedup": OP3_SQL}
