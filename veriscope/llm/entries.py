@@ -5,8 +5,18 @@ from veriscope.llm.embedding_dedup import op3_embedding_dedup
 from veriscope.llm.html_text import op1_html_extraction
 from veriscope.llm.quality_votes import op5_quality_rules
 from veriscope.llm.secret_crf import op2_secret_crf
+from veriscope.llm.shingle_join import ORACLE as OP9_SQL
+from veriscope.llm.shingle_join import op9_shingle_join
 from veriscope.llm.source_mix import op8_source_mix
 from veriscope.llm.toxic_cnn import op4_toxic_cnn
 
-QUERIES = {"op1_html_extraction": op1_html_extraction, "op2_secret_crf": op2_secret_crf, "op3_embedding_dedup": op3_embedding_dedup, "op4_toxic_cnn": op4_toxic_cnn, "op5_quality_rules": op5_quality_rules, "op8_source_mix": op8_source_mix}
-ORACLES = {"op3_embedding_dedup": OP3_SQL}
+QUERIES = {
+    "op1_html_extraction": op1_html_extraction,
+    "op2_secret_crf": op2_secret_crf,
+    "op3_embedding_dedup": op3_embedding_dedup,
+    "op4_toxic_cnn": op4_toxic_cnn,
+    "op5_quality_rules": op5_quality_rules,
+    "op8_source_mix": op8_source_mix,
+    "op9_shingle_join": op9_shingle_join,
+}
+ORACLES = {"op3_embedding_dedup": OP3_SQL, "op9_shingle_join": OP9_SQL}
