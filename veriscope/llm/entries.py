@@ -4,6 +4,7 @@ from veriscope.llm.embedding_dedup import ORACLE as OP3_SQL
 from veriscope.llm.embedding_dedup import op3_embedding_dedup
 from veriscope.llm.html_text import op1_html_extraction
 from veriscope.llm.quality_votes import op5_quality_rules
+from veriscope.llm.repair_shards import op10_repair_shards
 from veriscope.llm.secret_crf import op2_secret_crf
 from veriscope.llm.shingle_join import ORACLE as OP9_SQL
 from veriscope.llm.shingle_join import op9_shingle_join
@@ -18,5 +19,6 @@ QUERIES = {
     "op5_quality_rules": op5_quality_rules,
     "op8_source_mix": op8_source_mix,
     "op9_shingle_join": op9_shingle_join,
+    "op10_repair_shards": op10_repair_shards,
 }
 ORACLES = {"op3_embedding_dedup": OP3_SQL, "op9_shingle_join": OP9_SQL}
