@@ -41,7 +41,7 @@ _kept: dict = {}
 
 
 def encoder(vocabulary: str):
-    """texts -> uint16 id arrays, as the tokenizers library encodes each whole text.
+    """(texts -> uint16 id arrays, as the tokenizers library encodes each whole text; the number of ids it has).
 
     The vocabulary drops white space and never joins two words over it, so the ids of a text are those of its words;
     a word is encoded by the library once and kept.
@@ -66,7 +66,7 @@ def encoder(vocabulary: str):
         get = store.__getitem__
         return [np.frombuffer(b"".join(map(get, w)), "<u2") if w is not None else np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u2") for w, t in zip(cut, texts)]
 
-    return encode
+    return encode, tokenizer.get_vocab_size()
 
 
 def compress(ids: np.ndarray, starts: np.ndarray, first: int, rounds: int = ROUNDS):
@@ -150,8 +150,8 @@ def _write(vocabulary, end, shard_ids):
     def run(batches):
         from pyspark import TaskContext
 
-        encode, part = encoder(vocabulary), TaskContext.get().partitionId()
-        first = max(_kept[vocabulary][0].get_vocab_size(), end + 1)
+        (encode, size), part = encoder(vocabulary), TaskContext.get().partitionId()
+        first = max(size, end + 1)
         docs, ids, size, shard = [], [], 0, 0
         tail = np.array([end], np.uint16)
 
