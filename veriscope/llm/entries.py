@@ -1,5 +1,6 @@
 """The queries of the corpus operators, and their SQL where SQL can express them."""
 
+from veriscope.llm.byte_bpe import op6_byte_bpe
 from veriscope.llm.embedding_dedup import ORACLE as OP3_SQL
 from veriscope.llm.embedding_dedup import op3_embedding_dedup
 from veriscope.llm.html_text import op1_html_extraction
@@ -17,6 +18,7 @@ QUERIES = {
     "op3_embedding_dedup": op3_embedding_dedup,
     "op4_toxic_cnn": op4_toxic_cnn,
     "op5_quality_rules": op5_quality_rules,
+    "op6_byte_bpe": op6_byte_bpe,
     "op8_source_mix": op8_source_mix,
     "op9_shingle_join": op9_shingle_join,
     "op10_repair_shards": op10_repair_shards,
