@@ -10,6 +10,7 @@ from veriscope.llm.secret_crf import op2_secret_crf
 from veriscope.llm.shingle_join import ORACLE as OP9_SQL
 from veriscope.llm.shingle_join import op9_shingle_join
 from veriscope.llm.source_mix import op8_source_mix
+from veriscope.llm.suffix_dedup import op7_suffix_dedup
 from veriscope.llm.toxic_cnn import op4_toxic_cnn
 
 QUERIES = {
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_toxic_cnn": op4_toxic_cnn,
     "op5_quality_rules": op5_quality_rules,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_source_mix": op8_source_mix,
     "op9_shingle_join": op9_shingle_join,
     "op10_repair_shards": op10_repair_shards,
