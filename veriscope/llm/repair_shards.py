@@ -19,6 +19,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -31,7 +32,7 @@ from veriscope.llm.common import shared_dir, table
 SHARD_IDS, ROUNDS, PAIRS, LEAST = 1 << 20, 4, 3500, 24
 END = 2
 #: Words kept with their ids in a worker; beyond, the store starts anew. Only speed depends on it.
-STORE = 1_000_000
+STORE = 1_500_000
 
 SHARD_SCHEMA = "part int, shard int, doc_ids array<long>, offsets binary, n_ids long, first int, rules binary, lengths binary, stream binary"
 
@@ -62,13 +63,17 @@ def encoder(vocabulary: str):
         if new:
             new = list(new)
             for w, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                store[w] = np.array(e.ids, "<u2").tobytes()
+                store[w] = array("H", e.ids).tobytes()
         get = store.__getitem__
         return [np.frombuffer(b"".join(map(get, w)), "<u2") if w is not None else np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u2") for w, t in zip(cut, texts)]
 
     return encode, tokenizer.get_vocab_size()
 
 
+def _slot(keys: np.ndarray) -> np.ndarray:
+    return (keys * np.uint32(0x9E3779B1)) >> np.uint32(16)
+
+
 def compress(ids: np.ndarray, starts: np.ndarray, first: int, rounds: int = ROUNDS):
     """Re-Pair over a shard: ids (all below first), where its documents start -> stream, starts in it, rules, lengths."""
     stream, starts, rules = ids.astype(np.uint32), starts.copy(), []
@@ -88,7 +93,7 @@ def compress(ids: np.ndarray, starts: np.ndarray, first: int, rounds: int = ROUN
         firsts, seconds, chosen = set(), set(), []
         for p in pair[often].tolist():
             a, b = p >> 16, p & 0xFFFF
-            if a not in seconds and b not in firsts and a != b:
+            if p and a not in seconds and b not in firsts and a != b:
                 firsts.add(a)
                 seconds.add(b)
                 chosen.append(p)
@@ -97,14 +102,15 @@ def compress(ids: np.ndarray, starts: np.ndarray, first: int, rounds: int = ROUN
         if not chosen:
             break
         chosen = np.array(chosen, np.uint32)
-        order = np.argsort(chosen)
-        is_first = np.zeros(1 << 16, bool)
-        is_first[list(firsts)] = True
-        at = np.flatnonzero(is_first[stream[:-1]] & ok)
-        where = np.minimum(np.searchsorted(chosen[order], keys[at]), len(chosen) - 1)
-        hit = chosen[order][where] == keys[at]
-        at, symbol = at[hit], top + order[where[hit]]
-        stream[at] = symbol
+        # one pair for each slot of a table; one that meets a taken slot waits for a later round
+        slot = _slot(chosen)
+        _, alone = np.unique(slot, return_index=True)
+        chosen, slot = chosen[np.sort(alone)], slot[np.sort(alone)]
+        has, symbol = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.uint32)
+        has[slot], symbol[slot] = chosen, top + np.arange(len(chosen))
+        slots = _slot(keys)
+        at = np.flatnonzero((has[slots] == keys) & (keys > 0) & ok)
+        stream[at] = symbol[slots[at]]
         keep = np.ones(len(stream), bool)
         keep[at + 1] = False
         before = np.concatenate([[0], np.cumsum(keep)])
@@ -119,18 +125,14 @@ def compress(ids: np.ndarray, starts: np.ndarray, first: int, rounds: int = ROUN
 def expansions(first: int, rules: np.ndarray, lengths: np.ndarray):
     """The ids of each nonterminal, one after the other, and where each begins."""
     begin = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
-    out = np.empty(begin[-1], np.uint16)
-    for k, (a, b) in enumerate(rules.tolist()):
-        at = begin[k]
-        for s in (a, b):
-            if s < first:
-                out[at] = s
-                at += 1
-            else:
-                n = int(lengths[s - first])
-                out[at : at + n] = out[begin[s - first] : begin[s - first] + n]
-                at += n
-    return out, begin[:-1]
+    data, done = np.zeros(0, np.uint16), 0
+    most = np.maximum.accumulate(rules.max(1).astype(np.int64)) if len(rules) else np.zeros(0, np.int64)
+    while done < len(rules):
+        # the next rules whose symbols are all known
+        upto = int(np.searchsorted(most, first + done))
+        data = np.concatenate([data, decode(rules[done:upto].ravel(), first, lengths, (data, begin[:-1]))])
+        done = upto
+    return data, begin[:-1]
 
 
 def decode(stream: np.ndarray, first: int, lengths: np.ndarray, expanded) -> np.ndarray:
