@@ -23,10 +23,8 @@ from pyspark.sql import functions as F
 
 from veriscope.llm.common import fresh, let, table
 
-#: Maps in a literal, by the lowest bits of a piece's hash.
-BUCKETS = 1 << 16
 #: Distinct words whose ids are kept, found in about so many documents.
-KEPT_WORDS, SAMPLE_DOCS = 60_000, 20_000
+KEPT_WORDS, SAMPLE_DOCS = 150_000, 20_000
 _NO_PAIR = 2**31 - 1
 
 
@@ -35,18 +33,37 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, f)}
 
 
-def _bucket(key) -> F.Column:
-    return F.hash(key).bitwiseAND(BUCKETS - 1)
+def _slot(key, level: int, bits: int) -> F.Column:
+    return F.hash(key, F.lit(level)).bitwiseAND((1 << bits) - 1)
 
 
 def _literal_map(spark, items: dict, kind: str):
-    """key column -> value or null, from a literal; the keys' hashes are Spark's."""
-    keys = spark.createDataFrame([(k,) for k in items], "k string") if items else spark.createDataFrame([], "k string")
-    maps: list[dict] = [{} for _ in range(BUCKETS)]
-    for r in keys.select("k", _bucket(F.col("k")).alias("b")).collect():  # the vocabulary, or KEPT_WORDS words
-        maps[r["b"]][r["k"]] = items[r["k"]]
-    literal = F.from_json(F.lit(json.dumps(maps)), F.lit(f"array<map<string,{kind}>>"))  # folded into a literal when the plan is made
-    return lambda key: F.try_element_at(F.get(literal, _bucket(key)), key)
+    """key column -> value or null, from literals; the keys' hashes are Spark's.
+
+    Each level is an array of keys by the slot of their hash, and one of their values; keys that meet a taken slot go
+    to the next level. An empty slot says that there is no such key.
+    """
+    levels, left = [], items
+    while left:
+        level, bits = len(levels), max(len(left) * 4 - 1, 1).bit_length()
+        keys: list = [None] * (1 << bits)
+        for r in spark.createDataFrame([(k,) for k in left], "k string").select("k", _slot(F.col("k"), level, bits).alias("s")).collect():  # the vocabulary, or KEPT_WORDS words
+            keys[r["s"]] = keys[r["s"]] or r["k"]
+        values = [None if k is None else items[k] for k in keys]
+        # folded into literals when the plan is made
+        levels.append((bits, F.from_json(F.lit(json.dumps(keys)), F.lit("array<string>")), F.from_json(F.lit(json.dumps(values)), F.lit(f"array<{kind}>"))))
+        here = set(keys)
+        left = [k for k in left if k not in here]
+
+    def look(key, level):
+        if level == len(levels):
+            return F.lit(None).cast(kind)
+        bits, keys, values = levels[level]
+        slot = _slot(key, level, bits)
+        found = F.get(keys, slot)
+        return F.when(found == key, F.get(values, slot)).when(found.isNotNull(), look(key, level + 1))
+
+    return lambda key: look(key, 0)
 
 
 class Bpe:

@@ -1,15 +1,16 @@
 """Near-duplicate texts by the Jaccard similarity of their word n-grams: a blocked sparse product of the incidence matrix.
 
 Rows of the matrix are the distinct n-gram sets, columns the n-grams (64-bit hashes of lower-cased words). Identical
-sets are one row. For the product, a set needs to enter only its first n - ceil(t n) + 1 columns in some order common
-to all (t the similarity; two sets that share none of these cannot reach t). The order puts frequent columns last, by
-a fixed-size table of counts, so columns that many documents share are hardly ever multiplied.
+sets are one row. For the product, a set needs to enter only its first n - ceil(t n) + SHARED columns in some order
+common to all (t the similarity; two sets that share fewer than SHARED of these cannot reach t). The order puts
+frequent columns last, by a fixed-size table of counts, so columns that many documents share are hardly ever multiplied.
 
-Columns are dealt into blocks. In each, sets that share a column become candidates unless their sizes, or their
-positions in that column, bound the overlap below what t needs; what is left is counted over the full sets. Long
-columns are multiplied in two steps, so that groups of copies cost no square of their size: first with their first
-set and each with the next one; then, when these links have made components, block by block between different ones.
-Every pair at or above t is found or lies within one component already.
+Columns are dealt into blocks. In each, the overlaps of sets that share columns are counted, unless their sizes, or
+their positions in a column, bound the overlap below what t needs; counts are summed over the blocks, and pairs of
+too few are discarded. What is left is counted over the full sets. Long columns are multiplied in two steps, so that
+groups of copies cost no square of their size: first with their first set and each with the next one; then, when these
+links have made components, block by block between different ones. Every pair at or above t is found or lies within
+one component already.
 
 Defined results: a null text, an empty one and one of white space have no n-grams, n_shingles 0, and are linked with
 nothing; fewer words than n count as one n-gram; repeated rows get equal results, row by row; rows of one id with
@@ -31,6 +32,8 @@ from veriscope.llm.components import connected_components
 
 #: log2 of the counters in the table of column counts, and how many go in one row of it.
 SKETCH_BITS, CHUNK = 20, 1 << 14
+#: Columns that two sets must share among their first ones (fewer where the sets are smaller).
+SHARED = 4
 #: A column with more sets than this is multiplied in two steps; sets in a block of such a column.
 LONG, BLOCK = 32, 256
 #: Characters hashed together, to bound memory; a longer text is hashed alone, and whole.
@@ -130,6 +133,11 @@ def _levels(sketch: DataFrame) -> bytes:
     return np.clip(2 * np.log2(np.maximum(counts / mean, 1)), 0, 255).astype(np.uint8).tobytes()
 
 
+def _least(size, percent):
+    """How many of its first columns a set of this size must share with any set that it links to."""
+    return np.minimum(SHARED, -(-percent * size // 100))
+
+
 def _prefixes(n, percent, levels):
     """Each set's first columns, in the common order."""
 
@@ -140,7 +148,7 @@ def _prefixes(n, percent, levels):
             for s in shingle_sets(b["text"], n):
                 s = s[np.argsort(level[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")]
                 size.append(len(s))
-                cols.append(s[: len(s) - (-(-percent * len(s) // 100)) + 1].tobytes() if len(s) else b"")
+                cols.append(s[: len(s) - (-(-percent * len(s) // 100)) + _least(len(s), percent)].tobytes() if len(s) else b"")
             yield pd.DataFrame({"id": b["id"], "n": size, "cols": cols})
 
     return run
@@ -169,16 +177,19 @@ def _deal(blocks):
 
 
 def _reachable(na, nb, ia, ib, percent):
-    """Whether sets of these sizes that first meet at these positions can still reach the similarity."""
-    need = -(-percent * (na.astype(np.int64) + nb) // (100 + percent))
-    return (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & (1 + np.minimum(na - ia - 1, nb - ib - 1) >= need)
+    """Whether sets of these sizes that meet at these positions can reach the similarity: at all, and if they meet here first."""
+    na, nb = na.astype(np.int64), nb.astype(np.int64)
+    need = -(-percent * (na + nb) // (100 + percent))
+    rest = 1 + np.minimum(na - ia - 1, nb - ib - 1)
+    fit = 100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)
+    return fit & (np.minimum(ia, ib) + rest >= need), fit & (rest >= need)
 
 
-_FOUND = "a long, b long, h long, part int, docs binary, sizes binary"
+_FOUND = "a long, b long, n int, least int, first boolean, h long, part int, docs binary, sizes binary, places binary"
 
 
 def _multiply(percent):
-    """Candidate pairs of a block of columns; long columns give first pairs, and themselves in parts."""
+    """Counts of shared columns by pair, of a block; long columns give some pairs, and themselves in parts."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         h, doc, size, pos = (np.concatenate([np.frombuffer(x, t) for x in rows[c]]) for c, t in (("h", np.uint64), ("doc", np.int64), ("size", np.int32), ("pos", np.int32)))
@@ -187,27 +198,28 @@ def _multiply(percent):
         cut = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         length = np.diff(np.append(cut, len(h)))
         long = np.repeat(length > LONG, length)
-        pairs = []
+        pairs, parts = [], []
+
+        def add(i, j, settled):
+            ok, first = _reachable(size[i], size[j], pos[i], pos[j], percent)
+            ok &= doc[i] != doc[j]
+            i, j = i[ok], j[ok]
+            least = np.minimum(_least(size[i], percent), _least(size[j], percent))
+            pairs.append((np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j]), least if settled else np.ones(len(i), np.int32), least, np.full(len(i), True) if settled else first[ok]))
+
         for d in range(1, LONG):
             i = np.flatnonzero((h[d:] == h[:-d]) & ~long[d:])
             if not len(i):
                 break
-            pairs.append((i, i + d))
-        parts = []
+            add(i, i + d, False)
         for c, m in zip(cut[length > LONG], length[length > LONG]):
             at = np.arange(c, c + m)
-            pairs += [(np.full(m - 1, c), at[1:]), (at[:-1], at[1:])]
-            parts += [(int(h[c].astype(np.int64)), k // BLOCK, doc[at[k : k + BLOCK]].tobytes(), size[at[k : k + BLOCK]].tobytes()) for k in range(0, m, BLOCK)]
-        i, j = (np.concatenate([p[k] for p in pairs]) if pairs else np.zeros(0, np.int64) for k in (0, 1))
-        ok = _reachable(size[i], size[j], pos[i], pos[j], percent) & (doc[i] != doc[j])
-        a, b = np.minimum(doc[i], doc[j])[ok], np.maximum(doc[i], doc[j])[ok]
-        both = np.unique(np.stack([a, b], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
-        none = pd.array([None] * len(both), dtype="Int64")
-        return pd.DataFrame({
-            "a": pd.array([*both[:, 0], *[None] * len(parts)], dtype="Int64"), "b": pd.array([*both[:, 1], *[None] * len(parts)], dtype="Int64"),
-            "h": pd.array([*none, *[p[0] for p in parts]], dtype="Int64"), "part": pd.array([*none, *[p[1] for p in parts]], dtype="Int32"),
-            "docs": [None] * len(both) + [p[2] for p in parts], "sizes": [None] * len(both) + [p[3] for p in parts],
-        })
+            add(np.full(m - 1, c), at[1:], True)
+            add(at[:-1], at[1:], True)
+            parts += [(int(h[c].astype(np.int64)), k // BLOCK, doc[at[k : k + BLOCK]].tobytes(), size[at[k : k + BLOCK]].tobytes(), pos[at[k : k + BLOCK]].tobytes()) for k in range(0, m, BLOCK)]
+        found = pd.DataFrame({k: np.concatenate([p[i] for p in pairs]) if pairs else np.zeros(0, np.int64) for i, k in enumerate(("a", "b", "n", "least", "first"))})
+        found = found.groupby(["a", "b"], as_index=False).agg(n=("n", "sum"), least=("least", "first"), first=("first", "max"))
+        return pd.concat([found, pd.DataFrame(parts, columns=["h", "part", "docs", "sizes", "places"])]).astype({"a": "Int64", "b": "Int64", "n": "Int32", "least": "Int32", "first": "boolean", "h": "Int64", "part": "Int32"})
 
     return run
 
@@ -219,9 +231,9 @@ def _across(percent):
         for b in batches:
             found = []
             for x in b.itertuples(index=False):
-                d, s, c = (np.frombuffer(v, np.int64) for v in (x.docs, x.sizes, x.comps))
-                e, t, f = (np.frombuffer(v, np.int64) for v in (x.docs2, x.sizes2, x.comps2))
-                ok = (c[:, None] != f[None]) & (100 * np.minimum(s[:, None], t[None]) >= percent * np.maximum(s[:, None], t[None]))
+                d, s, p, c = (np.frombuffer(v, np.int64) for v in (x.docs, x.sizes, x.places, x.comps))
+                e, t, q, f = (np.frombuffer(v, np.int64) for v in (x.docs2, x.sizes2, x.places2, x.comps2))
+                ok = (c[:, None] != f[None]) & _reachable(s[:, None], t[None], p[:, None], q[None], percent)[0]
                 if x.part == x.part2:
                     ok &= np.arange(len(d))[:, None] < np.arange(len(e))[None]
                 i, j = np.nonzero(ok)
@@ -277,9 +289,9 @@ def components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "do
     blocks = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = cols.mapInPandas(_deal(blocks), "block int, h binary, doc binary, size binary, pos binary")
     found = written(dealt.groupBy("block").applyInPandas(_multiply(percent), _FOUND), "shingle-pairs")
-    links = written(_linked(found.where("a is not null").select("a", "b").distinct(), d, n, percent), "shingle-links")
+    links = written(_linked(_enough(found), d, n, percent), "shingle-links")
     comps = connected_components(links)
-    parts = found.where("h is not null").select("h", "part", "docs", "sizes")
+    parts = found.where("h is not null").select("h", "part", "docs", "sizes", "places")
     if not parts.isEmpty():
         more = _linked(_rest(parts, comps, percent), d, n, percent)
         comps = connected_components(links.union(more))
@@ -287,26 +299,32 @@ def components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "do
     return joined.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component_id"))
 
 
+def _enough(found: DataFrame) -> DataFrame:
+    """Pairs that share as many columns as they must, and could reach the similarity where they first meet."""
+    by = found.where("a is not null").groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("least").alias("least"), F.max("first").alias("first"))
+    return by.where("n >= least and first").select("a", "b")
+
+
 def _unpack(batches):
     for b in batches:
         k = [len(x) // 8 for x in b["docs"]]
         cat = lambda c, t: np.concatenate([np.frombuffer(x, t) for x in b[c]]) if len(b) else np.zeros(0, t)
-        yield pd.DataFrame({"h": np.repeat(b["h"].to_numpy(np.int64), k), "part": np.repeat(b["part"].to_numpy(np.int32), k), "doc": cat("docs", np.int64), "size": cat("sizes", np.int32).astype(np.int64)})
+        yield pd.DataFrame({"h": np.repeat(b["h"].to_numpy(np.int64), k), "part": np.repeat(b["part"].to_numpy(np.int32), k), "doc": cat("docs", np.int64), "size": cat("sizes", np.int32).astype(np.int64), "place": cat("places", np.int32).astype(np.int64)})
 
 
 def _pack(rows: pd.DataFrame) -> pd.DataFrame:
     r = rows.iloc[0]
-    return pd.DataFrame({"h": [r["h"]], "part": [r["part"]], "least": [rows["size"].min()], "most": [rows["size"].max()], **{c: [rows[k].to_numpy(np.int64).tobytes()] for c, k in (("docs", "doc"), ("sizes", "size"), ("comps", "comp"))}})
+    return pd.DataFrame({"h": [r["h"]], "part": [r["part"]], "least": [rows["size"].min()], "most": [rows["size"].max()], **{c: [rows[k].to_numpy(np.int64).tobytes()] for c, k in (("docs", "doc"), ("sizes", "size"), ("places", "place"), ("comps", "comp"))}})
 
 
 def _rest(parts: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
     """Pairs of long columns that the first links have not settled: those between different components."""
-    one = parts.mapInPandas(_unpack, "h long, part int, doc long, size long").join(comps, F.col("doc") == F.col("id"), "left")
-    one = written(one.select("h", "part", "doc", "size", F.coalesce("component", "doc").alias("comp")), "shingle-long")
+    one = parts.mapInPandas(_unpack, "h long, part int, doc long, size long, place long").join(comps, F.col("doc") == F.col("id"), "left")
+    one = written(one.select("h", "part", "doc", "size", "place", F.coalesce("component", "doc").alias("comp")), "shingle-long")
     open_ = one.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("h")
-    packed = one.join(open_, "h", "left_semi").groupBy("h", "part").applyInPandas(_pack, "h long, part int, least long, most long, docs binary, sizes binary, comps binary")
+    packed = one.join(open_, "h", "left_semi").groupBy("h", "part").applyInPandas(_pack, "h long, part int, least long, most long, docs binary, sizes binary, places binary, comps binary")
     packed = written(packed, "shingle-parts")
-    other = packed.select(F.col("h").alias("h2"), *[F.col(c).alias(f"{c}2") for c in ("part", "least", "most", "docs", "sizes", "comps")])
+    other = packed.select(F.col("h").alias("h2"), *[F.col(c).alias(f"{c}2") for c in ("part", "least", "most", "docs", "sizes", "places", "comps")])
     meet = (F.col("h") == F.col("h2")) & (F.col("part") <= F.col("part2")) & (100 * F.col("most") >= percent * F.col("least2")) & (100 * F.col("most2") >= percent * F.col("least"))
     return packed.join(other, meet).repartition(F.col("h"), F.col("part"), F.col("part2")).mapInPandas(_across(percent), "a long, b long").distinct()
 

@@ -289,7 +289,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     sent = d.select("key", "text").mapInPandas(_send_anchors(blocks), "block int, h binary, of binary, keys binary")
     again = sent.groupBy("block").applyInPandas(_repeated, "key long, hs binary")
     wanted = again.groupBy("key").agg(F.collect_list("hs").alias("hs")).join(first, "key").select(F.col("first").alias("id"), "digest", "hs")
-    asked = d.select("id", "digest", "text").join(wanted, ["id", "digest"]).select("id", "text", "hs").dropDuplicates(["id", "hs"])
+    asked = d.select("id", "digest", "text").join(wanted, ["id", "digest"]).select("id", "text", "hs")
     around = written(asked.mapInPandas(_send_surroundings(blocks), _SENT), "passage-anchors")
     sorted_ = around.where("block is not null").groupBy("block").applyInPandas(_sort_block, "id long, s long, e long")
     runs = sorted_.union(around.where("block is null").select("id", F.col("s").cast("long"), F.col("e").cast("long")))

@@ -114,7 +114,7 @@ on_reports(
     "explanation", lambda r: r.select("id", E.explanation(F.col("risk_level"), F.col("matched_keyword"), F.col("context_flag"), F.element_at("scores", "toxicity")).alias("explanation")),
     """SELECT id, CASE WHEN p <> '' THEN p WHEN risk_level = 'HIGH' THEN 'Combined signals indicated high risk' WHEN risk_level = 'MEDIUM' THEN 'Combined signals indicated moderate risk' ELSE 'No harmful signals detected' END AS explanation
     FROM (SELECT *, concat_ws(' | ', CASE WHEN matched_keyword IS NOT NULL THEN 'Matched lexicon keyword: ' || matched_keyword END, CASE WHEN context_flag THEN 'Context check flagged hate or incitement risk' END,
-      CASE WHEN toxicity >= 0.7 THEN printf('High toxicity score: %.2f', round(toxicity, 2)) WHEN toxicity >= 0.4 THEN printf('Moderate toxicity score: %.2f', round(toxicity, 2)) END) AS p FROM r)""",
+      CASE WHEN toxicity >= 0.7 THEN printf('High toxicity score: %.2f', floor(toxicity * 100 + 0.5) / 100) WHEN toxicity >= 0.4 THEN printf('Moderate toxicity score: %.2f', floor(toxicity * 100 + 0.5) / 100) END) AS p FROM r)""",
 )
 _BI = ["id", "date_only", "hour", "day_number", "weekend", "max_toxicity_score", "toxicity_category", "region_group", "detection_source", "high_confidence", "content_type", "length_category"]
 on_reports(
