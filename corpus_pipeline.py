@@ -1,25 +1,53 @@
-"""The corpus pipeline: quality rules, near duplicates, secrets, mixing, tokens."""
+"""The corpus pipeline: quality rules, near duplicates, secrets, mixing, tokens.
+
+Each stage takes all documents that the one before kept. The first four return the columns of documents; the last
+returns each document of the mix with its tokens.
+"""
 
 from __future__ import annotations
 
-from veriscope.llm import quality_votes
+from pyspark.sql import functions as F
+
+from veriscope.llm import byte_bpe, quality_votes, secret_crf, shingle_join, source_mix
+from veriscope.llm.common import table, written
 
 
 def quality(spark, docs, sf_dir):
-    """Documents that the quality rules reject go."""
+    """Documents that the base rules or the weighed votes reject go."""
     return quality_votes.filter_quality(docs)
 
 
-STAGES = [("quality_rules", quality)]
+def near_duplicates(spark, docs, sf_dir):
+    """One document stays of each group of near-duplicates (five-word shingles, similarity 0.8 or more): the smallest id."""
+    return shingle_join.one_of_each(docs, n=5, percent=80)
+
+
+def secrets(spark, docs, sf_dir):
+    """Secrets are replaced by a mark; n_chars follows the text."""
+    return secret_crf.redact(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def mixture(spark, docs, sf_dir):
+    """Documents are taken as often as the mix of sources takes them: left out, once or twice."""
+    return source_mix.sample_mix(docs)
 
-#: SQL cannot express the stages; tests hold them against brute force.
+
+def tokens(spark, docs, sf_dir):
+    """Token ids of each document: doc_id, lang, source, n_tokens, ids."""
+    import public_tokenizers
+
+    coded, _ = byte_bpe.tokenize(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+
+
+STAGES = [("quality_rules", quality), ("shingle_join", near_duplicates), ("secret_crf", secrets), ("source_mix", mixture), ("byte_bpe", tokens)]
+
+#: SQL cannot express the stages (EM, a trained field, tokens); tests hold them against brute force.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
     """The stages, one after the other, over documents; each result is written to the shared folder and read back."""
-    from veriscope.llm.common import table, written
-
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
