@@ -36,7 +36,7 @@ def page_candidates(pages: DataFrame, domains) -> DataFrame:
     html = F.coalesce("html", F.lit(""))
     unescaped = lambda t: _unescape(t)
     title = X.collapse(unescaped(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)))
-    body = F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style|nav|header|footer|aside|form|head)\b.*?</\1\s*>", " ")
+    body = F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style|nav|header|footer|aside|form|head|title)\b.*?</\1\s*>", " ")
     text = X.collapse(unescaped(F.regexp_replace(body, "<[^>]+>", " ")))
     c = domain_allow(pages, domains).select(X.normalise_url(F.col("url")).alias("url"), title.alias("title"), text.alias("t"))
     joined = F.regexp_replace(F.concat("title", F.lit("\n\n"), "t"), r"^\s+|\s+$", "")
