@@ -20,6 +20,7 @@ columns are ignored. Texts are used whole.
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -29,8 +30,10 @@ from pyspark.sql import functions as F
 from veriscope.llm.common import table, written
 
 #: Bytes of a passage; bytes of an anchor; anchors inside a passage.
-LENGTH, GRAM = 50, 24
+LENGTH, GRAM = 50, 20
 WINDOW = LENGTH - GRAM + 1
+#: Bits kept of an anchor's hash. Anchors that share a hash by chance are only compared in vain.
+HASH_BITS = 48
 #: A difference cover: every distance modulo PERIOD is the difference of two of its members.
 PERIOD, COVER = 13, (0, 1, 3, 9)
 #: Bytes of a sample: what is left of LENGTH after the longest way to a cover position.
@@ -63,10 +66,11 @@ def anchors(data: np.ndarray, ends: np.ndarray):
     h += eight[8 : n + 8] * _M[1]
     h ^= h >> np.uint64(29)
     h *= _M[2]
-    h += eight[16 : n + 16] * _M[3]
+    h += eight[GRAM - 8 : n + GRAM - 8] * _M[3]
     h ^= h >> np.uint64(32)
     h *= _M[1]
     h ^= h >> np.uint64(30)
+    h >>= np.uint64(64 - HASH_BITS)
     h |= np.uint64(1)  # 0 marks windows that are none
     least = _extreme(h, WINDOW, np.minimum)
     for e in ends[:-1]:  # windows over the end of a text
@@ -102,7 +106,7 @@ def _unplaned(b: bytes, dtype) -> np.ndarray:
 
 def _by_block(h, blocks):
     """Positions by block of a hash, in order of the hash: (block, positions)."""
-    block = (h >> np.uint64(40)) % np.uint64(blocks)
+    block = (h >> np.uint64(1)) % np.uint64(blocks)
     order = np.lexsort((h, block))
     cut = np.flatnonzero(np.diff(block[order].astype(np.int64), prepend=-1))
     for a, e in zip(cut, [*cut[1:], len(order)]):
@@ -166,7 +170,13 @@ def _surroundings(data, ends, at):
     return around, low, high, text, begin
 
 
-_SENT = "block int, h binary, doc binary, pos binary, low binary, high binary, around binary, id long, s int, e int"
+_SENT = "block int, h binary, doc binary, pos binary, low binary, high binary, around binary, id binary, s binary, e binary"
+
+
+def _settled(block, ids, starts, ends):
+    """Runs that are known to go, on their way through some block."""
+    none = {k: [b""] for k in ("h", "doc", "pos", "low", "high", "around")}
+    return pd.DataFrame({"block": [block], **none, "id": [ids.astype(np.int64).tobytes()], "s": [starts.astype(np.int64).tobytes()], "e": [ends.astype(np.int64).tobytes()]})
 
 
 def _send_surroundings(blocks):
@@ -201,10 +211,10 @@ def _send_surroundings(blocks):
             rest[settled] = False
             if len(settled):
                 s = pos[settled] - LEAD + low[settled]
-                yield pd.DataFrame({"block": pd.array([None] * len(settled), dtype="Int32"), "h": None, "doc": None, "pos": None, "low": None, "high": None, "around": None, "id": doc[settled], "s": s, "e": pos[settled] - LEAD + high[settled] + LENGTH})
+                yield _settled(int(h[0] % np.uint64(blocks)), doc[settled], s, pos[settled] - LEAD + high[settled] + LENGTH)
             h, doc, pos, low, high, around = h[rest], doc[rest], pos[rest], low[rest], high[rest], around[rest]
             for block, o in _by_block(h, blocks):
-                yield pd.DataFrame({"block": [block], "h": [h[o].tobytes()], "doc": [doc[o].tobytes()], "pos": [pos[o].astype(np.int64).tobytes()], "low": [low[o].astype(np.uint8).tobytes()], "high": [high[o].astype(np.uint8).tobytes()], "around": [around[o].tobytes()], "id": pd.array([None], dtype="Int64"), "s": pd.array([None], dtype="Int32"), "e": pd.array([None], dtype="Int32")})
+                yield pd.DataFrame({"block": [block], "h": [h[o].tobytes()], "doc": [doc[o].tobytes()], "pos": [pos[o].astype(np.int64).tobytes()], "low": [low[o].astype(np.uint8).tobytes()], "high": [high[o].astype(np.uint8).tobytes()], "around": [zlib.compress(around[o].tobytes(), 1)], "id": [b""], "s": [b""], "e": [b""]})
 
     return run
 
@@ -245,12 +255,14 @@ def repeats(h, doc, low, high, around) -> np.ndarray:
 
 def _sort_block(rows: pd.DataFrame) -> pd.DataFrame:
     h, doc, pos, low, high = (np.concatenate([np.frombuffer(x, t) for x in rows[c]]) for c, t in (("h", np.uint64), ("doc", np.int64), ("pos", np.int64), ("low", np.uint8), ("high", np.uint8)))
-    around = np.frombuffer(b"".join(rows["around"]), np.uint8).reshape(-1, AROUND)
+    around = np.frombuffer(b"".join(zlib.decompress(x) for x in rows["around"] if x), np.uint8).reshape(-1, AROUND)
     gone = repeats(h, doc, low, high, around)
     # neighbouring suffixes give one run of bytes
     edge = np.diff(np.pad(gone, ((0, 0), (1, 1))).astype(np.int8), axis=1)
     (i, a), (_, e) = np.nonzero(edge == 1), np.nonzero(edge == -1)
-    return pd.DataFrame({"id": doc[i], "s": pos[i] - LEAD + a, "e": pos[i] - LEAD + e - 1 + LENGTH})
+    known = [np.frombuffer(b"".join(rows[k]), np.int64) for k in ("id", "s", "e")]
+    found = (doc[i], pos[i] - LEAD + a, pos[i] - LEAD + e - 1 + LENGTH)
+    return pd.DataFrame({k: np.concatenate([x, y]) for k, x, y in zip(("id", "s", "e"), found, known)})
 
 
 def merged(starts: np.ndarray, ends: np.ndarray):
@@ -290,13 +302,12 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     again = sent.groupBy("block").applyInPandas(_repeated, "key long, hs binary")
     wanted = again.groupBy("key").agg(F.collect_list("hs").alias("hs")).join(first, "key").select(F.col("first").alias("id"), "digest", "hs")
     asked = d.select("id", "digest", "text").join(wanted, ["id", "digest"]).select("id", "text", "hs")
-    around = written(asked.mapInPandas(_send_surroundings(blocks), _SENT), "passage-anchors")
-    sorted_ = around.where("block is not null").groupBy("block").applyInPandas(_sort_block, "id long, s long, e long")
-    runs = sorted_.union(around.where("block is null").select("id", F.col("s").cast("long"), F.col("e").cast("long")))
-    runs = runs.groupBy("id").agg(F.collect_list(F.struct("s", "e")).alias("r"))
+    around = asked.mapInPandas(_send_surroundings(blocks), _SENT)
+    runs = around.groupBy("block").applyInPandas(_sort_block, "id long, s long, e long").groupBy("id").agg(F.collect_list(F.struct("s", "e")).alias("r"))
     verdict = narrow.join(first.select("digest", "first"), "digest").select("id", "digest", (F.col("first") < F.col("id")).alias("all_gone"))
     verdict = verdict.join(runs, "id", "left").select("id", "digest", "all_gone", F.transform("r", lambda x: x["s"]).alias("s"), F.transform("r", lambda x: x["e"]).alias("e"))
-    whole = d.select("id", "digest", "text").join(written(verdict, "passage-runs"), ["id", "digest"])
+    # the texts were dealt by (id, digest) for the anchors already: the same shuffle serves here
+    whole = d.select("id", "digest", "text").join(verdict, ["id", "digest"])
     out = whole.select("id", "text", "all_gone", "s", "e").mapInPandas(_cut_texts, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, starts binary, ends binary")
     return out.withColumnRenamed("id", id_col)
 
