@@ -9,6 +9,7 @@ from veriscope.llm.repair_shards import op10_repair_shards
 from veriscope.llm.secret_crf import op2_secret_crf
 from veriscope.llm.shingle_join import ORACLE as OP9_SQL
 from veriscope.llm.shingle_join import op9_shingle_join
+from veriscope.llm.source_mix import ORACLE as OP8_SQL
 from veriscope.llm.source_mix import op8_source_mix
 from veriscope.llm.suffix_dedup import op7_suffix_dedup
 from veriscope.llm.toxic_cnn import op4_toxic_cnn
@@ -25,4 +26,4 @@ QUERIES = {
     "op9_shingle_join": op9_shingle_join,
     "op10_repair_shards": op10_repair_shards,
 }
-ORACLES = {"op3_embedding_dedup": OP3_SQL, "op9_shingle_join": OP9_SQL}
+ORACLES = {"op3_embedding_dedup": OP3_SQL, "op8_source_mix": OP8_SQL, "op9_shingle_join": OP9_SQL}

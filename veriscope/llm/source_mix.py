@@ -113,4 +113,27 @@ def sample_mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sour
 
 
 def op8_source_mix(spark, sf_dir):
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+#: DuckDB: the same targets and ranks; all documents of a source in one order, up to the words that are left.
+ORACLE = r"""
+WITH d AS (
+  SELECT doc_id, source, len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''))::BIGINT AS size FROM documents
+), s0 AS (
+  SELECT source, sum(size)::BIGINT AS source_size, [3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::BIGINT AS weight FROM d GROUP BY source
+), s1 AS (SELECT *, 2 * source_size AS ceiling, row_number() OVER (ORDER BY 2 * source_size / weight, source NULLS LAST) AS k FROM s0),
+s2 AS (
+  SELECT *, ((sum(source_size) OVER ())::DOUBLE * 1.5::DOUBLE - coalesce(sum(ceiling) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE) / (sum(weight) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS level FROM s1
+), s AS (
+  SELECT source, source_size, CASE WHEN ceiling <= level * weight OR f IS NULL THEN ceiling::DOUBLE ELSE f * weight END AS target
+  FROM s2, (SELECT arg_min(level, k) AS f FROM s2 WHERE ceiling > level * weight)
+), r AS (
+  SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS per,
+    (('0x' || substr(md5('mix-1:' || doc_id), 1, 13))::BIGINT::DOUBLE + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u
+  FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source
+), q AS (
+  SELECT *, floor(per) AS whole, CASE WHEN per > floor(per) THEN (u / (1 - u)) / ((per - floor(per)) / (1 - (per - floor(per)))) END AS q FROM r
+), c AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY q / (1 + q), size, doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM q)
+SELECT doc_id, size, source_size, target, (size * (whole + CASE WHEN q IS NOT NULL AND 2 * upto - size <= 2 * (target - whole * source_size) THEN 1 ELSE 0 END))::BIGINT AS taken FROM c
+"""
