@@ -214,6 +214,14 @@ def test_passages(spark):
     assert suffix_dedup.repeated_passages(documents(spark, texts).limit(0)).count() == 0
 
 
+def test_odd_ids(spark):
+    d = spark.createDataFrame([(None, prose(2), "x"), (4, prose(2), "x"), (4, prose(2), "x"), (None, None, None)], "doc_id long, text string, source string")
+    got = sorted(rows(suffix_dedup.repeated_passages(d), "doc_id", "n_removed"), key=str)
+    assert got == sorted([(None, len(prose(2))), (4, 0), (4, 0), (None, 0)], key=str)
+    assert len(rows(shingle_join.components(d), "doc_id", "component_id")) == 4
+    assert source_mix.mix(d).count() == 4 and quality_votes.score_quality(d).count() == 4
+
+
 def test_difference_cover_and_suffix_ranks():
     assert {(a - b) % suffix_dedup.PERIOD for a in suffix_dedup.COVER for b in suffix_dedup.COVER} == set(range(suffix_dedup.PERIOD))
     rng = np.random.default_rng(2)

@@ -13,7 +13,8 @@ hash among those inside its first LENGTH bytes, so equal suffixes share a bucket
    block's memory is its anchors' surroundings and one offset's keys.
 
 Defined results: a null or empty text has 0 bytes and nothing removed; texts under LENGTH bytes keep all; rows with the
-same id never remove bytes from each other; equal rows get equal results; an empty table gives an empty one; extra
+same id never remove bytes from each other; null ids
+count as one id above all others; equal rows get equal results; an empty table gives an empty one; extra
 columns are ignored. Texts are used whole.
 """
 
@@ -293,7 +294,8 @@ def _cut_texts(batches):
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256; starts, ends: the runs removed (int64)."""
-    d = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    none = F.lit(2**63 - 1)
+    d = docs.select(F.coalesce(F.col(id_col).cast("long"), none).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     d = d.withColumns({"digest": F.md5("text"), "key": F.xxhash64("text", F.lit(7))})
     blocks = 4 * int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     narrow = written(d.select("id", "digest", "key").distinct(), "passage-texts")
@@ -309,7 +311,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     # the texts were dealt by (id, digest) for the anchors already: the same shuffle serves here
     whole = d.select("id", "digest", "text").join(verdict, ["id", "digest"])
     out = whole.select("id", "text", "all_gone", "s", "e").mapInPandas(_cut_texts, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, starts binary, ends binary")
-    return out.withColumnRenamed("id", id_col)
+    return out.withColumn("id", F.nullif("id", none)).withColumnRenamed("id", id_col)
 
 
 def op7_suffix_dedup(spark, sf_dir):
