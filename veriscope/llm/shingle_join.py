@@ -34,6 +34,8 @@ from veriscope.llm.components import connected_components
 SKETCH_BITS, CHUNK = 20, 1 << 14
 #: Columns that two sets must share among their first ones (fewer where the sets are smaller).
 SHARED = 4
+#: Bits of a set's mark: one for each column's hash. A bit that one set has and the other lacks is a column it lacks.
+MARK_BITS = 2048
 #: A column with more sets than this is multiplied in two steps; sets in a block of such a column.
 LONG, BLOCK = 32, 256
 #: Characters hashed together, to bound memory; a longer text is hashed alone, and whole.
@@ -144,12 +146,15 @@ def _prefixes(n, percent, levels):
     def run(batches):
         level = np.frombuffer(levels.value, np.uint8)
         for b in batches:
-            size, cols = [], []
+            size, cols, marks = [], [], []
             for s in shingle_sets(b["text"], n):
+                m = np.zeros(MARK_BITS, np.uint8)
+                m[(s % np.uint64(MARK_BITS)).astype(np.int64)] = 1
+                marks.append(np.packbits(m).tobytes())
                 s = s[np.argsort(level[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")]
                 size.append(len(s))
                 cols.append(s[: len(s) - (-(-percent * len(s) // 100)) + _least(len(s), percent)].tobytes() if len(s) else b"")
-            yield pd.DataFrame({"id": b["id"], "n": size, "cols": cols})
+            yield pd.DataFrame({"id": b["id"], "n": size, "mark": marks, "cols": cols})
 
     return run
 
@@ -214,7 +219,10 @@ def _multiply(percent):
             add(i, i + d, False)
         for c, m in zip(cut[length > LONG], length[length > LONG]):
             at = np.arange(c, c + m)
-            add(np.full(m - 1, c), at[1:], True)
+            eldest = c + int(doc[at].argmin())
+            for one in {c, eldest}:
+                others = at[at != one]
+                add(np.full(m - 1, one), others, True)
             add(at[:-1], at[1:], True)
             parts += [(int(h[c].astype(np.int64)), k // BLOCK, doc[at[k : k + BLOCK]].tobytes(), size[at[k : k + BLOCK]].tobytes(), pos[at[k : k + BLOCK]].tobytes()) for k in range(0, m, BLOCK)]
         found = pd.DataFrame({k: np.concatenate([p[i] for p in pairs]) if pairs else np.zeros(0, np.int64) for i, k in enumerate(("a", "b", "n", "least", "first"))})
@@ -233,13 +241,38 @@ def _across(percent):
             for x in b.itertuples(index=False):
                 d, s, p, c = (np.frombuffer(v, np.int64) for v in (x.docs, x.sizes, x.places, x.comps))
                 e, t, q, f = (np.frombuffer(v, np.int64) for v in (x.docs2, x.sizes2, x.places2, x.comps2))
-                ok = (c[:, None] != f[None]) & _reachable(s[:, None], t[None], p[:, None], q[None], percent)[0]
+                ok, first = _reachable(s[:, None], t[None], p[:, None], q[None], percent)
+                ok = ok & (c[:, None] != f[None])
                 if x.part == x.part2:
                     ok &= np.arange(len(d))[:, None] < np.arange(len(e))[None]
                 i, j = np.nonzero(ok)
-                found.append(np.stack([np.minimum(d[i], e[j]), np.maximum(d[i], e[j])], 1))
-            both = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-            yield pd.DataFrame({"a": both[:, 0], "b": both[:, 1]})
+                u, v = _marks([x.marks]), _marks([x.marks2])
+                room = np.concatenate([np.zeros(0, bool), *(_bounded(s[i[k : k + 16384]], t[j[k : k + 16384]], u[i[k : k + 16384]], v[j[k : k + 16384]], percent) for k in range(0, len(i), 16384))])
+                i, j = i[room], j[room]
+                found.append(pd.DataFrame({"a": np.minimum(d[i], e[j]), "b": np.maximum(d[i], e[j]), "n": 1, "least": np.minimum(_least(s[i], percent), _least(t[j], percent)), "first": first[i, j]}))
+            if found:
+                yield pd.concat(found).groupby(["a", "b"], as_index=False).agg(n=("n", "sum"), least=("least", "first"), first=("first", "max"))
+
+    return run
+
+
+def _bounded(na, nb, x, y, percent):
+    """Whether marks x and y of sets of these sizes leave room for the similarity: bits that the other lacks bound the overlap."""
+    most = np.minimum(na - np.bitwise_count(x & ~y).sum(1, dtype=np.int64), nb - np.bitwise_count(y & ~x).sum(1, dtype=np.int64))
+    return 100 * most >= percent * (na + nb - most)
+
+
+def _marks(blobs) -> np.ndarray:
+    return np.frombuffer(b"".join(blobs), np.uint64).reshape(-1, MARK_BITS // 64)
+
+
+def _by_marks(percent):
+    """Pairs whose sets' marks leave room for the similarity."""
+
+    def run(batches):
+        for b in batches:
+            if len(b):
+                yield b.loc[_bounded(b["na"].to_numpy(np.int64), b["nb"].to_numpy(np.int64), _marks(b["ma"]), _marks(b["mb"]), percent), ["a", "b"]]
 
     return run
 
@@ -265,13 +298,17 @@ def _sets(n):
     return run
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Those of the pairs that reach the similarity, counted over their full sets."""
-    wanted = pairs.select(F.col("a").alias("w")).union(pairs.select("b")).distinct()
-    sets = docs.join(wanted, F.col("id") == F.col("w"), "left_semi").mapInPandas(_sets(n), "id long, s binary")
-    sets = written(sets, "shingle-sets")
-    one = pairs.join(sets.withColumnsRenamed({"id": "a", "s": "sa"}), "a")
-    return one.join(sets.withColumnsRenamed({"id": "b", "s": "sb"}), "b").mapInPandas(_count_overlaps(percent), "a long, b long")
+def _linked(pairs: DataFrame, cols: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """Those of the pairs that reach the similarity: first bounded by marks, then counted over the full sets.
+
+    No side of these joins has a bound on its size, so none is broadcast.
+    """
+    mark = lambda k: cols.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("mark").alias(f"m{k}")).hint("merge")
+    left = written(pairs.join(mark("a"), "a").join(mark("b"), "b").mapInPandas(_by_marks(percent), "a long, b long"), "shingle-candidates")
+    wanted = left.select(F.col("a").alias("w")).union(left.select("b")).distinct()
+    sets = written(docs.join(wanted.hint("merge"), F.col("id") == F.col("w"), "left_semi").mapInPandas(_sets(n), "id long, s binary"), "shingle-sets")
+    full = lambda k: sets.select(F.col("id").alias(k), F.col("s").alias(f"s{k}")).hint("merge")
+    return left.join(full("a"), "a").join(full("b"), "b").mapInPandas(_count_overlaps(percent), "a long, b long")
 
 
 def components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -284,25 +321,36 @@ def components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "do
     # the smallest id of each set stands for it
     first = own.where("key is not null and id is not null").groupBy("key").agg(F.min("id").alias("rep"))
     first = written(first, "shingle-firsts")
-    cols = d.mapInPandas(_prefixes(n, percent, levels), "id long, n int, cols binary").where("n > 0")
-    cols = cols.join(first.select("rep").distinct(), F.col("id") == F.col("rep"), "left_semi").dropDuplicates(["id", "cols"])
+    cols = d.mapInPandas(_prefixes(n, percent, levels), "id long, n int, mark binary, cols binary").where("n > 0")
+    cols = cols.join(first.select("rep").distinct(), F.col("id") == F.col("rep"), "left_semi")
+    cols = written(cols, "shingle-columns").dropDuplicates(["id", "cols"])
     blocks = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = cols.mapInPandas(_deal(blocks), "block int, h binary, doc binary, size binary, pos binary")
+    dealt = cols.select("id", "n", "cols").mapInPandas(_deal(blocks), "block int, h binary, doc binary, size binary, pos binary")
     found = written(dealt.groupBy("block").applyInPandas(_multiply(percent), _FOUND), "shingle-pairs")
-    links = written(_linked(_enough(found), d, n, percent), "shingle-links")
+    links = written(_linked(_enough(found), cols, d, n, percent), "shingle-links")
     comps = connected_components(links)
     parts = found.where("h is not null").select("h", "part", "docs", "sizes", "places")
     if not parts.isEmpty():
-        more = _linked(_rest(parts, comps, percent), d, n, percent)
+        more = _linked(_enough(found, _rest(parts, comps, cols, percent)), cols, d, n, percent)
         comps = connected_components(links.union(more))
     joined = own.join(first, "key", "left").join(comps.withColumnRenamed("id", "c"), F.col("rep") == F.col("c"), "left")
     return joined.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component_id"))
 
 
-def _enough(found: DataFrame) -> DataFrame:
-    """Pairs that share as many columns as they must, and could reach the similarity where they first meet."""
-    by = found.where("a is not null").groupBy("a", "b").agg(F.sum("n").alias("n"), F.max("least").alias("least"), F.max("first").alias("first"))
-    return by.where("n >= least and first").select("a", "b")
+def _enough(found: DataFrame, rest: DataFrame | None = None) -> DataFrame:
+    """Pairs that share as many columns as they must, and could reach the similarity where they first meet.
+
+    With rest, counts of long columns: pairs that reach this with them, and did not without.
+    """
+    rows = found.where("a is not null").select("a", "b", "n", "least", "first", F.lit(False).alias("long"))
+    if rest is not None:
+        rows = rows.union(rest.select("a", "b", "n", "least", "first", F.lit(True)))
+    by = rows.groupBy("a", "b").agg(
+        F.sum("n").alias("n"), F.max("least").alias("least"), F.max("first").alias("first"), F.max("long").alias("long"),
+        F.coalesce(F.sum(F.expr("if(long, null, n)")), F.lit(0)).alias("n0"), F.coalesce(F.max(F.expr("if(long, null, first)")), F.lit(False)).alias("first0"),
+    )
+    now = by.where("n >= least and first")
+    return (now if rest is None else now.where("long and not (n0 >= least and first0)")).select("a", "b")
 
 
 def _unpack(batches):
@@ -314,19 +362,20 @@ def _unpack(batches):
 
 def _pack(rows: pd.DataFrame) -> pd.DataFrame:
     r = rows.iloc[0]
-    return pd.DataFrame({"h": [r["h"]], "part": [r["part"]], "least": [rows["size"].min()], "most": [rows["size"].max()], **{c: [rows[k].to_numpy(np.int64).tobytes()] for c, k in (("docs", "doc"), ("sizes", "size"), ("places", "place"), ("comps", "comp"))}})
+    return pd.DataFrame({"h": [r["h"]], "part": [r["part"]], "least": [rows["size"].min()], "most": [rows["size"].max()], **{c: [rows[k].to_numpy(np.int64).tobytes()] for c, k in (("docs", "doc"), ("sizes", "size"), ("places", "place"), ("comps", "comp"))}, "marks": [b"".join(rows["mark"])]})
 
 
-def _rest(parts: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
-    """Pairs of long columns that the first links have not settled: those between different components."""
+def _rest(parts: DataFrame, comps: DataFrame, cols: DataFrame, percent: int) -> DataFrame:
+    """Counts of shared long columns of pairs that the first links have not settled: those between different components."""
     one = parts.mapInPandas(_unpack, "h long, part int, doc long, size long, place long").join(comps, F.col("doc") == F.col("id"), "left")
     one = written(one.select("h", "part", "doc", "size", "place", F.coalesce("component", "doc").alias("comp")), "shingle-long")
     open_ = one.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("h")
-    packed = one.join(open_, "h", "left_semi").groupBy("h", "part").applyInPandas(_pack, "h long, part int, least long, most long, docs binary, sizes binary, places binary, comps binary")
+    marked = one.join(open_, "h", "left_semi").join(cols.select(F.col("id").alias("doc"), "mark").hint("merge"), "doc")
+    packed = marked.groupBy("h", "part").applyInPandas(_pack, "h long, part int, least long, most long, docs binary, sizes binary, places binary, comps binary, marks binary")
     packed = written(packed, "shingle-parts")
-    other = packed.select(F.col("h").alias("h2"), *[F.col(c).alias(f"{c}2") for c in ("part", "least", "most", "docs", "sizes", "places", "comps")])
+    other = packed.select(F.col("h").alias("h2"), *[F.col(c).alias(f"{c}2") for c in ("part", "least", "most", "docs", "sizes", "places", "comps", "marks")])
     meet = (F.col("h") == F.col("h2")) & (F.col("part") <= F.col("part2")) & (100 * F.col("most") >= percent * F.col("least2")) & (100 * F.col("most2") >= percent * F.col("least"))
-    return packed.join(other, meet).repartition(F.col("h"), F.col("part"), F.col("part2")).mapInPandas(_across(percent), "a long, b long").distinct()
+    return packed.join(other, meet).repartition(F.col("h"), F.col("part"), F.col("part2")).mapInPandas(_across(percent), "a long, b long, n int, least int, first boolean")
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
