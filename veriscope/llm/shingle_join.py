@@ -323,7 +323,7 @@ def components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "do
     first = written(first, "shingle-firsts")
     cols = d.mapInPandas(_prefixes(n, percent, levels), "id long, n int, mark binary, cols binary").where("n > 0")
     cols = cols.join(first.select("rep").distinct(), F.col("id") == F.col("rep"), "left_semi")
-    cols = written(cols, "shingle-columns").dropDuplicates(["id", "cols"])
+    cols = written(cols.dropDuplicates(["id", "cols"]), "shingle-columns")
     blocks = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = cols.select("id", "n", "cols").mapInPandas(_deal(blocks), "block int, h binary, doc binary, size binary, pos binary")
     found = written(dealt.groupBy("block").applyInPandas(_multiply(percent), _FOUND), "shingle-pairs")
@@ -375,7 +375,8 @@ def _rest(parts: DataFrame, comps: DataFrame, cols: DataFrame, percent: int) ->
     packed = written(packed, "shingle-parts")
     other = packed.select(F.col("h").alias("h2"), *[F.col(c).alias(f"{c}2") for c in ("part", "least", "most", "docs", "sizes", "places", "comps", "marks")])
     meet = (F.col("h") == F.col("h2")) & (F.col("part") <= F.col("part2")) & (100 * F.col("most") >= percent * F.col("least2")) & (100 * F.col("most2") >= percent * F.col("least"))
-    return packed.join(other, meet).repartition(F.col("h"), F.col("part"), F.col("part2")).mapInPandas(_across(percent), "a long, b long, n int, least int, first boolean")
+    # a column of very many parts is a skewed key of this join, which adaptive execution splits
+    return packed.join(other.hint("merge"), meet).mapInPandas(_across(percent), "a long, b long, n int, least int, first boolean")
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
