@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from veriscope.llm.common import fresh, let, table
 
 #: Distinct words whose ids are kept, found in about so many documents.
-KEPT_WORDS, SAMPLE_DOCS = 150_000, 20_000
+KEPT_WORDS, SAMPLE_DOCS = 80_000, 20_000
 _NO_PAIR = 2**31 - 1
 
 
@@ -37,62 +37,70 @@ def _slot(key, level: int, bits: int) -> F.Column:
     return F.hash(key, F.lit(level)).bitwiseAND((1 << bits) - 1)
 
 
-def _literal_map(spark, items: dict, kind: str):
-    """key column -> value or null, from literals; the keys' hashes are Spark's.
+class LiteralMap:
+    """key -> value or null, from literals; the keys' hashes are Spark's.
 
     Each level is an array of keys by the slot of their hash, and one of their values; keys that meet a taken slot go
-    to the next level. An empty slot says that there is no such key.
+    to the next level. An empty slot says that there is no such key. ``fields`` go into the struct of literals that
+    an expression holds once (see Bpe.using); look-ups refer to that struct.
     """
-    levels, left = [], items
-    while left:
-        level, bits = len(levels), max(len(left) * 4 - 1, 1).bit_length()
-        keys: list = [None] * (1 << bits)
-        for r in spark.createDataFrame([(k,) for k in left], "k string").select("k", _slot(F.col("k"), level, bits).alias("s")).collect():  # the vocabulary, or KEPT_WORDS words
-            keys[r["s"]] = keys[r["s"]] or r["k"]
-        values = [None if k is None else items[k] for k in keys]
-        # folded into literals when the plan is made
-        levels.append((bits, F.from_json(F.lit(json.dumps(keys)), F.lit("array<string>")), F.from_json(F.lit(json.dumps(values)), F.lit(f"array<{kind}>"))))
-        here = set(keys)
-        left = [k for k in left if k not in here]
-
-    def look(key, level):
-        if level == len(levels):
-            return F.lit(None).cast(kind)
-        bits, keys, values = levels[level]
-        slot = _slot(key, level, bits)
-        found = F.get(keys, slot)
-        return F.when(found == key, F.get(values, slot)).when(found.isNotNull(), look(key, level + 1))
-
-    return lambda key: look(key, 0)
+
+    def __init__(self, spark, name: str, items: dict, kind: str):
+        self.name, self.kind, self.bits, self.fields = name, kind, [], []
+        left = list(items)
+        while left:
+            level, bits = len(self.bits), max(len(left) * 4 - 1, 1).bit_length()
+            keys: list = [None] * (1 << bits)
+            for r in spark.createDataFrame([(k,) for k in left], "k string").select("k", _slot(F.col("k"), level, bits).alias("s")).collect():  # the vocabulary, or KEPT_WORDS words
+                keys[r["s"]] = keys[r["s"]] or r["k"]
+            self.bits.append(bits)
+            self.fields += [_json(keys, "array<string>").alias(f"{name}_k{level}"), _json([None if k is None else items[k] for k in keys], f"array<{kind}>").alias(f"{name}_v{level}")]
+            here = set(keys)
+            left = [k for k in left if k not in here]
+
+    def look(self, m, key, level: int = 0) -> F.Column:
+        if level == len(self.bits):
+            return F.lit(None).cast(self.kind)
+        slot = _slot(key, level, self.bits[level])
+        found = F.get(m[f"{self.name}_k{level}"], slot)
+        return F.when(found == key, F.get(m[f"{self.name}_v{level}"], slot)).when(found.isNotNull(), self.look(m, key, level + 1))
+
+
+def _json(values: list, kind: str) -> F.Column:
+    """A literal, once the plan is made: constants are folded."""
+    return F.from_json(F.lit(json.dumps(values)), F.lit(kind))
 
 
 class Bpe:
-    """Ranks as literals; encode(words) and decode(ids) as columns."""
+    """Ranks as literals; encode(text) and decode(ids) as columns."""
 
     def __init__(self, spark, path: str, pattern: str):
         self.spark, self.pattern = spark, "(?U)" + pattern
         ranks = read_ranks(path)
         self.size = max(ranks.values()) + 1
-        self.rank = _literal_map(spark, {k.decode("latin-1"): v for k, v in ranks.items()}, "int")
+        self.ranks = LiteralMap(spark, "rank", {k.decode("latin-1"): v for k, v in ranks.items()}, "int")
         pieces: list[str | None] = [None] * self.size
         for k, v in ranks.items():
             pieces[v] = k.decode("latin-1")
-        self.pieces = F.from_json(F.lit(json.dumps(pieces)), F.lit("array<string>"))
-        self.kept = None
+        self.pieces, self.kept = _json(pieces, "array<string>"), None
+
+    def using(self, body) -> F.Column:
+        """body(m), m the struct of all literals: one copy of them in a plan, however often they are looked into."""
+        return let(F.struct(*self.ranks.fields, *(self.kept.fields if self.kept else [])), body)
 
     def words(self, text) -> F.Column:
         return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pattern), F.lit(0))
 
-    def _pair(self, left, right) -> F.Column:
-        return F.coalesce(self.rank(F.concat(left, right)), F.lit(_NO_PAIR))
+    def _pair(self, m, left, right) -> F.Column:
+        return F.coalesce(self.ranks.look(m, F.concat(left, right)), F.lit(_NO_PAIR))
 
-    def _step(self, state) -> F.Column:
+    def _step(self, m, state) -> F.Column:
         def merged(p):
             pieces, ranks = state["pieces"], state["ranks"]
             n = F.size(pieces)
             new = F.concat(F.get(pieces, p), F.get(pieces, p + 1))
-            left = F.when(p > 0, F.array(self._pair(F.get(pieces, p - 1), new))).otherwise(F.array().cast("array<int>"))
-            right = F.when(p + 2 < n, F.array(self._pair(new, F.get(pieces, p + 2)))).otherwise(F.array().cast("array<int>"))
+            left = F.when(p > 0, F.array(self._pair(m, F.get(pieces, p - 1), new))).otherwise(F.array().cast("array<int>"))
+            right = F.when(p + 2 < n, F.array(self._pair(m, new, F.get(pieces, p + 2)))).otherwise(F.array().cast("array<int>"))
             return F.struct(
                 F.concat(F.slice(pieces, 1, p), F.array(new), F.slice(pieces, p + 3, n)).alias("pieces"),
                 F.concat(F.slice(ranks, 1, F.greatest(p - 1, F.lit(0))), left, right, F.slice(ranks, p + 3, n)).alias("ranks"),
@@ -102,17 +110,18 @@ class Bpe:
         place = F.array_position(state["ranks"], least).cast("int") - 1
         return F.when(F.coalesce(least, F.lit(_NO_PAIR)) == _NO_PAIR, state).otherwise(let(place, merged))
 
-    def fold(self, word) -> F.Column:
-        """A word's ids by merges from its single bytes."""
-        single = F.regexp_extract_all(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), F.lit("(?s)."), F.lit(0))
-        start = lambda b: F.struct(b.alias("pieces"), F.transform(F.slice(b, 2, F.size(b)), lambda x, i: self._pair(F.get(b, i), x)).alias("ranks"))
-        steps = lambda s: F.aggregate(F.slice(s["pieces"], 2, F.size(s["pieces"])), s, lambda state, _: self._step(state), lambda end: F.transform(end["pieces"], self.rank))
+    def fold(self, m, single) -> F.Column:
+        """The ids of a word, its bytes given one by one: merges folded over them."""
+        start = lambda b: F.struct(b.alias("pieces"), F.transform(F.slice(b, 2, F.size(b)), lambda x, i: self._pair(m, F.get(b, i), x)).alias("ranks"))
+        end = lambda state: F.transform(state["pieces"], lambda x: self.ranks.look(m, x))
+        steps = lambda s: F.aggregate(F.slice(s["pieces"], 2, F.size(s["pieces"])), s, lambda state, _: self._step(m, state), end)
         return let(let(single, start), steps)
 
-    def word_ids(self, word) -> F.Column:
+    def word_ids(self, m, word) -> F.Column:
         """A word that is a piece has its rank as its one id; others are folded."""
-        whole = self.rank(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"))
-        return F.when(whole.isNotNull(), F.array(whole)).otherwise(self.fold(word))
+        latin = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
+        whole = lambda b: let(self.ranks.look(m, b), lambda r: F.when(r.isNotNull(), F.array(r)).otherwise(self.fold(m, F.regexp_extract_all(b, F.lit("(?s)."), F.lit(0)))))
+        return let(latin, whole)
 
     def keep_words(self, docs: DataFrame, text: str = "text") -> Bpe:
         """Encodes the most frequent distinct words of a sample once; they become a literal of at most KEPT_WORDS rows."""
@@ -120,14 +129,14 @@ class Bpe:
         some = docs.select(F.col(text)).sample(min(1.0, SAMPLE_DOCS / max(n, 1)), 1)
         words = some.select(F.explode(self.words(F.col(text))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
         top = words.orderBy(F.desc("n"), "w").limit(KEPT_WORDS).select("w")
-        rows = top.repartition("w").select("w", self.word_ids(F.col("w")).alias("ids")).collect()
-        self.kept = _literal_map(self.spark, {r["w"]: list(r["ids"]) for r in rows}, "array<int>")
+        coded = top.repartition("w").select("w", self.using(lambda m: self.word_ids(m, F.col("w"))).alias("ids"))
+        self.kept = LiteralMap(self.spark, "kept", {r["w"]: list(r["ids"]) for r in coded.collect()}, "array<int>")
         return self
 
     def encode(self, text) -> F.Column:
         """The ids of a text."""
-        one = (lambda w: F.coalesce(self.kept(w), self.word_ids(w))) if self.kept else self.word_ids
-        return F.flatten(F.transform(self.words(text), one))
+        one = (lambda m: lambda w: F.coalesce(self.kept.look(m, w), self.word_ids(m, w))) if self.kept else (lambda m: lambda w: self.word_ids(m, w))
+        return self.using(lambda m: F.flatten(F.transform(self.words(text), one(m))))
 
     def decode(self, ids) -> F.Column:
         """The bytes that ids stand for: their binary pieces, one after the other."""
@@ -136,7 +145,7 @@ class Bpe:
 
 def little_endian(ids, size: int) -> F.Column:
     """ids (below size) as little-endian unsigned 32-bit integers, in one binary."""
-    four = F.from_json(F.lit(json.dumps([i.to_bytes(4, "little").decode("latin-1") for i in range(size)])), F.lit("array<string>"))
+    four = _json([i.to_bytes(4, "little").decode("latin-1") for i in range(size)], "array<string>")
     return F.encode(F.array_join(F.transform(ids, lambda i: F.get(four, i)), ""), "ISO-8859-1")
 
 
