@@ -18,13 +18,14 @@ from __future__ import annotations
 import base64
 import json
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veriscope.llm.common import fresh, let, table
 
 #: Distinct words whose ids are kept, found in about so many documents.
-KEPT_WORDS, SAMPLE_DOCS = 80_000, 20_000
+KEPT_WORDS, SAMPLE_DOCS = 30_000, 20_000
 _NO_PAIR = 2**31 - 1
 
 
@@ -49,10 +50,12 @@ class LiteralMap:
         self.name, self.kind, self.bits, self.fields = name, kind, [], []
         left = list(items)
         while left:
-            level, bits = len(self.bits), max(len(left) * 4 - 1, 1).bit_length()
+            level, bits = len(self.bits), max(len(left) * 2 - 1, 1).bit_length()
             keys: list = [None] * (1 << bits)
-            for r in spark.createDataFrame([(k,) for k in left], "k string").select("k", _slot(F.col("k"), level, bits).alias("s")).collect():  # the vocabulary, or KEPT_WORDS words
-                keys[r["s"]] = keys[r["s"]] or r["k"]
+            # the vocabulary, or KEPT_WORDS words: a few MB, by Arrow
+            placed = spark.createDataFrame(pd.DataFrame({"k": left}), "k string").select(_slot(F.col("k"), level, bits).alias("s")).toPandas()["s"]
+            for k, s in zip(left, placed.tolist()):
+                keys[s] = k if keys[s] is None else keys[s]
             self.bits.append(bits)
             self.fields += [_json(keys, "array<string>").alias(f"{name}_k{level}"), _json([None if k is None else items[k] for k in keys], f"array<{kind}>").alias(f"{name}_v{level}")]
             here = set(keys)
@@ -130,7 +133,7 @@ class Bpe:
         words = some.select(F.explode(self.words(F.col(text))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
         top = words.orderBy(F.desc("n"), "w").limit(KEPT_WORDS).select("w")
         coded = top.repartition("w").select("w", self.using(lambda m: self.word_ids(m, F.col("w"))).alias("ids"))
-        self.kept = LiteralMap(self.spark, "kept", {r["w"]: list(r["ids"]) for r in coded.collect()}, "array<int>")
+        self.kept = LiteralMap(self.spark, "kept", {r["w"]: list(r["ids"]) for r in coded.toLocalIterator()}, "array<int>")
         return self
 
     def encode(self, text) -> F.Column:
