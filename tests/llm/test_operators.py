@@ -152,6 +152,33 @@ def test_toxicity(spark):
     assert {r["predicted"] for r in toxic_cnn.score_toxicity(d, none).collect()} == {0}
 
 
+def test_a_score_is_the_texts_own(spark):
+    model = toxic_cnn.Cnn().fit([prose(i, 20) + (" vile thing" if i % 2 else "") for i in range(200)], [i % 2 for i in range(200)])
+    texts = ["", "a", "calm water", "vile thing here", "stone", prose(5), "vile", *[prose(i, 1 + i % 7) for i in range(40)]]
+    alone = [model.score([t])[0] for t in texts]
+    for seed in range(5):
+        order = np.random.default_rng(seed).permutation(len(texts))
+        assert model.score([texts[i] for i in order]).tolist() == [alone[i] for i in order]
+    for t, own in zip(texts, alone):
+        for other, its in zip(texts, alone):
+            assert model.score([t, other]).tolist() == [own, its]
+    d = documents(spark, texts)
+    for n in (1, 7):
+        assert dict(rows(toxic_cnn.score_toxicity(d.repartition(n), model), "doc_id", "score")) == dict(enumerate(map(float, alone)))
+
+
+def test_windows_by_rule():
+    model, texts = toxic_cnn.Cnn(), ["", "a", "b c", "a b c d e"]
+    flat, ends, table_rows = toxic_cnn.encode(texts)
+    top, _ = model.pooled(flat, ends, table_rows)
+    emb = lambda w: sum(model.e[k] for k in toxic_cnn._tables(w))
+    for i, t in enumerate(texts):
+        words, want = ["", "", *t.split(), "", ""], []
+        for w in toxic_cnn.WIDTHS:
+            want.append(np.max([sum(emb(words[p + k]) @ model.f[w][k] for k in range(w)) + model.b[w] for p in range(len(words) - w + 1)], 0))
+        assert np.allclose(top[i], np.concatenate(want), atol=1e-5)
+
+
 # 5
 def counts_by_rule(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", t)
