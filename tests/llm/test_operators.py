@@ -249,6 +249,25 @@ def test_odd_ids(spark):
     assert source_mix.mix(d).count() == 4 and quality_votes.score_quality(d).count() == 4
 
 
+def test_texts_under_one_id(spark):
+    a, b = prose(31, 10), prose(32, 60)
+    repeat = prose(33, 30)[:90]
+    long = f"{prose(34, 20)} {repeat} {prose(35, 20)}"
+    # 3 holds the passage first; texts under the null id and under 9 hold it too, or nothing that repeats
+    data = [(3, f"{a} {repeat}"), (None, long), (None, b), (None, prose(36, 90)), (9, long + " x"), (9, prose(37, 80)), (9, prose(37, 80)), (None, None)]
+    d = spark.createDataFrame(data, "doc_id long, text string")
+    got = sorted(rows(suffix_dedup.repeated_passages(d.repartition(3)), "doc_id", "n_bytes", "n_removed"), key=str)
+    seen, want = {}, []
+    for i, t in sorted(data, key=lambda r: (r[0] is None, r[0] or 0)):
+        x = (t or "").encode()
+        gone = bytearray(len(x))
+        for j in range(len(x) - 49):
+            if seen.setdefault(x[j : j + 50], i) != i:
+                gone[j : j + 50] = b"\1" * 50
+        want.append((i, len(x), sum(gone)))
+    assert got == sorted(want, key=str) and sum(r[2] > 0 for r in want) == 2
+
+
 def test_difference_cover_and_suffix_ranks():
     assert {(a - b) % suffix_dedup.PERIOD for a in suffix_dedup.COVER for b in suffix_dedup.COVER} == set(range(suffix_dedup.PERIOD))
     rng = np.random.default_rng(2)

@@ -13,8 +13,8 @@ hash among those inside its first LENGTH bytes, so equal suffixes share a bucket
    block's memory is its anchors' surroundings and one offset's keys.
 
 Defined results: a null or empty text has 0 bytes and nothing removed; texts under LENGTH bytes keep all; rows with the
-same id never remove bytes from each other; null ids
-count as one id above all others; equal rows get equal results; an empty table gives an empty one; extra
+same id never remove bytes from each other, and each text of an id has its own runs (a text is known by its id and
+64-bit key); null ids count as one id above all others; equal rows get equal results; an empty table gives an empty one; extra
 columns are ignored. Texts are used whole.
 """
 
@@ -171,22 +171,22 @@ def _surroundings(data, ends, at):
     return around, low, high, text, begin
 
 
-_SENT = "block int, h binary, doc binary, pos binary, low binary, high binary, around binary, id binary, s binary, e binary"
+_SENT = "block int, h binary, doc binary, key binary, pos binary, low binary, high binary, around binary, settled binary"
 
 
-def _settled(block, ids, starts, ends):
+def _settled(block, ids, keys, starts, ends):
     """Runs that are known to go, on their way through some block."""
-    none = {k: [b""] for k in ("h", "doc", "pos", "low", "high", "around")}
-    return pd.DataFrame({"block": [block], **none, "id": [ids.astype(np.int64).tobytes()], "s": [starts.astype(np.int64).tobytes()], "e": [ends.astype(np.int64).tobytes()]})
+    none = {k: [b""] for k in ("h", "doc", "key", "pos", "low", "high", "around")}
+    return pd.DataFrame({"block": [block], **none, "settled": [zlib.compress(_planes(np.concatenate([ids, keys, starts, ends]).astype(np.int64)), 1)]})
 
 
 def _send_surroundings(blocks):
     """The surroundings of each text's repeated anchors, by block. Equal ones in a batch go once, with the smallest id;
-    the others' suffixes all repeat, which is said at once (id, s, e: bytes s to e go)."""
+    the others' suffixes all repeat, which is said at once (settled: ids, keys, s, e in a row: bytes s to e go)."""
 
     def run(batches):
         for b in batches:
-            ids, wanted = b["id"].to_numpy(np.int64), [np.frombuffer(b"".join(x), np.uint64) for x in b["hs"]]
+            ids, keys, wanted = b["id"].to_numpy(np.int64), b["key"].to_numpy(np.int64), [np.frombuffer(b"".join(x), np.uint64) for x in b["hs"]]
             got = []
             for lo, hi, data, ends in _parts(b["text"]):
                 at, h = anchors(data, ends)
@@ -198,10 +198,10 @@ def _send_surroundings(blocks):
                     continue
                 around, low, high, text, begin = _surroundings(data, ends, at)
                 ok = low <= high
-                got.append((h[ok], ids[lo + text[ok]], (at - begin)[ok], low[ok], high[ok], around[ok]))
+                got.append((h[ok], ids[lo + text[ok]], keys[lo + text[ok]], (at - begin)[ok], low[ok], high[ok], around[ok]))
             if not got:
                 continue
-            h, doc, pos, low, high, around = (np.concatenate(x) for x in zip(*got))
+            h, doc, key, pos, low, high, around = (np.concatenate(x) for x in zip(*got))
             order = np.lexsort((doc, high, low, h))
             before, after = order[:-1], order[1:]
             equal = (h[before] == h[after]) & (low[before] == low[after]) & (high[before] == high[after]) & (around[before] == around[after]).all(1)
@@ -212,10 +212,10 @@ def _send_surroundings(blocks):
             rest[settled] = False
             if len(settled):
                 s = pos[settled] - LEAD + low[settled]
-                yield _settled(int(h[0] % np.uint64(blocks)), doc[settled], s, pos[settled] - LEAD + high[settled] + LENGTH)
-            h, doc, pos, low, high, around = h[rest], doc[rest], pos[rest], low[rest], high[rest], around[rest]
+                yield _settled(int(h[0] % np.uint64(blocks)), doc[settled], key[settled], s, pos[settled] - LEAD + high[settled] + LENGTH)
+            h, doc, key, pos, low, high, around = h[rest], doc[rest], key[rest], pos[rest], low[rest], high[rest], around[rest]
             for block, o in _by_block(h, blocks):
-                yield pd.DataFrame({"block": [block], "h": [h[o].tobytes()], "doc": [doc[o].tobytes()], "pos": [pos[o].astype(np.int64).tobytes()], "low": [low[o].astype(np.uint8).tobytes()], "high": [high[o].astype(np.uint8).tobytes()], "around": [zlib.compress(around[o].tobytes(), 1)], "id": [b""], "s": [b""], "e": [b""]})
+                yield pd.DataFrame({"block": [block], "h": [_planes(np.diff(h[o], prepend=np.uint64(0)))], "doc": [_planes(doc[o])], "key": [key[o].tobytes()], "pos": [_planes(pos[o].astype(np.int64))], "low": [low[o].astype(np.uint8).tobytes()], "high": [high[o].astype(np.uint8).tobytes()], "around": [zlib.compress(around[o].tobytes(), 1)], "settled": [b""]})
 
     return run
 
@@ -255,15 +255,17 @@ def repeats(h, doc, low, high, around) -> np.ndarray:
 
 
 def _sort_block(rows: pd.DataFrame) -> pd.DataFrame:
-    h, doc, pos, low, high = (np.concatenate([np.frombuffer(x, t) for x in rows[c]]) for c, t in (("h", np.uint64), ("doc", np.int64), ("pos", np.int64), ("low", np.uint8), ("high", np.uint8)))
+    h = np.concatenate([np.cumsum(_unplaned(x, np.uint64), dtype=np.uint64) for x in rows["h"]])
+    doc, pos = (np.concatenate([_unplaned(x, np.int64) for x in rows[c]]) for c in ("doc", "pos"))
+    key, low, high = (np.frombuffer(b"".join(rows[c]), t) for c, t in (("key", np.int64), ("low", np.uint8), ("high", np.uint8)))
     around = np.frombuffer(b"".join(zlib.decompress(x) for x in rows["around"] if x), np.uint8).reshape(-1, AROUND)
     gone = repeats(h, doc, low, high, around)
     # neighbouring suffixes give one run of bytes
     edge = np.diff(np.pad(gone, ((0, 0), (1, 1))).astype(np.int8), axis=1)
     (i, a), (_, e) = np.nonzero(edge == 1), np.nonzero(edge == -1)
-    known = [np.frombuffer(b"".join(rows[k]), np.int64) for k in ("id", "s", "e")]
-    found = (doc[i], pos[i] - LEAD + a, pos[i] - LEAD + e - 1 + LENGTH)
-    return pd.DataFrame({k: np.concatenate([x, y]) for k, x, y in zip(("id", "s", "e"), found, known)})
+    known = np.concatenate([np.zeros((4, 0), np.int64), *(_unplaned(zlib.decompress(x), np.int64).reshape(4, -1) for x in rows["settled"] if x)], 1)
+    found = (doc[i], key[i], pos[i] - LEAD + a, pos[i] - LEAD + e - 1 + LENGTH)
+    return pd.DataFrame({k: np.concatenate([x, y]) for k, x, y in zip(("id", "key", "s", "e"), found, known)})
 
 
 def merged(starts: np.ndarray, ends: np.ndarray):
@@ -302,12 +304,12 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     first = written(narrow.groupBy("digest").agg(F.min("id").alias("first"), F.first("key").alias("key")), "passage-firsts")
     sent = d.select("key", "text").mapInPandas(_send_anchors(blocks), "block int, h binary, of binary, keys binary")
     again = sent.groupBy("block").applyInPandas(_repeated, "key long, hs binary")
-    wanted = again.groupBy("key").agg(F.collect_list("hs").alias("hs")).join(first, "key").select(F.col("first").alias("id"), "digest", "hs")
-    asked = d.select("id", "digest", "text").join(wanted, ["id", "digest"]).select("id", "text", "hs")
+    wanted = again.groupBy("key").agg(F.collect_list("hs").alias("hs")).join(first, "key").select(F.col("first").alias("id"), "digest", "key", "hs")
+    asked = d.select("id", "digest", "text").join(wanted, ["id", "digest"]).select("id", "key", "text", "hs")
     around = asked.mapInPandas(_send_surroundings(blocks), _SENT)
-    runs = around.groupBy("block").applyInPandas(_sort_block, "id long, s long, e long").groupBy("id").agg(F.collect_list(F.struct("s", "e")).alias("r"))
-    verdict = narrow.join(first.select("digest", "first"), "digest").select("id", "digest", (F.col("first") < F.col("id")).alias("all_gone"))
-    verdict = verdict.join(runs, "id", "left").select("id", "digest", "all_gone", F.transform("r", lambda x: x["s"]).alias("s"), F.transform("r", lambda x: x["e"]).alias("e"))
+    runs = around.groupBy("block").applyInPandas(_sort_block, "id long, key long, s long, e long").groupBy("id", "key").agg(F.collect_list(F.struct("s", "e")).alias("r"))
+    verdict = narrow.join(first.select("digest", "first"), "digest").select("id", "digest", "key", (F.col("first") < F.col("id")).alias("all_gone"))
+    verdict = verdict.join(runs, ["id", "key"], "left").select("id", "digest", "all_gone", F.transform("r", lambda x: x["s"]).alias("s"), F.transform("r", lambda x: x["e"]).alias("e"))
     # the texts were dealt by (id, digest) for the anchors already: the same shuffle serves here
     whole = d.select("id", "digest", "text").join(verdict, ["id", "digest"])
     out = whole.select("id", "text", "all_gone", "s", "e").mapInPandas(_cut_texts, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, starts binary, ends binary")
