@@ -133,3 +133,17 @@ def test_lexicon_extension(spark, lexicon):
     more = spark.createDataFrame([(" new ", "high"), ("bad", "HIGH"), ("meh", "High"), ("x", "low"), (None, "HIGH")], "term string, risk_level_guess string")
     got = {(r["term"], r["risk_level"]): r["priority"] for r in readers.extend_lexicon(lexicon, more).collect()}
     assert len(got) == 5 and got[("meh", "HIGH")] == 4 and got[("new", "HIGH")] == 5
+
+
+def test_large_lexicons(spark, lexicon):
+    n = C.LEXICON_ROWS + 1000
+    large = spark.range(n).select(F.concat(F.lit("term"), "id", F.lit("x")).alias("term"), F.when(F.col("id") % 2 == 0, "HIGH").otherwise("MEDIUM").alias("risk_level"), F.col("id").cast("int").alias("priority"), F.concat(F.lit("about "), "id").alias("context"))
+    d = spark.createDataFrame([(f"Term{n - 1}X, term{n - 2}x and term{n - 4}x",), (f"term{n - 1}x",), ("nothing",), (None,)], "text string")
+    got = C.keyword_context(C.lexicon_match_join(d, large), large).collect()
+    assert sorted([(r["matched_term"], r["lexicon_level"], r["keyword_context"]) for r in got], key=str) == sorted([(f"term{n - 4}x", "HIGH", f"about {n - 4}"), (f"term{n - 1}x", "MEDIUM", f"about {n - 1}"), *[(None, None, E.DEFAULT_CONTEXT)] * 2], key=str)
+    every = spark.range(n).select(F.concat(F.lit("term"), "id", F.lit("x")).alias("matched_term"))
+    assert C.keyword_context(every, large).where(F.col("keyword_context") == E.DEFAULT_CONTEXT).count() == 0
+    texts = d.unionByName(spark.createDataFrame([("badge",), ("a BAD one",), ("",)], "text string"))
+    for whole in (False, True):
+        same = [sorted(f(texts, lexicon, word_boundary=whole).collect(), key=str) for f in (C.lexicon_match, C.lexicon_match_join)]
+        assert same[0] == same[1]
