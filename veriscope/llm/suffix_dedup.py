@@ -298,7 +298,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256; starts, ends: the runs removed (int64)."""
     none = F.lit(2**63 - 1)
     d = docs.select(F.coalesce(F.col(id_col).cast("long"), none).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    d = d.withColumns({"digest": F.md5("text"), "key": F.xxhash64("text", F.lit(7))})
+    d = d.withColumns({"digest": F.unhex(F.md5("text")), "key": F.xxhash64("text", F.lit(7))})
     blocks = 4 * int(d.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     narrow = written(d.select("id", "digest", "key").distinct(), "passage-texts")
     first = written(narrow.groupBy("digest").agg(F.min("id").alias("first"), F.first("key").alias("key")), "passage-firsts")
