@@ -10,6 +10,7 @@ import pytest
 
 pytest.importorskip("veriscope.llm")
 import public_tokenizers  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
 
 from veriscope.llm import byte_bpe, embedding_dedup, html_text, quality_votes, repair_shards, secret_crf, shingle_join, source_mix, suffix_dedup, toxic_cnn  # noqa: E402
 from veriscope.llm.components import connected_components  # noqa: E402
@@ -206,16 +207,45 @@ def test_quality(spark):
 
 
 # 6
-def test_byte_bpe(spark):
+def bpe_library():
     import tiktoken
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.read_ranks(path), special_tokens={})
-    texts = ODD + ["it's  we'll\t\n x", "  ", "<|endoftext|>", "naïve 12345 　 ok", "\x00\x01", "thntblere ofwhti"]
-    coded, codec = byte_bpe.tokenize(documents(spark, texts), path, public_tokenizers.PATTERN)
-    got = {r["doc_id"]: r for r in coded.withColumn("back", codec.decode(coded["ids"])).collect()}
-    for i, t in enumerate(texts):
-        assert list(got[i]["ids"]) == enc.encode_ordinary(t or "") and bytes(got[i]["back"]) == (t or "").encode()
+    return path, tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.read_ranks(path), special_tokens={})
+
+
+def test_byte_bpe(spark, monkeypatch):
+    path, enc = bpe_library()
+    letters = np.random.default_rng(4).choice(list("abcdefghijklmnopqrstuvwxyzABCDEF"), 20_000)
+    texts = ODD + ["it's  we'll\t\n x", "  ", "<|endoftext|>", "naïve 12345 　 ok", "\x00\x01", "thntblere ofwhti", "".join(letters), "日本語" * 900, "thntblere ofwhti"]
+    d = documents(spark, texts).withColumn("_chunk", F.col("doc_id")).withColumn("w", F.lit("x"))
+    for kept, chunk in ((1 << 19, 6_000_000), (3, 50)):  # every word broadcast; nearly all of them joined
+        monkeypatch.setattr(byte_bpe, "KEPT_WORDS", kept)
+        monkeypatch.setattr(byte_bpe, "CHUNK", chunk)
+        coded = byte_bpe.tokenize(d, path, public_tokenizers.PATTERN)
+        assert coded.columns == ["doc_id", "lang", "source", "n_chars", "_chunk", "w", "ids"]
+        got = {r["doc_id"]: r for r in coded.withColumn("back", byte_bpe.decode(F.col("ids"), path)).collect()}
+        for i, t in enumerate(texts):
+            assert list(got[i]["ids"]) == enc.encode_ordinary(t or "") and bytes(got[i]["back"]) == (t or "").encode() and got[i]["_chunk"] == i
+    assert byte_bpe.digests(d.limit(0), path, public_tokenizers.PATTERN).count() == 0
+
+
+def test_byte_bpe_long_words():
+    path, enc = bpe_library()
+    rng = np.random.default_rng(5)
+    for w in ["a" * 4000, "".join(rng.choice(list("abcXYZéß"), 3000)), "日本" * 500, "ab"]:
+        assert byte_bpe.merge_long(w.encode(), byte_bpe.read_ranks(path)) == enc.encode_ordinary(w)
+
+
+def test_byte_bpe_query(spark, small):
+    path, enc = bpe_library()
+    got = {r["doc_id"]: r for r in byte_bpe.op6_byte_bpe(spark, small).collect()}
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()
+    assert len(docs) == len(got)
+    for r in docs:
+        ids, g = enc.encode_ordinary(r["text"] or ""), got[r["doc_id"]]
+        assert g["n_tokens"] == len(ids) and g["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert g["decoded_sha256"] == hashlib.sha256((r["text"] or "").encode()).hexdigest()
 
 
 # 7

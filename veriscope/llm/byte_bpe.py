@@ -1,169 +1,400 @@
-"""Byte-level BPE in Spark expressions: ranked merges folded over the bytes of words, ids decoded by joining pieces.
+"""Byte-level BPE: ranked merges folded over the bytes of each distinct word, ids brought back to documents by joins.
 
-Bytes are held as characters U+0000..U+00FF (ISO 8859-1), so that byte arrays are strings to Spark's functions. The
-rank of a piece comes from a literal: an array of small maps, one for each hash of a piece, so that a look-up does not
-walk through the whole vocabulary. A word's merges are a fold: the state is the word's pieces and the ranks of
-neighbouring pairs; each step merges the leftmost pair of the least rank and asks for the two ranks that this changes.
+1. Words are counted over all documents; each distinct word (up to LONG code points) is folded once, by higher-order
+   functions: the state is the word's ids and the ranks of neighbouring pairs, a step merges the leftmost pair of the
+   least rank and looks up the two pairs that this changes. Ranks come from one literal: a table of integers, in which
+   a pair of ids is found at one of two slots. A word that is a piece as a whole has that piece's rank (a join with the
+   vocabulary). The result is a table of words with their ids.
+2. The most frequent words (at most KEPT_WORDS, by exact counts) are broadcast; documents are coded with them, in
+   chunks, and leave a hole for each other word. A chunk's other words are joined with the table of words and meet the
+   chunk again, where the holes are filled. What moves are ids and rare words, not texts.
+3. Decoding concatenates the binary pieces of the ids.
 
-Words met often are encoded once: the KEPT_WORDS most frequent distinct words of a sample go through the fold and then
-into a literal of their ids. Which words these are has no influence on any result; other words are folded where they
-stand. No row moves between tasks.
+Longer words are merged where they stand, with a heap, in time n log n.
 
 Defined results: a null or empty text has no ids and decodes to nothing; texts and words of any length are encoded
-whole; repeated rows give equal results; an empty table gives an empty one; extra columns stay.
+whole; repeated rows give equal results; an empty table gives an empty one; other columns stay, but for the text. Which
+words are broadcast changes no result. The vocabulary's file has the same path on all machines.
 """
 
 from __future__ import annotations
 
 import base64
+import heapq
 import json
+import re
+from array import array
+from collections import Counter
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from veriscope.llm.common import fresh, let, table
+from veriscope.llm.common import fresh, let, table, written
 
-#: Distinct words whose ids are kept, found in about so many documents.
-KEPT_WORDS, SAMPLE_DOCS = 30_000, 20_000
+#: Words broadcast at most, each of up to LONG code points; code points of a longer word are not folded in Spark.
+KEPT_WORDS, LONG = 1 << 19, 64
+#: Distinct words counted together in a task; code points of a chunk of documents (a longer one is a chunk alone).
+COUNTED, CHUNK = 400_000, 6_000_000
 _NO_PAIR = 2**31 - 1
+#: Texts of code points below this are split by a pattern of explicit classes, which is faster.
+_LOW = 0x250
 
+_loaded: dict = {}
 
-def read_ranks(path: str) -> dict[bytes, int]:
-    with open(path, "rb") as f:
-        return {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, f)}
-
-
-def _slot(key, level: int, bits: int) -> F.Column:
-    return F.hash(key, F.lit(level)).bitwiseAND((1 << bits) - 1)
-
-
-class LiteralMap:
-    """key -> value or null, from literals; the keys' hashes are Spark's.
-
-    Each level is an array of keys by the slot of their hash, and one of their values; keys that meet a taken slot go
-    to the next level. An empty slot says that there is no such key. ``fields`` go into the struct of literals that
-    an expression holds once (see Bpe.using); look-ups refer to that struct.
-    """
-
-    def __init__(self, spark, name: str, items: dict, kind: str):
-        self.name, self.kind, self.bits, self.fields = name, kind, [], []
-        left = list(items)
-        while left:
-            level, bits = len(self.bits), max(len(left) * 2 - 1, 1).bit_length()
-            keys: list = [None] * (1 << bits)
-            # the vocabulary, or KEPT_WORDS words: a few MB, by Arrow
-            placed = spark.createDataFrame(pd.DataFrame({"k": left}), "k string").select(_slot(F.col("k"), level, bits).alias("s")).toPandas()["s"]
-            for k, s in zip(left, placed.tolist()):
-                keys[s] = k if keys[s] is None else keys[s]
-            self.bits.append(bits)
-            self.fields += [_json(keys, "array<string>").alias(f"{name}_k{level}"), _json([None if k is None else items[k] for k in keys], f"array<{kind}>").alias(f"{name}_v{level}")]
-            here = set(keys)
-            left = [k for k in left if k not in here]
-
-    def look(self, m, key, level: int = 0) -> F.Column:
-        if level == len(self.bits):
-            return F.lit(None).cast(self.kind)
-        slot = _slot(key, level, self.bits[level])
-        found = F.get(m[f"{self.name}_k{level}"], slot)
-        return F.when(found == key, F.get(m[f"{self.name}_v{level}"], slot)).when(found.isNotNull(), self.look(m, key, level + 1))
-
-
-def _json(values: list, kind: str) -> F.Column:
-    """A literal, once the plan is made: constants are folded."""
-    return F.from_json(F.lit(json.dumps(values)), F.lit(kind))
 
+def read_ranks(path: str) -> dict[bytes, int]:
+    """Rank by piece; read once in a process."""
+    if ("ranks", path) not in _loaded:
+        with open(path, "rb") as f:
+            _loaded["ranks", path] = {base64.b64decode(piece): int(rank) for piece, rank in map(bytes.split, f)}
+    return _loaded["ranks", path]
 
-class Bpe:
-    """Ranks as literals; encode(text) and decode(ids) as columns."""
 
-    def __init__(self, spark, path: str, pattern: str):
-        self.spark, self.pattern = spark, "(?U)" + pattern
+def read_pieces(path: str) -> pa.Array:
+    """Piece by id."""
+    if ("pieces", path) not in _loaded:
         ranks = read_ranks(path)
-        self.size = max(ranks.values()) + 1
-        self.ranks = LiteralMap(spark, "rank", {k.decode("latin-1"): v for k, v in ranks.items()}, "int")
-        pieces: list[str | None] = [None] * self.size
-        for k, v in ranks.items():
-            pieces[v] = k.decode("latin-1")
-        self.pieces, self.kept = _json(pieces, "array<string>"), None
-
-    def using(self, body) -> F.Column:
-        """body(m), m the struct of all literals: one copy of them in a plan, however often they are looked into."""
-        return let(F.struct(*self.ranks.fields, *(self.kept.fields if self.kept else [])), body)
-
-    def words(self, text) -> F.Column:
-        return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pattern), F.lit(0))
-
-    def _pair(self, m, left, right) -> F.Column:
-        return F.coalesce(self.ranks.look(m, F.concat(left, right)), F.lit(_NO_PAIR))
-
-    def _step(self, m, state) -> F.Column:
+        pieces = [b""] * (max(ranks.values()) + 1)
+        for piece, rank in ranks.items():
+            pieces[rank] = piece
+        _loaded["pieces", path] = pa.array(pieces, pa.binary())
+    return _loaded["pieces", path]
+
+
+def splitter(pattern: str):
+    """text -> its words, the matches of pattern."""
+    if ("split", pattern) not in _loaded:
+        spelled = {}
+        for name in (r"\p{L}", r"\p{N}", r"\s"):
+            of = regex.compile(name)
+            spelled[name] = "".join(rf"\u{c:04x}" for c in range(_LOW) if of.match(chr(c)))
+        out, inside, at = "", False, 0
+        while at < len(pattern):
+            name = next((x for x in (*spelled, r"\S") if pattern.startswith(x, at)), pattern[at])
+            inside = name == "[" or inside and name != "]"
+            out += name if name not in spelled and name != r"\S" else rf"[^{spelled[r'\s']}]" if name == r"\S" else spelled[name] if inside else f"[{spelled[name]}]"
+            at += len(name)
+        low, whole, high = re.compile(out), regex.compile(pattern), re.compile(f"[^\\x00-{chr(_LOW - 1)}]")
+        _loaded["split", pattern] = lambda text: low.findall(text) if high.search(text) is None else whole.findall(text)
+    return _loaded["split", pattern]
+
+
+def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The ids of one word of any length: the pair of the least rank first, the leftmost among equals."""
+    n = len(word)
+    end, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    rank = lambda i: ranks.get(word[i : end[end[i]]]) if end[i] < n else None
+    heap = [(r, i, i + 2) for i in range(n) if (r := rank(i)) is not None]
+    heapq.heapify(heap)
+    alive = bytearray(b"\x01") * n
+    while heap:
+        r, i, stop = heapq.heappop(heap)
+        if not alive[i] or end[i] >= n or end[end[i]] != stop:
+            continue
+        alive[end[i]] = 0
+        end[i] = stop
+        if stop < n:
+            before[stop] = i
+        for j in (i, before[i]):
+            if j >= 0 and (r := rank(j)) is not None:
+                heapq.heappush(heap, (r, j, end[end[j]]))
+    out, i = [], 0
+    while i < n:
+        out.append(ranks[word[i : end[i]]])
+        i = end[i]
+    return out
+
+
+class PairTable:
+    """Ranks of pairs of ids as literal arrays of integers; a pair is at one of two slots that its hash names, or has no rank."""
+
+    def __init__(self, spark, ranks: dict[bytes, int]):
+        size, pairs = max(ranks.values()) + 1, {}
+        for piece, rank in ranks.items():
+            for k in range(1, len(piece)):
+                if piece[:k] in ranks and piece[k:] in ranks:
+                    pairs[ranks[piece[:k]], ranks[piece[k:]]] = rank
+        self.shift, self.kind = (16, "int") if size <= 1 << 16 else (32, "bigint")
+        # a row for each pair of pieces that the vocabulary joins; the hash is Spark's
+        rows = spark.createDataFrame(pd.DataFrame({"a": [a for a, _ in pairs], "b": [b for _, b in pairs]}), "a int, b int").select(self._hash(F.col("a"), F.col("b"))).toArrow()
+        hashes = rows.column(0).to_numpy()
+        self.bits, at = max(4, (len(pairs) * 2).bit_length()), None
+        while at is None:
+            at = self._placed(hashes)
+            self.bits += at is None
+        keys, values = np.full(1 << self.bits, -1), np.zeros(1 << self.bits, np.int64)
+        at, pair = np.array(at), np.array(list(pairs))
+        key = pair[:, 0] << self.shift | pair[:, 1]
+        keys[at], values[at] = key - ((key >> 31) << 32) if self.kind == "int" else key, list(pairs.values())
+        self.keys, self.values = (F.from_json(F.lit(json.dumps(x.tolist(), separators=(",", ":"))), F.lit(f"array<{k}>")) for x, k in ((keys, self.kind), (values, "int")))
+
+    def _hash(self, a, b):
+        return F.xxhash64(a, b)
+
+    def _slots(self, h):
+        """Two slots of a hash."""
+        mask = (1 << self.bits) - 1
+        return (h & mask, h >> 24 & mask) if isinstance(h, int) else (h.bitwiseAND(mask).cast("int"), F.shiftright(h, 24).bitwiseAND(mask).cast("int"))
+
+    def _placed(self, hashes: np.ndarray):
+        """The slot of each pair, no two in one; a pair that meets another drives it to its other slot."""
+        hashes, at, slots = hashes.tolist(), {}, [0] * len(hashes)
+        for i in range(len(hashes)):
+            now, slot = i, self._slots(hashes[i])[0]
+            for _ in range(500):
+                slots[now] = slot
+                at[slot], now = now, at.get(slot)
+                if now is None:
+                    break
+                one, two = self._slots(hashes[now])
+                slot = two if slots[now] == one else one
+            else:
+                return None
+        return slots
+
+    def look(self, t, a, b) -> F.Column:
+        """The rank of a pair of id columns, t holding the literals; _NO_PAIR where it has none."""
+        wide = a.cast("long") if self.kind == "bigint" else a
+        key, (one, two) = F.shiftleft(wide, self.shift).bitwiseOR(b), self._slots(self._hash(a, b))
+        hit = lambda slot: F.get(t["keys"], slot) == key
+        return F.when(hit(one), F.get(t["values"], one)).when(hit(two), F.get(t["values"], two)).otherwise(_NO_PAIR)
+
+
+def fold(spark, word, ranks: dict[bytes, int]) -> F.Column:
+    """The ids of a column of words: merges folded over the ids of their bytes."""
+    pairs, single = PairTable(spark, ranks), F.lit([ranks[bytes([b])] for b in range(256)])
+    none, rest = F.lit(_NO_PAIR), F.lit(1 << 24)  # rest: up to an array's end
+
+    def step(t, state):
         def merged(p):
-            pieces, ranks = state["pieces"], state["ranks"]
-            n = F.size(pieces)
-            new = F.concat(F.get(pieces, p), F.get(pieces, p + 1))
-            left = F.when(p > 0, F.array(self._pair(m, F.get(pieces, p - 1), new))).otherwise(F.array().cast("array<int>"))
-            right = F.when(p + 2 < n, F.array(self._pair(m, new, F.get(pieces, p + 2)))).otherwise(F.array().cast("array<int>"))
+            ids, found = state["ids"], state["ranks"]
+            new = F.get(found, p - 1)
+            left = F.when(p > 1, F.array(pairs.look(t, F.get(ids, p - 2), new))).otherwise(F.array().cast("array<int>"))
+            right = F.when(p < F.size(found), F.array(pairs.look(t, new, F.get(ids, p + 1)))).otherwise(F.array().cast("array<int>"))
             return F.struct(
-                F.concat(F.slice(pieces, 1, p), F.array(new), F.slice(pieces, p + 3, n)).alias("pieces"),
-                F.concat(F.slice(ranks, 1, F.greatest(p - 1, F.lit(0))), left, right, F.slice(ranks, p + 3, n)).alias("ranks"),
+                F.concat(F.slice(ids, 1, p - 1), F.array(new), F.slice(ids, p + 2, rest)).alias("ids"),
+                F.concat(F.slice(found, 1, F.greatest(p - 2, F.lit(0))), left, right, F.slice(found, p + 2, rest)).alias("ranks"),
             )
 
         least = F.array_min(state["ranks"])
-        place = F.array_position(state["ranks"], least).cast("int") - 1
-        return F.when(F.coalesce(least, F.lit(_NO_PAIR)) == _NO_PAIR, state).otherwise(let(place, merged))
-
-    def fold(self, m, single) -> F.Column:
-        """The ids of a word, its bytes given one by one: merges folded over them."""
-        start = lambda b: F.struct(b.alias("pieces"), F.transform(F.slice(b, 2, F.size(b)), lambda x, i: self._pair(m, F.get(b, i), x)).alias("ranks"))
-        end = lambda state: F.transform(state["pieces"], lambda x: self.ranks.look(m, x))
-        steps = lambda s: F.aggregate(F.slice(s["pieces"], 2, F.size(s["pieces"])), s, lambda state, _: self._step(m, state), end)
-        return let(let(single, start), steps)
-
-    def word_ids(self, m, word) -> F.Column:
-        """A word that is a piece has its rank as its one id; others are folded."""
-        latin = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
-        whole = lambda b: let(self.ranks.look(m, b), lambda r: F.when(r.isNotNull(), F.array(r)).otherwise(self.fold(m, F.regexp_extract_all(b, F.lit("(?s)."), F.lit(0)))))
-        return let(latin, whole)
-
-    def keep_words(self, docs: DataFrame, text: str = "text") -> Bpe:
-        """Encodes the most frequent distinct words of a sample once; they become a literal of at most KEPT_WORDS rows."""
-        n = docs.count()
-        some = docs.select(F.col(text)).sample(min(1.0, SAMPLE_DOCS / max(n, 1)), 1)
-        words = some.select(F.explode(self.words(F.col(text))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
-        top = words.orderBy(F.desc("n"), "w").limit(KEPT_WORDS).select("w")
-        coded = top.repartition("w").select("w", self.using(lambda m: self.word_ids(m, F.col("w"))).alias("ids"))
-        self.kept = LiteralMap(self.spark, "kept", {r["w"]: list(r["ids"]) for r in coded.toLocalIterator()}, "array<int>")
-        return self
-
-    def encode(self, text) -> F.Column:
-        """The ids of a text."""
-        one = (lambda m: lambda w: F.coalesce(self.kept.look(m, w), self.word_ids(m, w))) if self.kept else (lambda m: lambda w: self.word_ids(m, w))
-        return self.using(lambda m: F.flatten(F.transform(self.words(text), one(m))))
-
-    def decode(self, ids) -> F.Column:
-        """The bytes that ids stand for: their binary pieces, one after the other."""
-        return F.encode(F.array_join(F.transform(ids, lambda i: F.get(self.pieces, i)), ""), "ISO-8859-1")
-
-
-def little_endian(ids, size: int) -> F.Column:
-    """ids (below size) as little-endian unsigned 32-bit integers, in one binary."""
-    four = _json([i.to_bytes(4, "little").decode("latin-1") for i in range(size)], "array<string>")
-    return F.encode(F.array_join(F.transform(ids, lambda i: F.get(four, i)), ""), "ISO-8859-1")
-
-
-def tokenize(docs: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids") -> tuple[DataFrame, Bpe]:
-    """docs with the ids of their texts, array<int>; and the codec."""
-    bpe = Bpe(docs.sparkSession, path, pattern).keep_words(docs, text)
-    return docs.withColumn(out, bpe.encode(F.col(text))), bpe
+        return F.when(F.coalesce(least, none) == none, state).otherwise(let(F.array_position(state["ranks"], least).cast("int"), merged))
+
+    def folded(t, ids):
+        start = F.struct(ids.alias("ids"), F.zip_with(F.slice(ids, 1, F.size(ids) - 1), F.slice(ids, 2, rest), lambda a, b: pairs.look(t, a, b)).alias("ranks"))
+        return F.aggregate(F.slice(ids, 2, rest), start, lambda state, _: step(t, state), lambda state: state["ids"])
+
+    # bytes as characters U+0000..U+00FF
+    letters = F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), "")
+    own = F.transform(letters, lambda c: F.get(single, F.ascii(c)))
+    return let(F.struct(pairs.keys.alias("keys"), pairs.values.alias("values")), lambda t: let(own, lambda ids: folded(t, ids)))
+
+
+def _counts(pattern: str):
+    def run(batches):
+        split, seen = splitter(pattern), Counter()
+        out = lambda: pa.RecordBatch.from_pydict({"w": pa.array((own := {w: n for w, n in seen.items() if len(w) <= LONG}).keys(), pa.string()), "n": pa.array(own.values(), pa.int64())})
+        for b in batches:
+            for text in b.column(0).to_pylist():
+                if text:
+                    seen.update(split(text))
+                    if len(seen) > COUNTED:
+                        yield out()
+                        seen.clear()
+        yield out()
+
+    return run
+
+
+def word_table(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
+    """All distinct words of docs up to LONG code points: w, n (how often), ids. Written to the shared folder."""
+    ranks = read_ranks(path)
+    # one row for each piece of the vocabulary, whose size the file fixes
+    pieces = docs.sparkSession.createDataFrame(pd.DataFrame({"piece": list(ranks), "rank": list(ranks.values())}), "piece binary, rank int")
+    words = docs.select(F.col(text)).mapInArrow(_counts(pattern), "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    words = words.join(F.broadcast(pieces), F.encode("w", "UTF-8") == F.col("piece"), "left")
+    return written(words.select("w", "n", F.when(F.col("rank").isNotNull(), F.array("rank")).otherwise(fold(docs.sparkSession, F.col("w"), ranks)).alias("ids")), "words")
+
+
+def _frequent(words: DataFrame, most: int):
+    """A condition on n that at most so many words meet, found from a histogram of their counts."""
+    cell = F.floor(F.log2("n") * 16)
+    # 16 cells for each doubling of a count: at most about a thousand rows
+    cells = sorted(words.groupBy(cell.alias("c")).agg(F.count("*").alias("k")).collect(), reverse=True)
+    least, kept = 64 * 16, 0
+    for r in cells:
+        kept += r["k"]
+        if kept > most:
+            break
+        least = r["c"]
+    return cell >= least
+
+
+class _Coder(dict):
+    """Bytes of ids by word; a word that is not kept leaves a hole and is noted."""
+
+    def __init__(self, kept: pa.Table, kind: str, path: str):
+        flat, ends = kept["ids"].combine_chunks(), None
+        values, ends = flat.values.to_numpy().astype(kind), flat.offsets.to_numpy()
+        raw, size = values.tobytes(), np.dtype(kind).itemsize
+        super().__init__(zip(kept["w"].to_pylist(), [raw[a * size : e * size] for a, e in zip(ends[:-1].tolist(), ends[1:].tolist())]))
+        self.kind, self.path, self.hole = kind, path, np.array([np.iinfo(kind).max], kind).tobytes()
+        self.fresh()
+
+    def fresh(self):
+        self.others, self.holes = {}, array("I")
+
+    def __missing__(self, word):
+        if len(word) > LONG:
+            return np.array(merge_long(word.encode(), read_ranks(self.path)), self.kind).tobytes()
+        self.holes.append(self.others.setdefault(word, len(self.others)))
+        return self.hole
+
+
+def _coder(shared, kind: str, path: str) -> _Coder:
+    """The coder of a broadcast table of words; made once in a process."""
+    if ("coder", shared.value["id"]) not in _loaded:
+        for old in [k for k in _loaded if k[0] == "coder"]:
+            del _loaded[old]
+        _loaded["coder", shared.value["id"]] = _Coder(pa.ipc.open_stream(shared.value["words"]).read_all(), kind, path)
+    return _loaded["coder", shared.value["id"]]
+
+
+def _code(shared, kind: str, path: str, pattern: str, names: list[str]):
+    """Rows with chunk, codes and holes instead of the text; the last row of a chunk lists its other words."""
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        split, coder, pack = splitter(pattern), _coder(shared, kind, path), pa.Codec("zstd", 1)
+        chunk = TaskContext.get().partitionId() << 32
+        for b in batches:
+            texts = b.column(b.schema.get_field_index("_text")).to_pylist()
+            lo = 0
+            while lo < len(texts):
+                coder.fresh()
+                codes, lengths, holes, hi, chars = [], [], [], lo, 0
+                while hi < len(texts) and (hi == lo or chars + len(texts[hi] or "") <= CHUNK):
+                    text = texts[hi] or ""
+                    raw = b"".join(map(coder.__getitem__, split(text)))
+                    lengths.append(len(raw))
+                    codes.append(pack.compress(raw, asbytes=True))
+                    holes.append(coder.holes.tobytes())
+                    coder.holes = array("I")
+                    chars += len(text)
+                    hi += 1
+                others = [None] * (hi - lo - 1) + [list(coder.others)]
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(b.schema.get_field_index(n)).slice(lo, hi - lo) for n in names]
+                    + [pa.array([chunk] * (hi - lo), pa.int64()), pa.array(lengths, pa.int32()), pa.array(codes, pa.binary()), pa.array(holes, pa.binary()), pa.array(others, pa.list_(pa.string()))],
+                    [*names, "_chunk", "_length", "_codes", "_holes", "_others"],
+                )
+                chunk += 1
+                lo = hi
+
+    return run
+
+
+def _other_words(chunk: pa.Table) -> pa.Table:
+    words = pa.array(next(x for x in chunk["_others"].to_pylist() if x is not None), pa.string())
+    return pa.table({"_chunk": pa.repeat(chunk["_chunk"][0], len(words)), "w": words})
+
+
+def _fill(kind: str, names: list[str]):
+    """Puts the ids of a chunk's other words into the holes of its documents."""
+
+    def run(chunk: pa.Table, found: pa.Table) -> pa.Table:
+        pack, size = pa.Codec("zstd", 1), np.dtype(kind).itemsize
+        own = next((x for x in chunk["_others"].to_pylist() if x is not None), [])
+        ids = dict(zip(found["w"].to_pylist(), found["ids"].to_pylist()))
+        ids = [ids[w] for w in own]  # a word that is missing here is an error
+        flat = np.array([i for x in ids for i in x], np.int32)
+        n = np.array([len(x) for x in ids], np.int64)
+        begin = np.cumsum(n) - n
+        values, counts = [], []
+        for codes, length, holes in zip(chunk["_codes"].to_pylist(), chunk["_length"].to_pylist(), chunk["_holes"].to_pylist()):
+            code = np.frombuffer(pack.decompress(codes, length, asbytes=True), kind) if length else np.zeros(0, kind)
+            word = np.frombuffer(holes, "u4")
+            if len(word):
+                at = np.flatnonzero(code == np.iinfo(kind).max)
+                width = np.ones(len(code), np.int64)
+                width[at] = n[word]
+                whole = np.repeat(code.astype(np.int32), width)
+                ends = np.cumsum(width)[at]
+                # where each id of a hole goes, and where it comes from
+                step = np.arange(n[word].sum()) - np.repeat(np.cumsum(n[word]) - n[word], n[word])
+                whole[np.repeat(ends - n[word], n[word]) + step] = flat[np.repeat(begin[word], n[word]) + step]
+            else:
+                whole = code.astype(np.int32)
+            values.append(whole)
+            counts.append(len(whole))
+        offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+        out = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(values), pa.int32()))
+        return pa.Table.from_arrays([*(chunk[x] for x in names), out], [*names, "_ids"])
+
+    return run
+
+
+def tokenize(docs: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
+    """docs without the text, with the ids of their texts: array<int> named out."""
+    spark, size = docs.sparkSession, len(read_pieces(path))
+    kind = "<u2" if size < 2**16 - 1 else "<u4"
+    words = word_table(docs, path, pattern, text)
+    frequent = _frequent(words, KEPT_WORDS)
+    kept = words.where(frequent).select("w", "ids").toArrow()  # at most KEPT_WORDS rows of at most LONG code points
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, kept.schema) as stream:
+        stream.write_table(kept)
+    shared = spark.sparkContext.broadcast({"id": f"{spark.sparkContext.applicationId}-{id(sink)}-{words.inputFiles()[:1]}", "words": sink.getvalue().to_pybytes()})
+
+    # other columns travel under names of their own, so that none can clash
+    own = [c for c in docs.columns if c != text]
+    names = [f"c{i}" for i in range(len(own))]
+    plain = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(own, names)], F.col(text).alias("_text"))
+    kinds = StructType([f for f in plain.schema if f.name != "_text"])
+    coded_schema = StructType([*kinds.fields, *StructType.fromDDL("_chunk long, _length int, _codes binary, _holes binary, _others array<string>").fields])
+    coded = plain.mapInArrow(_code(shared, kind, path, pattern, names), coded_schema)
+    # both uses group all columns by chunk, so one shuffle serves them
+    others = coded.groupBy("_chunk").applyInArrow(_other_words, "_chunk long, w string")
+    found = others.join(words.where(~frequent).select("w", "ids"), "w")
+    whole = coded.groupBy("_chunk").cogroup(found.groupBy("_chunk")).applyInArrow(_fill(kind, names), StructType([*kinds.fields, *StructType.fromDDL("_ids array<int>").fields]))
+    return whole.select(*[F.col(n).alias(c) for c, n in zip(own, names)], F.col("_ids").alias(out))
+
+
+def decode(ids, path: str) -> F.Column:
+    """The bytes that a column of ids stands for: their binary pieces, one after the other."""
+
+    @F.arrow_udf("binary")
+    def pieces_of(x: pa.Array) -> pa.Array:
+        flat, ends = x.flatten(), np.concatenate([[0], np.cumsum(x.value_lengths().fill_null(0).to_numpy())])
+        pieces = read_pieces(path).take(flat)
+        at, data = np.frombuffer(pieces.buffers()[1], np.int32, len(pieces) + 1), pieces.buffers()[2]
+        return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(np.ascontiguousarray(at[ends])), data])
+
+    return pieces_of(F.coalesce(ids, F.array().cast("array<int>")))
+
+
+def little_endian(ids) -> F.Column:
+    """A column of ids as little-endian unsigned 32-bit integers, in one binary."""
+
+    @F.arrow_udf("binary")
+    def bytes_of(x: pa.Array) -> pa.Array:
+        flat, ends = x.flatten().to_numpy().astype("<u4"), np.concatenate([[0], np.cumsum(x.value_lengths().fill_null(0).to_numpy())])
+        return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer((4 * ends).astype(np.int32)), pa.py_buffer(flat)])
+
+    return bytes_of(F.coalesce(ids, F.array().cast("array<int>")))
 
 
 def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: id, n_tokens, and sha256 of the ids and of what they decode to."""
     ids = fresh(docs, "_ids")
-    coded, bpe = tokenize(docs.select(id_col, text), path, pattern, text, ids)
+    coded = tokenize(docs.select(id_col, text), path, pattern, text, ids)
     i = F.col(ids)
-    return coded.select(id_col, F.size(i).cast("long").alias("n_tokens"), F.sha2(little_endian(i, bpe.size), 256).alias("ids_sha256"), F.sha2(bpe.decode(i), 256).alias("decoded_sha256"))
+    return coded.select(id_col, F.size(i).cast("long").alias("n_tokens"), F.sha2(little_endian(i), 256).alias("ids_sha256"), F.sha2(decode(i, path), 256).alias("decoded_sha256"))
 
 
 def op6_byte_bpe(spark, sf_dir):
