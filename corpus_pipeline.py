@@ -33,11 +33,12 @@ def mixture(spark, docs, sf_dir):
 
 
 def tokens(spark, docs, sf_dir):
-    """Token ids of each document: doc_id, lang, source, n_tokens, ids."""
+    """Token ids of each document, and the text that they decode to: doc_id, lang, source, n_tokens, ids, text."""
     import public_tokenizers
 
-    coded, _ = byte_bpe.tokenize(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    coded = byte_bpe.tokenize(docs.select("doc_id", "lang", "source", "text"), path, public_tokenizers.PATTERN)
+    return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", byte_bpe.decode(F.col("ids"), path).cast("string").alias("text"))
 
 
 STAGES = [("quality_rules", quality), ("shingle_join", near_duplicates), ("secret_crf", secrets), ("source_mix", mixture), ("byte_bpe", tokens)]
