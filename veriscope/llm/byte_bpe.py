@@ -1,20 +1,20 @@
-"""Byte-level BPE: ranked merges folded over the bytes of each distinct word, ids brought back to documents by joins.
-
-1. Words are counted over all documents; each distinct word (up to LONG code points) is folded once, by higher-order
-   functions: the state is the word's ids and the ranks of neighbouring pairs, a step merges the leftmost pair of the
-   least rank and looks up the two pairs that this changes. Ranks come from one literal: a table of integers, in which
-   a pair of ids is found at one of two slots. A word that is a piece as a whole has that piece's rank (a join with the
-   vocabulary). The result is a table of words with their ids.
-2. The most frequent words (at most KEPT_WORDS, by exact counts) are broadcast; documents are coded with them, in
-   chunks, and leave a hole for each other word. A chunk's other words are joined with the table of words and meet the
-   chunk again, where the holes are filled. What moves are ids and rare words, not texts.
+"""Byte-level BPE: ranked merges folded over the bytes of distinct words, by higher-order functions.
+
+1. Words are counted over all documents; the most frequent ones (at most KEPT_WORDS, by exact counts) are folded once
+   each and broadcast with their ids.
+2. Documents are coded with them, in chunks of about CHUNK code points. A chunk lists the distinct words that it has
+   besides; these go through the same fold where they stand, once for the chunk, and are put in. No text and no ids move
+   between tasks.
 3. Decoding concatenates the binary pieces of the ids.
 
-Longer words are merged where they stand, with a heap, in time n log n.
+The fold: the state is the word's ids and the ranks of neighbouring pairs; a step merges the leftmost pair of the least
+rank and looks up the two pairs that this changes. Ranks come from a literal: two arrays of integers, in which a pair of
+ids is at one of two slots. A kept word that is a piece as a whole has that piece's rank. Words of more than LONG code
+points are merged with a heap instead, in time n log n.
 
 Defined results: a null or empty text has no ids and decodes to nothing; texts and words of any length are encoded
 whole; repeated rows give equal results; an empty table gives an empty one; other columns stay, but for the text. Which
-words are broadcast changes no result. The vocabulary's file has the same path on all machines.
+words are kept changes no result. The vocabulary's file has the same path on all machines.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ import base64
 import heapq
 import json
 import re
+import uuid
 from array import array
 from collections import Counter
 
@@ -32,13 +33,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-from veriscope.llm.common import fresh, let, table, written
+from veriscope.llm.common import fresh, table, written
 
-#: Words broadcast at most, each of up to LONG code points; code points of a longer word are not folded in Spark.
+#: Words broadcast at most, each of up to LONG code points.
 KEPT_WORDS, LONG = 1 << 19, 64
-#: Distinct words counted together in a task; code points of a chunk of documents (a longer one is a chunk alone).
+#: Distinct words counted together in a task; code points of a chunk of documents (a longer document is a chunk alone).
 COUNTED, CHUNK = 400_000, 6_000_000
 _NO_PAIR = 2**31 - 1
 #: Texts of code points below this are split by a pattern of explicit classes, which is faster.
@@ -121,7 +121,7 @@ class PairTable:
                     pairs[ranks[piece[:k]], ranks[piece[k:]]] = rank
         self.shift, self.kind = (16, "int") if size <= 1 << 16 else (32, "bigint")
         # a row for each pair of pieces that the vocabulary joins; the hash is Spark's
-        rows = spark.createDataFrame(pd.DataFrame({"a": [a for a, _ in pairs], "b": [b for _, b in pairs]}), "a int, b int").select(self._hash(F.col("a"), F.col("b"))).toArrow()
+        rows = spark.createDataFrame(pd.DataFrame({"a": [a for a, _ in pairs], "b": [b for _, b in pairs]}), "a int, b int").select(F.xxhash64("a", "b")).toArrow()
         hashes = rows.column(0).to_numpy()
         self.bits, at = max(4, (len(pairs) * 2).bit_length()), None
         while at is None:
@@ -131,15 +131,17 @@ class PairTable:
         at, pair = np.array(at), np.array(list(pairs))
         key = pair[:, 0] << self.shift | pair[:, 1]
         keys[at], values[at] = key - ((key >> 31) << 32) if self.kind == "int" else key, list(pairs.values())
-        self.keys, self.values = (F.from_json(F.lit(json.dumps(x.tolist(), separators=(",", ":"))), F.lit(f"array<{k}>")) for x, k in ((keys, self.kind), (values, "int")))
+        self.rows = {"keys": (keys.tolist(), self.kind), "values": (values.tolist(), "int")}
 
-    def _hash(self, a, b):
-        return F.xxhash64(a, b)
+    def literal(self, name: str) -> str:
+        """SQL: an array, constant once the plan is made."""
+        values, kind = self.rows[name]
+        return f"from_json('{json.dumps(values, separators=(',', ':'))}', 'array<{kind}>')"
 
-    def _slots(self, h):
+    def _slots(self, h: int):
         """Two slots of a hash."""
         mask = (1 << self.bits) - 1
-        return (h & mask, h >> 24 & mask) if isinstance(h, int) else (h.bitwiseAND(mask).cast("int"), F.shiftright(h, 24).bitwiseAND(mask).cast("int"))
+        return h & mask, h >> 24 & mask
 
     def _placed(self, hashes: np.ndarray):
         """The slot of each pair, no two in one; a pair that meets another drives it to its other slot."""
@@ -157,41 +159,39 @@ class PairTable:
                 return None
         return slots
 
-    def look(self, t, a, b) -> F.Column:
-        """The rank of a pair of id columns, t holding the literals; _NO_PAIR where it has none."""
-        wide = a.cast("long") if self.kind == "bigint" else a
-        key, (one, two) = F.shiftleft(wide, self.shift).bitwiseOR(b), self._slots(self._hash(a, b))
-        hit = lambda slot: F.get(t["keys"], slot) == key
-        return F.when(hit(one), F.get(t["values"], one)).when(hit(two), F.get(t["values"], two)).otherwise(_NO_PAIR)
-
-
-def fold(spark, word, ranks: dict[bytes, int]) -> F.Column:
-    """The ids of a column of words: merges folded over the ids of their bytes."""
-    pairs, single = PairTable(spark, ranks), F.lit([ranks[bytes([b])] for b in range(256)])
-    none, rest = F.lit(_NO_PAIR), F.lit(1 << 24)  # rest: up to an array's end
-
-    def step(t, state):
-        def merged(p):
-            ids, found = state["ids"], state["ranks"]
-            new = F.get(found, p - 1)
-            left = F.when(p > 1, F.array(pairs.look(t, F.get(ids, p - 2), new))).otherwise(F.array().cast("array<int>"))
-            right = F.when(p < F.size(found), F.array(pairs.look(t, new, F.get(ids, p + 1)))).otherwise(F.array().cast("array<int>"))
-            return F.struct(
-                F.concat(F.slice(ids, 1, p - 1), F.array(new), F.slice(ids, p + 2, rest)).alias("ids"),
-                F.concat(F.slice(found, 1, F.greatest(p - 2, F.lit(0))), left, right, F.slice(found, p + 2, rest)).alias("ranks"),
-            )
-
-        least = F.array_min(state["ranks"])
-        return F.when(F.coalesce(least, none) == none, state).otherwise(let(F.array_position(state["ranks"], least).cast("int"), merged))
-
-    def folded(t, ids):
-        start = F.struct(ids.alias("ids"), F.zip_with(F.slice(ids, 1, F.size(ids) - 1), F.slice(ids, 2, rest), lambda a, b: pairs.look(t, a, b)).alias("ranks"))
-        return F.aggregate(F.slice(ids, 2, rest), start, lambda state, _: step(t, state), lambda state: state["ids"])
-
+    def look(self, a: str, b: str) -> str:
+        """SQL: the rank of a pair of ids, t holding the literals; _NO_PAIR where it has none."""
+        mask, h = (1 << self.bits) - 1, f"xxhash64({a}, {b})"
+        key = f"(shiftleft({a}, {self.shift}) | {b})" if self.kind == "int" else f"(shiftleft(bigint({a}), {self.shift}) | {b})"
+        one, two = f"int({h} & {mask})", f"int(shiftright({h}, 24) & {mask})"
+        return f"CASE WHEN get(t.keys, {one}) = {key} THEN get(t.values, {one}) WHEN get(t.keys, {two}) = {key} THEN get(t.values, {two}) ELSE {_NO_PAIR} END"
+
+
+def fold(spark, words: str, ranks: dict[bytes, int]) -> F.Column:
+    """The ids of each word in a column of arrays of words: merges folded over the ids of its bytes.
+
+    A step takes the place p of the least rank. Its pair becomes one id, which is that rank; the ranks of the pairs on
+    both sides are looked up anew.
+    """
+    t = PairTable(spark, ranks)
+    end, no = 1 << 24, "cast(array() AS array<int>)"
+    single = ", ".join(str(ranks[bytes([b])]) for b in range(256))
+    let = lambda value, name, body: f"element_at(transform(array({value}), {name} -> {body}), 1)"
+    # m: the least rank and, in its last 12 bits, its place; words of up to 4096 bytes
+    place = "(r, i) -> shiftleft(bigint(r), 12) | i"
+    merged = f"""struct(
+        concat(slice(s.ids, 1, p), array(new), slice(s.ids, p + 3, {end})) AS ids,
+        concat(slice(s.ranks, 1, greatest(p - 1, 0)),
+               CASE WHEN p > 0 THEN array({t.look("get(s.ids, p - 1)", "new")}) ELSE {no} END,
+               CASE WHEN p + 1 < size(s.ranks) THEN array({t.look("new", "get(s.ids, p + 2)")}) ELSE {no} END,
+               slice(s.ranks, p + 3, {end})) AS ranks)"""
+    step = f"CASE WHEN coalesce(m, {_NO_PAIR << 12}) >= {_NO_PAIR << 12} THEN s ELSE {let('int(m & 4095)', 'p', let('int(shiftright(m, 12))', 'new', merged))} END"
+    step = let(f"array_min(transform(s.ranks, {place}))", "m", step)
+    start = f"struct(ids AS ids, zip_with(slice(ids, 1, size(ids) - 1), slice(ids, 2, {end}), (a, b) -> {t.look('a', 'b')}) AS ranks)"
+    folded = f"aggregate(slice(ids, 2, {end}), {start}, (s, x) -> {step}, s -> s.ids)"
     # bytes as characters U+0000..U+00FF
-    letters = F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), "")
-    own = F.transform(letters, lambda c: F.get(single, F.ascii(c)))
-    return let(F.struct(pairs.keys.alias("keys"), pairs.values.alias("values")), lambda t: let(own, lambda ids: folded(t, ids)))
+    own = f"transform(split(decode(encode(w, 'UTF-8'), 'ISO-8859-1'), ''), c -> get(array({single}), ascii(c)))"
+    return F.expr(let(f"struct({t.literal('keys')} AS keys, {t.literal('values')} AS values)", "t", f"transform({words}, w -> {let(own, 'ids', folded)})"))
 
 
 def _counts(pattern: str):
@@ -210,159 +210,119 @@ def _counts(pattern: str):
     return run
 
 
-def word_table(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
-    """All distinct words of docs up to LONG code points: w, n (how often), ids. Written to the shared folder."""
+def frequent_words(docs: DataFrame, path: str, pattern: str, text: str = "text", most: int | None = None) -> DataFrame:
+    """The most frequent words of docs, at most so many, with their ids: w, ids. Counts cover all documents."""
     ranks = read_ranks(path)
-    # one row for each piece of the vocabulary, whose size the file fixes
-    pieces = docs.sparkSession.createDataFrame(pd.DataFrame({"piece": list(ranks), "rank": list(ranks.values())}), "piece binary, rank int")
-    words = docs.select(F.col(text)).mapInArrow(_counts(pattern), "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
-    words = words.join(F.broadcast(pieces), F.encode("w", "UTF-8") == F.col("piece"), "left")
-    return written(words.select("w", "n", F.when(F.col("rank").isNotNull(), F.array("rank")).otherwise(fold(docs.sparkSession, F.col("w"), ranks)).alias("ids")), "words")
-
-
-def _frequent(words: DataFrame, most: int):
-    """A condition on n that at most so many words meet, found from a histogram of their counts."""
-    cell = F.floor(F.log2("n") * 16)
-    # 16 cells for each doubling of a count: at most about a thousand rows
-    cells = sorted(words.groupBy(cell.alias("c")).agg(F.count("*").alias("k")).collect(), reverse=True)
-    least, kept = 64 * 16, 0
-    for r in cells:
+    words = written(docs.select(F.col(text)).mapInArrow(_counts(pattern), "w string, n long").groupBy("w").agg(F.sum("n").alias("n")), "words")
+    # a histogram of counts, 16 cells for each doubling of a count: at most about a thousand rows
+    cell, least, kept = F.floor(F.log2("n") * 16), 64 * 16, 0
+    for r in sorted(words.groupBy(cell.alias("c")).agg(F.count("*").alias("k")).collect(), reverse=True):
         kept += r["k"]
-        if kept > most:
+        if kept > (KEPT_WORDS if most is None else most):
             break
         least = r["c"]
-    return cell >= least
+    # one row for each piece of the vocabulary, whose size the file fixes
+    pieces = docs.sparkSession.createDataFrame(pd.DataFrame({"piece": list(ranks), "rank": list(ranks.values())}), "piece binary, rank int")
+    kept = words.where(cell >= least).join(F.broadcast(pieces), F.encode("w", "UTF-8") == F.col("piece"), "left").repartition("w")
+    return kept.select("w", F.when(F.col("rank").isNotNull(), F.array("rank")).otherwise(fold(docs.sparkSession, "array(w)", ranks)[0]).alias("ids"))
 
 
 class _Coder(dict):
-    """Bytes of ids by word; a word that is not kept leaves a hole and is noted."""
+    """Numbers of kept words; another word is given the next number and noted."""
 
-    def __init__(self, kept: pa.Table, kind: str, path: str):
-        flat, ends = kept["ids"].combine_chunks(), None
-        values, ends = flat.values.to_numpy().astype(kind), flat.offsets.to_numpy()
-        raw, size = values.tobytes(), np.dtype(kind).itemsize
-        super().__init__(zip(kept["w"].to_pylist(), [raw[a * size : e * size] for a, e in zip(ends[:-1].tolist(), ends[1:].tolist())]))
-        self.kind, self.path, self.hole = kind, path, np.array([np.iinfo(kind).max], kind).tobytes()
-        self.fresh()
-
-    def fresh(self):
-        self.others, self.holes = {}, array("I")
+    def __init__(self, kept: pa.Table):
+        super().__init__(zip(kept["w"].to_pylist(), range(len(kept))))
+        self.first = len(kept)
+        ids = kept["ids"].combine_chunks()
+        self.flat, self.ends = ids.values.to_numpy().astype(np.int32), ids.offsets.to_numpy().astype(np.int64)
+        self.others: dict[str, int] = {}
 
     def __missing__(self, word):
-        if len(word) > LONG:
-            return np.array(merge_long(word.encode(), read_ranks(self.path)), self.kind).tobytes()
-        self.holes.append(self.others.setdefault(word, len(self.others)))
-        return self.hole
+        return self.others.setdefault(word, self.first + len(self.others))
 
 
-def _coder(shared, kind: str, path: str) -> _Coder:
+def _coder(shared) -> _Coder:
     """The coder of a broadcast table of words; made once in a process."""
-    if ("coder", shared.value["id"]) not in _loaded:
-        for old in [k for k in _loaded if k[0] == "coder"]:
-            del _loaded[old]
-        _loaded["coder", shared.value["id"]] = _Coder(pa.ipc.open_stream(shared.value["words"]).read_all(), kind, path)
-    return _loaded["coder", shared.value["id"]]
+    if _loaded.get("coder", (None, None))[0] != shared.value["id"]:
+        _loaded["coder"] = shared.value["id"], _Coder(pa.ipc.open_stream(shared.value["words"]).read_all())
+    return _loaded["coder"][1]
 
 
-def _code(shared, kind: str, path: str, pattern: str, names: list[str]):
-    """Rows with chunk, codes and holes instead of the text; the last row of a chunk lists its other words."""
+def _code(shared, pattern: str):
+    """One row for each chunk of documents: the documents without text, their numbers of words, all words' numbers, and the words that are not kept."""
 
     def run(batches):
-        from pyspark import TaskContext
-
-        split, coder, pack = splitter(pattern), _coder(shared, kind, path), pa.Codec("zstd", 1)
-        chunk = TaskContext.get().partitionId() << 32
+        split, coder = splitter(pattern), _coder(shared)
         for b in batches:
-            texts = b.column(b.schema.get_field_index("_text")).to_pylist()
+            texts, docs = b.column(1).to_pylist(), b.column(0)
             lo = 0
             while lo < len(texts):
-                coder.fresh()
-                codes, lengths, holes, hi, chars = [], [], [], lo, 0
+                coder.others, words, counts, hi, chars = {}, array("I"), [], lo, 0
                 while hi < len(texts) and (hi == lo or chars + len(texts[hi] or "") <= CHUNK):
-                    text = texts[hi] or ""
-                    raw = b"".join(map(coder.__getitem__, split(text)))
-                    lengths.append(len(raw))
-                    codes.append(pack.compress(raw, asbytes=True))
-                    holes.append(coder.holes.tobytes())
-                    coder.holes = array("I")
-                    chars += len(text)
+                    before = len(words)
+                    words.extend(map(coder.__getitem__, split(texts[hi] or "")))
+                    counts.append(len(words) - before)
+                    chars += len(texts[hi] or "")
                     hi += 1
-                others = [None] * (hi - lo - 1) + [list(coder.others)]
+                others = list(coder.others)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(b.schema.get_field_index(n)).slice(lo, hi - lo) for n in names]
-                    + [pa.array([chunk] * (hi - lo), pa.int64()), pa.array(lengths, pa.int32()), pa.array(codes, pa.binary()), pa.array(holes, pa.binary()), pa.array(others, pa.list_(pa.string()))],
-                    [*names, "_chunk", "_length", "_codes", "_holes", "_others"],
+                    [
+                        pa.ListArray.from_arrays(pa.array([0, hi - lo], pa.int32()), docs.slice(lo, hi - lo)),
+                        pa.array([counts], pa.list_(pa.int32())),
+                        pa.array([words.tobytes()], pa.binary()),
+                        pa.array([[w for w in others if len(w) <= LONG]], pa.list_(pa.string())),
+                        pa.array([[w for w in others if len(w) > LONG]], pa.list_(pa.string())),
+                        pa.array([[len(w) > LONG for w in others]], pa.list_(pa.bool_())),
+                    ],
+                    ["docs", "counts", "words", "others", "long", "is_long"],
                 )
-                chunk += 1
                 lo = hi
 
     return run
 
 
-def _other_words(chunk: pa.Table) -> pa.Table:
-    words = pa.array(next(x for x in chunk["_others"].to_pylist() if x is not None), pa.string())
-    return pa.table({"_chunk": pa.repeat(chunk["_chunk"][0], len(words)), "w": words})
-
-
-def _fill(kind: str, names: list[str]):
-    """Puts the ids of a chunk's other words into the holes of its documents."""
-
-    def run(chunk: pa.Table, found: pa.Table) -> pa.Table:
-        pack, size = pa.Codec("zstd", 1), np.dtype(kind).itemsize
-        own = next((x for x in chunk["_others"].to_pylist() if x is not None), [])
-        ids = dict(zip(found["w"].to_pylist(), found["ids"].to_pylist()))
-        ids = [ids[w] for w in own]  # a word that is missing here is an error
-        flat = np.array([i for x in ids for i in x], np.int32)
-        n = np.array([len(x) for x in ids], np.int64)
-        begin = np.cumsum(n) - n
-        values, counts = [], []
-        for codes, length, holes in zip(chunk["_codes"].to_pylist(), chunk["_length"].to_pylist(), chunk["_holes"].to_pylist()):
-            code = np.frombuffer(pack.decompress(codes, length, asbytes=True), kind) if length else np.zeros(0, kind)
-            word = np.frombuffer(holes, "u4")
-            if len(word):
-                at = np.flatnonzero(code == np.iinfo(kind).max)
-                width = np.ones(len(code), np.int64)
-                width[at] = n[word]
-                whole = np.repeat(code.astype(np.int32), width)
-                ends = np.cumsum(width)[at]
-                # where each id of a hole goes, and where it comes from
-                step = np.arange(n[word].sum()) - np.repeat(np.cumsum(n[word]) - n[word], n[word])
-                whole[np.repeat(ends - n[word], n[word]) + step] = flat[np.repeat(begin[word], n[word]) + step]
-            else:
-                whole = code.astype(np.int32)
-            values.append(whole)
-            counts.append(len(whole))
-        offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
-        out = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(values), pa.int32()))
-        return pa.Table.from_arrays([*(chunk[x] for x in names), out], [*names, "_ids"])
+def _fill(shared, path: str):
+    """The documents of each chunk again, with their ids."""
+
+    def run(batches):
+        coder = _coder(shared)
+        for b in batches:
+            for row in range(b.num_rows):
+                docs, counts, raw, _, long, is_long, found = (b.column(i)[row] for i in range(7))
+                n, long = np.array(counts.as_py(), np.int64), iter(long.as_py())
+                own = [merge_long(next(long).encode(), read_ranks(path)) if at else None for at in is_long.as_py()]
+                found = iter(found.as_py())
+                own = [next(found) if x is None else x for x in own]
+                words = np.frombuffer(raw.as_py(), "u4").astype(np.int64)
+                flat = np.concatenate([coder.flat, np.array([i for x in own for i in x], np.int32)])
+                ends = np.concatenate([coder.ends, coder.ends[-1] + np.cumsum([len(x) for x in own], dtype=np.int64)])
+                begin, width = ends[words], ends[words + 1] - ends[words]
+                upto = np.concatenate([[0], np.cumsum(width)])
+                ids = flat[np.repeat(begin - upto[:-1], width) + np.arange(upto[-1])]
+                offsets = upto[np.concatenate([[0], np.cumsum(n)])].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([docs.values, pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, pa.int32()))], ["doc", "ids"])
 
     return run
 
 
 def tokenize(docs: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
     """docs without the text, with the ids of their texts: array<int> named out."""
-    spark, size = docs.sparkSession, len(read_pieces(path))
-    kind = "<u2" if size < 2**16 - 1 else "<u4"
-    words = word_table(docs, path, pattern, text)
-    frequent = _frequent(words, KEPT_WORDS)
-    kept = words.where(frequent).select("w", "ids").toArrow()  # at most KEPT_WORDS rows of at most LONG code points
+    spark = docs.sparkSession
+    kept = frequent_words(docs, path, pattern, text).toArrow()  # at most KEPT_WORDS rows of at most LONG code points
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, kept.schema) as stream:
         stream.write_table(kept)
-    shared = spark.sparkContext.broadcast({"id": f"{spark.sparkContext.applicationId}-{id(sink)}-{words.inputFiles()[:1]}", "words": sink.getvalue().to_pybytes()})
+    shared = spark.sparkContext.broadcast({"id": uuid.uuid4().hex, "words": sink.getvalue().to_pybytes()})
 
-    # other columns travel under names of their own, so that none can clash
+    # other columns travel in a struct, under names of their own, so that none can clash
     own = [c for c in docs.columns if c != text]
-    names = [f"c{i}" for i in range(len(own))]
-    plain = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(own, names)], F.col(text).alias("_text"))
-    kinds = StructType([f for f in plain.schema if f.name != "_text"])
-    coded_schema = StructType([*kinds.fields, *StructType.fromDDL("_chunk long, _length int, _codes binary, _holes binary, _others array<string>").fields])
-    coded = plain.mapInArrow(_code(shared, kind, path, pattern, names), coded_schema)
-    # both uses group all columns by chunk, so one shuffle serves them
-    others = coded.groupBy("_chunk").applyInArrow(_other_words, "_chunk long, w string")
-    found = others.join(words.where(~frequent).select("w", "ids"), "w")
-    whole = coded.groupBy("_chunk").cogroup(found.groupBy("_chunk")).applyInArrow(_fill(kind, names), StructType([*kinds.fields, *StructType.fromDDL("_ids array<int>").fields]))
-    return whole.select(*[F.col(n).alias(c) for c, n in zip(own, names)], F.col("_ids").alias(out))
+    doc = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(own)], F.lit(0).alias("row"))
+    plain = docs.select(doc.alias("doc"), F.col(text).alias("text"))
+    kind = plain.schema["doc"].dataType.simpleString()
+    chunks = plain.mapInArrow(_code(shared, pattern), f"docs array<{kind}>, counts array<int>, words binary, others array<string>, long array<string>, is_long array<boolean>")
+    chunks = chunks.withColumn("found", fold(spark, "others", read_ranks(path)))
+    whole = chunks.mapInArrow(_fill(shared, path), f"doc {kind}, ids array<int>")
+    return whole.select(*[F.col(f"doc.c{i}").alias(c) for i, c in enumerate(own)], F.col("ids").alias(out))
 
 
 def decode(ids, path: str) -> F.Column:
