@@ -37,9 +37,9 @@ from pyspark.sql import functions as F
 from veriscope.llm.common import fresh, table, written
 
 #: Words broadcast at most, each of up to LONG code points.
-KEPT_WORDS, LONG = 1 << 19, 64
+KEPT_WORDS, LONG = 3 << 17, 64
 #: Distinct words counted together in a task; code points of a chunk of documents (a longer document is a chunk alone).
-COUNTED, CHUNK = 400_000, 6_000_000
+COUNTED, CHUNK = 250_000, 4_000_000
 _NO_PAIR = 2**31 - 1
 #: Texts of code points below this are split by a pattern of explicit classes, which is faster.
 _LOW = 0x250
@@ -232,27 +232,31 @@ class _Coder(dict):
 
     def __init__(self, kept: pa.Table):
         super().__init__(zip(kept["w"].to_pylist(), range(len(kept))))
-        self.first = len(kept)
-        ids = kept["ids"].combine_chunks()
-        self.flat, self.ends = ids.values.to_numpy().astype(np.int32), ids.offsets.to_numpy().astype(np.int64)
-        self.others: dict[str, int] = {}
+        self.first, self.others = len(kept), {}
 
     def __missing__(self, word):
         return self.others.setdefault(word, self.first + len(self.others))
 
 
-def _coder(shared) -> _Coder:
-    """The coder of a broadcast table of words; made once in a process."""
-    if _loaded.get("coder", (None, None))[0] != shared.value["id"]:
-        _loaded["coder"] = shared.value["id"], _Coder(pa.ipc.open_stream(shared.value["words"]).read_all())
-    return _loaded["coder"][1]
+def _kept(shared, make):
+    """What make makes of a broadcast table of words; once in a process, the last one only."""
+    name = "kept", make.__name__
+    if _loaded.get(name, (None, None))[0] != shared.value["id"]:
+        _loaded[name] = shared.value["id"], make(pa.ipc.open_stream(shared.value["words"]).read_all())
+    return _loaded[name][1]
+
+
+def _kept_ids(kept: pa.Table):
+    """The ids of the kept words in a row, and where each word's begin and end."""
+    ids = kept["ids"].combine_chunks()
+    return ids.values.to_numpy().astype(np.int32), ids.offsets.to_numpy().astype(np.int64)
 
 
 def _code(shared, pattern: str):
     """One row for each chunk of documents: the documents without text, their numbers of words, all words' numbers, and the words that are not kept."""
 
     def run(batches):
-        split, coder = splitter(pattern), _coder(shared)
+        split, coder = splitter(pattern), _kept(shared, _Coder)
         for b in batches:
             texts, docs = b.column(1).to_pylist(), b.column(0)
             lo = 0
@@ -285,7 +289,7 @@ def _fill(shared, path: str):
     """The documents of each chunk again, with their ids."""
 
     def run(batches):
-        coder = _coder(shared)
+        kept, kept_ends = _kept(shared, _kept_ids)
         for b in batches:
             for row in range(b.num_rows):
                 docs, counts, raw, _, long, is_long, found = (b.column(i)[row] for i in range(7))
@@ -294,8 +298,8 @@ def _fill(shared, path: str):
                 found = iter(found.as_py())
                 own = [next(found) if x is None else x for x in own]
                 words = np.frombuffer(raw.as_py(), "u4").astype(np.int64)
-                flat = np.concatenate([coder.flat, np.array([i for x in own for i in x], np.int32)])
-                ends = np.concatenate([coder.ends, coder.ends[-1] + np.cumsum([len(x) for x in own], dtype=np.int64)])
+                flat = np.concatenate([kept, np.array([i for x in own for i in x], np.int32)])
+                ends = np.concatenate([kept_ends, kept_ends[-1] + np.cumsum([len(x) for x in own], dtype=np.int64)])
                 begin, width = ends[words], ends[words + 1] - ends[words]
                 upto = np.concatenate([[0], np.cumsum(width)])
                 ids = flat[np.repeat(begin - upto[:-1], width) + np.arange(upto[-1])]
