@@ -219,9 +219,9 @@ def test_byte_bpe(spark, monkeypatch):
     letters = np.random.default_rng(4).choice(list("abcdefghijklmnopqrstuvwxyzABCDEF"), 20_000)
     texts = ODD + ["it's  we'll\t\n x", "  ", "<|endoftext|>", "naïve 12345 　 ok", "\x00\x01", "thntblere ofwhti", "".join(letters), "日本語" * 900, "thntblere ofwhti"]
     d = documents(spark, texts).withColumn("_chunk", F.col("doc_id")).withColumn("w", F.lit("x"))
-    for kept, chunk in ((1 << 19, 6_000_000), (3, 50)):  # every word broadcast; nearly all of them joined
+    for kept, together in ((1 << 19, 2000), (3, 2)):  # every word folded; nearly none
         monkeypatch.setattr(byte_bpe, "KEPT_WORDS", kept)
-        monkeypatch.setattr(byte_bpe, "CHUNK", chunk)
+        monkeypatch.setattr(byte_bpe, "TOGETHER", together)
         coded = byte_bpe.tokenize(d, path, public_tokenizers.PATTERN)
         assert coded.columns == ["doc_id", "lang", "source", "n_chars", "_chunk", "w", "ids"]
         got = {r["doc_id"]: r for r in coded.withColumn("back", byte_bpe.decode(F.col("ids"), path)).collect()}
@@ -234,7 +234,7 @@ def test_byte_bpe_long_words():
     path, enc = bpe_library()
     rng = np.random.default_rng(5)
     for w in ["a" * 4000, "".join(rng.choice(list("abcXYZéß"), 3000)), "日本" * 500, "ab"]:
-        assert byte_bpe.merge_long(w.encode(), byte_bpe.read_ranks(path)) == enc.encode_ordinary(w)
+        assert byte_bpe.merged(w.encode(), byte_bpe.read_ranks(path)) == enc.encode_ordinary(w)
 
 
 def test_byte_bpe_query(spark, small):
