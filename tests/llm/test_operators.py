@@ -219,7 +219,7 @@ def test_byte_bpe(spark, monkeypatch):
     letters = np.random.default_rng(4).choice(list("abcdefghijklmnopqrstuvwxyzABCDEF"), 20_000)
     texts = ODD + ["it's  we'll\t\n x", "  ", "<|endoftext|>", "naïve 12345 　 ok", "\x00\x01", "thntblere ofwhti", "".join(letters), "日本語" * 900, "thntblere ofwhti"]
     d = documents(spark, texts).withColumn("_chunk", F.col("doc_id")).withColumn("w", F.lit("x"))
-    for kept, together in ((1 << 19, 2000), (3, 2)):  # every word folded; nearly none
+    for kept, together in ((1 << 18, 2000), (3, 2)):  # every word folded; nearly none
         monkeypatch.setattr(byte_bpe, "KEPT_WORDS", kept)
         monkeypatch.setattr(byte_bpe, "TOGETHER", together)
         coded = byte_bpe.tokenize(d, path, public_tokenizers.PATTERN)
