@@ -329,6 +329,24 @@ def test_mix(spark):
     assert source_mix.mix(d.limit(0)).count() == 0
 
 
+def test_mix_ties_and_odds(spark):
+    # rows without an id, of equal sizes, texts and ranks: the target is met to half a document all the same
+    same = [(None, "ten words are in this text that stands here often", "a")] * 300
+    one_id = [(7, prose(100 + i, 10), "b") for i in range(200)]
+    d = spark.createDataFrame(same + one_id + [(i, prose(i, 10), "c") for i in range(50)], "doc_id long, text string, source string")
+    out = source_mix.mix(d.repartition(5)).collect()
+    assert len(out) == 550
+    for s in {r["source_size"] for r in out}:
+        own = [r for r in out if r["source_size"] == s]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 5
+    # longer documents are taken more often, in the share that their weights say
+    d = spark.createDataFrame([(i, "w " * (3 if i % 2 else 60), "a") for i in range(4000)], "doc_id long, text string, source string")
+    copies = {True: 0, False: 0}
+    for r in source_mix.mix(d, share=0.5).collect():
+        copies[r["size"] > 3] += r["copies"]
+    assert copies[True] / copies[False] == pytest.approx(3, rel=0.15)
+
+
 def test_targets_share_excess(spark):
     d = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 1000), (None, 100)], "source string, size long")
     got = {r["source"]: r["target"] for r in source_mix.source_targets(d).collect()}
@@ -386,6 +404,37 @@ def test_shards(spark, tmp_path):
         ids = np.array(tok.encode(t or "", add_special_tokens=False).ids + [2], "<u4")
         assert (got[i]["start"], got[i]["n_tokens"], got[i]["ids_crc32"]) == (start, len(ids), zlib.crc32(ids.tobytes()))
         start += len(ids)
+    # rows of one id stand in the order of their texts, however they are dealt
+    odd = spark.createDataFrame([(1, "b c"), (None, "d"), (1, "a"), (1, "b c"), (None, None)], "doc_id long, text string")
+    crcs = [rows(repair_shards.read_documents(repair_shards.write_shards(odd.repartition(k), str(tmp_path / f"o{k}"), path)).orderBy("start"), "doc_id", "start", "n_tokens", "ids_crc32") for k in (1, 3)]
+    assert crcs[0] == crcs[1] and [r[:3] for r in crcs[0]] == [(None, 0, 1), (None, 1, 2), (1, 3, 2), (1, 5, 3), (1, 8, 3)]
+    assert repair_shards.read_documents(repair_shards.write_shards(odd.limit(0), str(tmp_path / "e"), path)).count() == 0
+
+
+def test_word_ids_are_the_library_s():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok, (encode, _) = Tokenizer.from_file(path), repair_shards.encoder(path)
+    texts = ["Ünïçode, ΑΣ. İstanbul! don't (x) it's. ok?) 12,5 a.b.c x''s 'tis ﬁ. ŉ Dž", "A" * 50 + "!!", "it's, we'll. 's. 5's ,;", *[t or "" for t in ODD]]
+    assert [x.tolist() for x in encode(texts)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_no_pair_is_left():
+    rng = np.random.default_rng(7)
+    ids = np.concatenate([np.tile(rng.integers(0, 40, 300), 5), np.full(301, 7), rng.integers(0, 40, 700), np.zeros(64)]).astype(np.uint16)
+    starts = np.array([0, 700, 700, 1501, len(ids)])
+    stream, at, rules, lengths = repair_shards.compress(ids, starts, 40)
+    docs = [stream[a:e].tolist() for a, e in zip(at[:-1], at[1:])]
+    pairs = Counter()
+    for x in docs:
+        i = 0
+        while i + 1 < len(x):  # from the left, without overlap of a pair with itself
+            pairs[x[i], x[i + 1]] += 1
+            i += 2 if i + 2 < len(x) and x[i] == x[i + 1] == x[i + 2] else 1
+    assert max(pairs.values()) == 1 and any(a == b for a, b in rules.tolist())
+    expanded = repair_shards.expansions(40, rules, lengths)
+    assert (repair_shards.decode(stream, 40, lengths, expanded) == ids).all()
 
 
 def test_grammar_round_trip_and_random_access():

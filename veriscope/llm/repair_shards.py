@@ -1,17 +1,18 @@
 """Token-id files by Re-Pair grammar compression, read back with random access to each document.
 
 Documents are encoded in ascending id order and packed into shards of about SHARD_IDS ids. In each shard the most
-frequent neighbouring id pairs are replaced by nonterminals, round after round; no pair crosses two documents. A round
-replaces many pairs at once: they are taken by frequency as long as no symbol is the first of one and the second of
-another, so that their occurrences never overlap. Symbols stay below 2 ** 16.
+frequent neighbouring id pairs are replaced by nonterminals, round after round, until no pair is left that occurs twice
+or the symbols (below 2 ** 16) run out; no pair crosses two documents. A round replaces many pairs at once: they are
+taken by frequency as long as no symbol is the first of one and the second of another, so that their occurrences never
+overlap; in a run of equal ids, pairs are taken from the left.
 
 File format: a Parquet table, one row for each shard, in order (part, shard): doc_ids array<long>; offsets: where each
 document's symbols start, uint32, one more at the end; n_ids; rules: pairs of uint16, nonterminal k (numbered from
 ``first``) standing for rules[k]; lengths: uint32, ids that each nonterminal expands to; stream: symbols, uint16.
 ``decode`` expands any range of symbols, so a document is read without those before it.
 
-Defined results: a null or empty text has only the end id; repeated ids stay in the order that they are met in; null
-ids come first; an empty table gives an empty table of shards; extra columns are ignored.
+Defined results: a null or empty text has only the end id; rows of one id are ordered by their texts; null ids come
+first; an empty table gives an empty table of shards; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,11 +29,13 @@ from pyspark.sql import functions as F
 
 from veriscope.llm.common import shared_dir, table
 
-#: Ids in a shard about; rounds of replacement; pairs replaced in a round at most; a pair must occur so often.
-SHARD_IDS, ROUNDS, PAIRS, LEAST = 1 << 20, 4, 3500, 24
+#: Ids in a shard about; pairs replaced in a round at most, so that pairs of new symbols get their turn.
+SHARD_IDS, PAIRS = 1 << 20, 2500
 END = 2
 #: Words kept with their ids in a worker; beyond, the store starts anew. Only speed depends on it.
 STORE = 1_500_000
+#: Marks that can end a word; the tokenizer cuts them off a letter or digit before them (fixed values).
+MARKS = ",.;:!?)"
 
 SHARD_SCHEMA = "part int, shard int, doc_ids array<long>, offsets binary, n_ids long, first int, rules binary, lengths binary, stream binary"
 
@@ -45,25 +48,56 @@ def encoder(vocabulary: str):
     """(texts -> uint16 id arrays, as the tokenizers library encodes each whole text; the number of ids it has).
 
     The vocabulary drops white space and never joins two words over it, so the ids of a text are those of its words;
-    a word is encoded by the library once and kept.
+    a word is encoded by the library once and kept. Words of letters alone are encoded many in one call: each gives one
+    id that ends a word, its last. Marks after a letter or digit have ids of their own.
     """
     if vocabulary not in _kept:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _kept[vocabulary] = Tokenizer.from_file(vocabulary), {}
-    tokenizer, store = _kept[vocabulary]
+        tokenizer = Tokenizer.from_file(vocabulary)
+        ends = np.zeros(tokenizer.get_vocab_size(), bool)
+        ends[[i for token, i in tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
+        _kept[vocabulary] = tokenizer, ends, {}
+    tokenizer, ends, store = _kept[vocabulary]
+
+    def one_by_one(words):
+        for w, e in zip(words, tokenizer.encode_batch_fast(words, add_special_tokens=False)):
+            store[w] = array("H", e.ids).tobytes()
+
+    def learn(words):
+        """Puts words into the store."""
+        cores = {}
+        for w in words:
+            core = w.rstrip(MARKS)
+            # cut where a letter or digit, in lower case or not, stands before marks
+            cores[w] = core.lower() if core and core.isascii() and core[-1].isalnum() else w
+        new = {c for w, c in cores.items() if c not in store} | {w[len(c) :] for w, c in cores.items() if len(c) < len(w) and w[len(c) :] not in store}
+        letters = [w for w in new if w.isalpha()]
+        one_by_one([w for w in new if not w.isalpha()])
+        for lo in range(0, len(letters), 2000):
+            part = letters[lo : lo + 2000]
+            ids = np.array(tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u2")
+            upto = (np.flatnonzero(ends[ids]) + 1) * 2
+            if len(upto) == len(part):
+                raw, at = ids.tobytes(), 0
+                for w, end in zip(part, upto.tolist()):
+                    store[w] = raw[at:end]
+                    at = end
+            else:  # some letter in lower case is more than letters
+                one_by_one(part)
+        for w, core in cores.items():
+            if w not in store:
+                store[w] = store[core] + store[w[len(core) :]] if len(core) < len(w) else store[core]
 
     def encode(texts: list[str]) -> list[np.ndarray]:
         cut = [None if _ODD.search(t) else t.split() for t in texts]
-        new = set().union(*[w for w in cut if w is not None]).difference(store)
-        if len(store) + len(new) > STORE:
+        words = set().union(*[w for w in cut if w is not None])
+        if len(store) > STORE:
             store.clear()
-            new = set().union(*[w for w in cut if w is not None])
+        new = words.difference(store)
         if new:
-            new = list(new)
-            for w, e in zip(new, tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                store[w] = array("H", e.ids).tobytes()
+            learn(new)
         get = store.__getitem__
         return [np.frombuffer(b"".join(map(get, w)), "<u2") if w is not None else np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u2") for w, t in zip(cut, texts)]
 
@@ -74,30 +108,33 @@ def _slot(keys: np.ndarray) -> np.ndarray:
     return (keys * np.uint32(0x9E3779B1)) >> np.uint32(16)
 
 
-def compress(ids: np.ndarray, starts: np.ndarray, first: int, rounds: int = ROUNDS):
+def compress(ids: np.ndarray, starts: np.ndarray, first: int, pairs: int = PAIRS):
     """Re-Pair over a shard: ids (all below first), where its documents start -> stream, starts in it, rules, lengths."""
     stream, starts, rules = ids.astype(np.uint32), starts.copy(), []
     length = np.ones(1 << 16, np.uint32)
     top = first
-    for _ in range(rounds):
-        if len(stream) < 2 or top >= 1 << 16:
-            break
+    while len(stream) > 1 and top < 1 << 16:
         keys = (stream[:-1] << np.uint32(16)) | stream[1:]
         ok = np.ones(len(keys), bool)
         ok[starts[(starts > 0) & (starts < len(stream))] - 1] = False
+        # of a run of equal ids, every second pair
+        same = np.flatnonzero((stream[:-1] == stream[1:]) & ok)
+        if len(same):
+            begins = np.concatenate([[True], np.diff(same) > 1])
+            ok[same[(same - same[np.flatnonzero(begins)[np.cumsum(begins) - 1]]) % 2 == 1]] = False
         ordered = np.sort(keys[ok])
         cut = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1], [True]])) if len(ordered) else np.zeros(1, np.int64)
         count, pair = np.diff(cut), ordered[cut[:-1]]
-        often = np.flatnonzero(count >= LEAST)
-        often = often[np.argsort(-count[often], kind="stable")][: 4 * PAIRS]
+        often = np.flatnonzero(count > 1)
+        often = often[np.argsort(-count[often], kind="stable")][: 4 * pairs]
         firsts, seconds, chosen = set(), set(), []
         for p in pair[often].tolist():
             a, b = p >> 16, p & 0xFFFF
-            if p and a not in seconds and b not in firsts and a != b:
+            if a not in seconds and b not in firsts:
                 firsts.add(a)
                 seconds.add(b)
                 chosen.append(p)
-                if len(chosen) == min(PAIRS, (1 << 16) - top):
+                if len(chosen) == min(pairs, (1 << 16) - top):
                     break
         if not chosen:
             break
@@ -106,10 +143,11 @@ def compress(ids: np.ndarray, starts: np.ndarray, first: int, rounds: int = ROUN
         slot = _slot(chosen)
         _, alone = np.unique(slot, return_index=True)
         chosen, slot = chosen[np.sort(alone)], slot[np.sort(alone)]
-        has, symbol = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.uint32)
+        # no pair is all ones: its symbol would be the last, after which no round follows
+        has, symbol = np.full(1 << 16, 0xFFFFFFFF, np.uint32), np.zeros(1 << 16, np.uint32)
         has[slot], symbol[slot] = chosen, top + np.arange(len(chosen))
         slots = _slot(keys)
-        at = np.flatnonzero((has[slots] == keys) & (keys > 0) & ok)
+        at = np.flatnonzero((has[slots] == keys) & ok)
         stream[at] = symbol[slots[at]]
         keep = np.ones(len(stream), bool)
         keep[at + 1] = False
@@ -118,8 +156,8 @@ def compress(ids: np.ndarray, starts: np.ndarray, first: int, rounds: int = ROUN
         length[top : top + len(chosen)] = length[chosen >> 16] + length[chosen & 0xFFFF]
         rules.append(chosen)
         top += len(chosen)
-    pairs = np.concatenate(rules) if rules else np.zeros(0, np.uint32)
-    return stream.astype("<u2"), starts, np.stack([pairs >> 16, pairs & 0xFFFF], 1).astype("<u2"), length[first:top].astype("<u4")
+    found = np.concatenate(rules) if rules else np.zeros(0, np.uint32)
+    return stream.astype("<u2"), starts, np.stack([found >> 16, found & 0xFFFF], 1).astype("<u2"), length[first:top].astype("<u4")
 
 
 def expansions(first: int, rules: np.ndarray, lengths: np.ndarray):
@@ -185,7 +223,7 @@ def _write(vocabulary, end, shard_ids):
 def write_shards(docs: DataFrame, path: str, vocabulary: str, id_col: str = "doc_id", text: str = "text", end: int = END, shard_ids: int = SHARD_IDS) -> DataFrame:
     """Encodes docs, writes the shards to path, and returns the table of shards as read from there."""
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    shards = d.repartitionByRange("id").sortWithinPartitions("id").mapInPandas(_write(vocabulary, end, shard_ids), SHARD_SCHEMA)
+    shards = d.repartitionByRange("id").sortWithinPartitions("id", "text").mapInPandas(_write(vocabulary, end, shard_ids), SHARD_SCHEMA)
     shards.write.parquet(path)
     return docs.sparkSession.read.schema(SHARD_SCHEMA).parquet(path)
 
