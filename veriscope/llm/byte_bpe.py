@@ -199,9 +199,9 @@ def _counts(pattern: str):
         split, seen = splitter(pattern), Counter()
         out = lambda: pa.RecordBatch.from_pydict({"w": pa.array((own := {w: n for w, n in seen.items() if len(w) <= LONG}).keys(), pa.string()), "n": pa.array(own.values(), pa.int64())})
         for b in batches:
-            for text in b.column(0).to_pylist():
-                if text:
-                    seen.update(split(text))
+            for text in b.column(0):
+                if text.is_valid:
+                    seen.update(split(text.as_py()))
                     if len(seen) > COUNTED:
                         yield out()
                         seen.clear()
@@ -248,8 +248,15 @@ def _coder(shared, path: str) -> _Coder:
     return _loaded["coder"][1]
 
 
-def _code(shared, path: str, pattern: str):
-    """Documents with the ids of their texts instead of these."""
+def _pieces_of(ids: pa.Array, ends: np.ndarray, path: str) -> pa.Array:
+    """The bytes that ids stand for, cut at ends: binary pieces, one after the other."""
+    pieces = read_pieces(path).take(ids)
+    at = np.frombuffer(pieces.buffers()[1], np.int32, len(pieces) + 1)[ends]
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(at.copy()), pieces.buffers()[2]])
+
+
+def _code(shared, path: str, pattern: str, packed: bool, decoded: bool):
+    """Documents with the ids of their texts instead of these; these as little-endian bytes; and what they decode to."""
 
     def run(batches):
         split, ids_of = splitter(pattern), _coder(shared, path).__getitem__
@@ -259,13 +266,19 @@ def _code(shared, path: str, pattern: str):
                 raw = [b"".join(map(ids_of, split(text))) if text else b"" for text in b.column(1).to_pylist()]
                 ends = np.cumsum([0, *map(len, raw)]) // 4
                 ids = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(raw))])
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids)], ["doc", "ids"])
+                out = {"doc": b.column(0), "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids)}
+                if packed:
+                    out["packed"] = pa.array(raw, pa.binary())
+                if decoded:
+                    out["decoded"] = _pieces_of(ids, ends, path)
+                yield pa.RecordBatch.from_pydict(out)
 
     return run
 
 
-def tokenize(docs: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
-    """docs without the text, with the ids of their texts: array<int> named out."""
+def tokenize(docs: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids", packed: str | None = None, decoded: str | None = None) -> DataFrame:
+    """docs without the text, with the ids of their texts: array<int> named out; and, if names are given, with the ids
+    as little-endian unsigned 32-bit integers in one binary, and with the bytes that the ids decode to."""
     spark = docs.sparkSession
     kept = frequent_words(docs, path, pattern, text).toArrow()  # at most KEPT_WORDS rows of at most LONG code points
     sink = pa.BufferOutputStream()
@@ -277,40 +290,27 @@ def tokenize(docs: DataFrame, path: str, pattern: str, text: str = "text", out:
     own = [c for c in docs.columns if c != text]
     doc = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(own)], F.lit(0).alias("row"))
     plain = docs.select(doc.alias("doc"), F.col(text).alias("text"))
-    coded = plain.mapInArrow(_code(shared, path, pattern), f"doc {plain.schema['doc'].dataType.simpleString()}, ids array<int>")
-    return coded.select(*[F.col(f"doc.c{i}").alias(c) for i, c in enumerate(own)], F.col("ids").alias(out))
+    more = {"packed": packed, "decoded": decoded}
+    kinds = f"doc {plain.schema['doc'].dataType.simpleString()}, ids array<int>" + "".join(f", {k} binary" for k, name in more.items() if name)
+    coded = plain.mapInArrow(_code(shared, path, pattern, bool(packed), bool(decoded)), kinds)
+    return coded.select(*[F.col(f"doc.c{i}").alias(c) for i, c in enumerate(own)], F.col("ids").alias(out), *[F.col(k).alias(name) for k, name in more.items() if name])
 
 
 def decode(ids, path: str) -> F.Column:
     """The bytes that a column of ids stands for: their binary pieces, one after the other."""
 
-    @F.arrow_udf("binary")
-    def pieces_of(x: pa.Array) -> pa.Array:
-        flat, ends = x.flatten(), np.concatenate([[0], np.cumsum(x.value_lengths().fill_null(0).to_numpy())])
-        pieces = read_pieces(path).take(flat)
-        at, data = np.frombuffer(pieces.buffers()[1], np.int32, len(pieces) + 1), pieces.buffers()[2]
-        return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(np.ascontiguousarray(at[ends])), data])
-
-    return pieces_of(F.coalesce(ids, F.array().cast("array<int>")))
-
-
-def little_endian(ids) -> F.Column:
-    """A column of ids as little-endian unsigned 32-bit integers, in one binary."""
-
     @F.arrow_udf("binary")
     def bytes_of(x: pa.Array) -> pa.Array:
-        flat, ends = x.flatten().to_numpy().astype("<u4"), np.concatenate([[0], np.cumsum(x.value_lengths().fill_null(0).to_numpy())])
-        return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer((4 * ends).astype(np.int32)), pa.py_buffer(flat)])
+        return _pieces_of(x.flatten(), np.concatenate([[0], np.cumsum(x.value_lengths().to_numpy())]), path)
 
     return bytes_of(F.coalesce(ids, F.array().cast("array<int>")))
 
 
 def digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: id, n_tokens, and sha256 of the ids and of what they decode to."""
-    ids = fresh(docs, "_ids")
-    coded = tokenize(docs.select(id_col, text), path, pattern, text, ids)
-    i = F.col(ids)
-    return coded.select(id_col, F.size(i).cast("long").alias("n_tokens"), F.sha2(little_endian(i), 256).alias("ids_sha256"), F.sha2(decode(i, path), 256).alias("decoded_sha256"))
+    ids, packed, decoded = (fresh(docs, x) for x in ("_ids", "_packed", "_decoded"))
+    coded = tokenize(docs.select(id_col, text), path, pattern, text, ids, packed, decoded)
+    return coded.select(id_col, F.size(ids).cast("long").alias("n_tokens"), F.sha2(packed, 256).alias("ids_sha256"), F.sha2(decoded, 256).alias("decoded_sha256"))
 
 
 def op6_byte_bpe(spark, sf_dir):
