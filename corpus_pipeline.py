@@ -37,8 +37,8 @@ def tokens(spark, docs, sf_dir):
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    coded = byte_bpe.tokenize(docs.select("doc_id", "lang", "source", "text"), path, public_tokenizers.PATTERN)
-    return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", byte_bpe.decode(F.col("ids"), path).cast("string").alias("text"))
+    coded = byte_bpe.tokenize(docs.select("doc_id", "lang", "source", "text"), path, public_tokenizers.PATTERN, decoded="decoded")
+    return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.col("decoded").cast("string").alias("text"))
 
 
 STAGES = [("quality_rules", quality), ("shingle_join", near_duplicates), ("secret_crf", secrets), ("source_mix", mixture), ("byte_bpe", tokens)]
