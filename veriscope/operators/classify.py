@@ -53,7 +53,7 @@ def keyword_context(df: DataFrame, lexicon: DataFrame, keyword: str = "matched_t
 def response_messages(df: DataFrame, risk: str = "risk_level", keyword: str | None = None, templates: dict | None = None) -> DataFrame:
     """df with messages, a struct by language; a HIGH message with a keyword also has the keyword's context (column
     keyword_context, if present)."""
-    templates = templates or {"english": E.MESSAGES}
+    templates = templates or E.MESSAGES
     r = F.col(risk)
 
     def said(by):

@@ -10,6 +10,10 @@ from veriscope.operators.classify import classify
 
 
 def domain_allow(df: DataFrame, domains, url: str = "url") -> DataFrame:
+    """Rows whose url has an allowed host: a list of hosts, or a table of them (first column) of any size."""
+    if isinstance(domains, DataFrame):
+        hosts = domains.select(F.lower(domains.columns[0]).alias("_host"))
+        return df.join(hosts, X.url_host(F.col(url)) == F.col("_host"), "left_semi")
     return df.where(X.url_host(F.col(url)).isin(*[d.lower() for d in domains]))
 
 

@@ -24,14 +24,14 @@ def lexicon(spark: SparkSession) -> DataFrame:
 def places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The dimension (county, region, is_urban): a row for each nation."""
     n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    return n.join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("county"), F.col("r_name").alias("region"), (F.col("n_nationkey") % 3 == 0).alias("is_urban"))
+    return n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("county"), F.col("r_name").alias("region"), (F.col("n_nationkey") % 3 == 0).alias("is_urban"))
 
 
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One report for each event; documents give the texts, nations the counties (user_id modulo 26: 25 has none)."""
     e = table(spark, sf_dir, "events")
     d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("d_text"), F.col("lang").alias("d_lang"))
-    n = F.broadcast(table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name")))
+    n = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name"))
     j = e.join(d, F.col("event_id") == F.col("doc_id"), "left").join(n, F.col("user_id") % 26 == F.col("n_nationkey"), "left")
     k, kind = F.col("event_id"), F.col("event_type")
     toxicity = F.when(kind != "signup", F.least(F.lit(1.0), F.col("value") / 100))

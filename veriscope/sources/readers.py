@@ -70,9 +70,14 @@ def extend_lexicon(lexicon: DataFrame, more: DataFrame) -> DataFrame:
     new = more.select(F.trim("term").alias("term"), F.upper(F.trim("risk_level_guess")).alias("risk_level")).where("term <> '' and risk_level in ('HIGH', 'MEDIUM')").distinct()
     new = new.join(lexicon.select("term", "risk_level"), ["term", "risk_level"], "left_anti")
     last = lexicon.agg(F.coalesce(F.max("priority"), F.lit(0)).alias("last"))  # one row
-    # a lexicon is kept by hand: the few new terms are numbered in one order
-    rank = F.row_number().over(Window.orderBy("risk_level", "term"))
-    new = new.crossJoin(F.broadcast(last)).select((F.col("last") + rank).cast("int").alias("priority"), "term", "risk_level", F.lit(None).cast("string").alias("context"))
+    # numbered inside groups by level and first letters; one window runs over the groups' sizes alone
+    group = ["risk_level", "_start"]
+    new = new.withColumn("_start", F.left("term", F.lit(3)))
+    sizes = new.groupBy(*group).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy(*group).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rank = F.row_number().over(Window.partitionBy(*group).orderBy("term")) + F.col("_before")
+    new = new.join(sizes.withColumn("_before", before).drop("_n"), group).withColumn("_rank", rank)
+    new = new.crossJoin(F.broadcast(last)).select((F.col("last") + F.col("_rank")).cast("int").alias("priority"), "term", "risk_level", F.lit(None).cast("string").alias("context"))
     return lexicon.select(*LEXICON.names).unionByName(new)
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veriscope.operators import ingest
+from veriscope.sources.scratch import scratch_path
 
 
 def alert_windows(stream: DataFrame, threshold: int = 10, window: str = "24 hours", slide: str = "1 hour", late: str = "1 hour") -> DataFrame:
@@ -25,26 +28,37 @@ def dedupe(stream: DataFrame, key: str = "content_hash", late: str = "1 hour") -
 
 
 def start_ingest(stream: DataFrame, store: str, audit: str, lexicon: DataFrame, checkpoint: str, keywords=(), job_id: str = "stream"):
-    """Each batch of candidates is held against the store, decided, classified and appended with its audit rows."""
+    """Each batch of candidates is held against the store, decided, classified and written with its audit rows.
+
+    A batch has folders of its own in store and audit, and is held against those of other batches; when it runs again
+    after a failure, it overwrites what it has left, so nothing is stored or judged twice.
+    """
 
     def batch(rows: DataFrame, number: int) -> None:
         spark = rows.sparkSession
         try:
-            stored = spark.read.parquet(store).select("source_url", "content_hash")
+            stored = spark.read.parquet(store).where(F.col("batch") != number).select("source_url", "content_hash")
         except Exception as e:  # the first batch finds no store
             if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
                 raise
             stored = spark.createDataFrame([], "source_url string, content_hash string")
         done = ingest.run_cycle(rows, stored, lexicon, keywords).persist()
-        done.where("action = 'verified'").select("source_url", "content_hash", "text", "risk_level", "source_type").write.mode("append").parquet(store)
-        ingest.audit(done, f"{job_id}-{number}", "1970-01-01").write.mode("append").parquet(audit)
+        done.where("action = 'verified'").select("source_url", "content_hash", "text", "risk_level", "source_type").write.mode("overwrite").parquet(f"{store}/batch={number}")
+        ingest.audit(done, f"{job_id}-{number}", datetime.now(timezone.utc).isoformat()).write.mode("overwrite").parquet(f"{audit}/batch={number}")
         done.unpersist()
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def run_to_table(df: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Runs a stream over what is there into a table in memory, for tests and reports."""
+    """Runs a stream over what is there into a table in memory: for aggregates, whose rows are few."""
     q = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
     q.awaitTermination()
     return df.sparkSession.table(name)
+
+
+def run_to_files(df: DataFrame) -> DataFrame:
+    """Runs a stream over what is there into files in the shared folder, and reads them."""
+    out, check = scratch_path(df.sparkSession, "stream"), scratch_path(df.sparkSession, "checkpoint")
+    df.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", check).trigger(availableNow=True).start().awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(out)
