@@ -8,9 +8,9 @@ hash among those inside its first LENGTH bytes, so equal suffixes share a bucket
    can repeat. (Equal texts count as one here; copies of a text are settled by its hash.)
 2. the others send the bytes around them, which hold every suffix of the bucket, to their block;
 3. a block sorts one bucket offset at a time. Ranks of the samples at difference cover positions (COVER modulo PERIOD)
-   are made first, by refining 8 bytes at a time; a suffix is then compared by its bytes up to the next sample (fewer
-   than PERIOD), that sample's rank, and the bytes after it. Ties of any length are so settled in three steps, and a
-   block's memory is its anchors' surroundings and one offset's keys.
+   are made first; a suffix is then compared by its bytes up to the next sample (fewer than PERIOD), the bytes after that
+   sample, and its rank: 16 bytes instead of LENGTH, however long a tie is. Only equality of the first LENGTH bytes
+   matters here, so no deeper order is made. A block's memory is its anchors' surroundings and one offset's keys.
 
 Defined results: a null or empty text has 0 bytes and nothing removed; texts under LENGTH bytes keep all; rows with the
 same id never remove bytes from each other, and each text of an id has its own runs (a text is known by its id and
@@ -220,37 +220,44 @@ def _send_surroundings(blocks):
     return run
 
 
-def _ranks(x: np.ndarray) -> np.ndarray:
-    return np.unique(x, return_inverse=True)[1].astype(np.uint64)
+def _sorted(rows: np.ndarray):
+    """Rows of bytes in their order, equal ones as they stood: (positions, whether each differs from the one before)."""
+    wide = np.zeros((len(rows), -(-rows.shape[1] // 8) * 8), np.uint8)
+    wide[:, : rows.shape[1]] = rows
+    columns = wide.view(">u8").astype(np.uint64).T
+    order, lead = np.lexsort(columns[::-1]), np.zeros(len(rows), bool)
+    lead[:1] = True
+    for c in columns:
+        c = c[order]
+        lead[1:] |= c[1:] != c[:-1]
+    return order, lead
 
 
-def _refined(rank: np.ndarray, columns: np.ndarray) -> np.ndarray:
-    """Ranks by (rank, the bytes of columns), eight bytes at a time."""
-    for k in range(0, columns.shape[1], 8):
-        part = np.zeros((len(columns), 8), np.uint8)
-        part[:, : columns[:, k : k + 8].shape[1]] = columns[:, k : k + 8]
-        rank = _ranks(rank << np.uint64(32) | _ranks(part.view(">u8").ravel()))
-    return rank
+def _ranked(rows: np.ndarray) -> np.ndarray:
+    """The rank of each row of bytes, as four bytes."""
+    order, lead = _sorted(rows)
+    rank = np.empty(len(rows), ">u4")
+    rank[order] = np.cumsum(lead) - 1
+    return rank.view(np.uint8).reshape(-1, 4)
 
 
 def repeats(h, doc, low, high, around) -> np.ndarray:
     """For each surrounding and suffix in it, whether the suffix starts in a document of a smaller id too."""
-    bucket = _ranks(h)
-    samples = {t: _refined(bucket, around[:, t : t + SAMPLE]) for t in range(AROUND - SAMPLE + 1) if t % PERIOD in COVER}
+    by = np.argsort(doc, kind="stable")  # equal suffixes then stand by document
+    h, doc, low, high, around = h[by], doc[by], low[by], high[by], around[by]
+    bucket = np.unique(h, return_inverse=True)[1].astype(">u4").view(np.uint8).reshape(-1, 4)
+    samples = {t: _ranked(np.concatenate([bucket, around[:, t : t + SAMPLE]], 1)) for t in range(AROUND - SAMPLE + 1) if t % PERIOD in COVER}
     out = np.zeros((len(h), WINDOW), bool)
     for s in range(WINDOW):
         own = np.flatnonzero((low <= s) & (s <= high))
         if len(own) < 2:
             continue
         t = next(t for t in range(s, s + PERIOD) if t % PERIOD in COVER)
-        # bytes up to the sample, the sample, bytes after it; the sample's rank has the bucket in it
+        # bytes up to the sample, bytes after it, the sample's rank, which has the bucket in it
         around_s = around[own]
-        rank = samples[t][own]
-        rank = _refined(rank, np.concatenate([around_s[:, s:t], around_s[:, t + SAMPLE : s + LENGTH]], 1))
-        order = np.lexsort((doc[own], rank))
-        lead = np.concatenate([[True], rank[order][1:] != rank[order][:-1]])
-        least = doc[own][order][np.flatnonzero(lead)[np.cumsum(lead) - 1]]
-        out[own[order], s] = least < doc[own][order]
+        order, lead = _sorted(np.concatenate([around_s[:, s:t], around_s[:, t + SAMPLE : s + LENGTH], samples[t][own]], 1))
+        of = doc[own][order]
+        out[by[own[order]], s] = of[np.flatnonzero(lead)[np.cumsum(lead) - 1]] < of
     return out
 
 
