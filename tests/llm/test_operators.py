@@ -89,6 +89,12 @@ def test_viterbi_is_the_best_labelling():
     assert tuple(field.best(feats)) == max(product(range(3), repeat=2), key=score)
 
 
+def test_a_token_is_taken_from_its_start():
+    token = "abcdefgh." * 900 + "1" + "Xy7" * 30
+    for tokens, first, at in secret_crf._runs(f"see {token} there"):
+        assert at[0][0] == 4 and at[-1][1] == 4 + len(token) and tokens[first] == token
+
+
 # 3
 def test_embeddings(spark):
     rng = np.random.default_rng(3)
