@@ -32,7 +32,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veriscope.llm.common import fresh, table, written
+from veriscope.llm.common import fresh, released, table, written
 
 #: Words broadcast at most, each of up to LONG code points.
 KEPT_WORDS, LONG = 1 << 18, 64
@@ -213,7 +213,7 @@ def _counts(pattern: str):
 def frequent_words(docs: DataFrame, path: str, pattern: str, text: str = "text", most: int | None = None) -> DataFrame:
     """The most frequent words of docs, at most so many, with their ids: w, ids. Counts cover all documents."""
     ranks = read_ranks(path)
-    words = written(docs.select(F.col(text)).mapInArrow(_counts(pattern), "w string, n long").groupBy("w").agg(F.sum("n").alias("n")), "words")
+    words = written(docs.select(F.col(text)).mapInArrow(released(_counts(pattern)), "w string, n long").groupBy("w").agg(F.sum("n").alias("n")), "words")
     # a histogram of counts, 16 cells for each doubling of a count: at most about a thousand rows
     cell, least, kept = F.floor(F.log2("n") * 16), 64 * 16, 0
     for r in sorted(words.groupBy(cell.alias("c")).agg(F.count("*").alias("k")).collect(), reverse=True):
@@ -292,7 +292,7 @@ def tokenize(docs: DataFrame, path: str, pattern: str, text: str = "text", out:
     plain = docs.select(doc.alias("doc"), F.col(text).alias("text"))
     more = {"packed": packed, "decoded": decoded}
     kinds = f"doc {plain.schema['doc'].dataType.simpleString()}, ids array<int>" + "".join(f", {k} binary" for k, name in more.items() if name)
-    coded = plain.mapInArrow(_code(shared, path, pattern, bool(packed), bool(decoded)), kinds)
+    coded = plain.mapInArrow(released(_code(shared, path, pattern, bool(packed), bool(decoded))), kinds)
     return coded.select(*[F.col(f"doc.c{i}").alias(c) for i, c in enumerate(own)], F.col("ids").alias(out), *[F.col(k).alias(name) for k, name in more.items() if name])
 
 

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veriscope.llm.common import fresh, table, written
+from veriscope.llm.common import fresh, released, table, written
 from veriscope.llm.components import connected_components
 
 #: log2 of the counters in the table of column counts, and how many go in one row of it.
@@ -304,28 +304,28 @@ def _linked(pairs: DataFrame, cols: DataFrame, docs: DataFrame, n: int, percent:
     No side of these joins has a bound on its size, so none is broadcast.
     """
     mark = lambda k: cols.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("mark").alias(f"m{k}")).hint("merge")
-    left = written(pairs.join(mark("a"), "a").join(mark("b"), "b").mapInPandas(_by_marks(percent), "a long, b long"), "shingle-candidates")
+    left = written(pairs.join(mark("a"), "a").join(mark("b"), "b").mapInPandas(released(_by_marks(percent)), "a long, b long"), "shingle-candidates")
     wanted = left.select(F.col("a").alias("w")).union(left.select("b")).distinct()
-    sets = written(docs.join(wanted.hint("merge"), F.col("id") == F.col("w"), "left_semi").mapInPandas(_sets(n), "id long, s binary"), "shingle-sets")
+    sets = written(docs.join(wanted.hint("merge"), F.col("id") == F.col("w"), "left_semi").mapInPandas(released(_sets(n)), "id long, s binary"), "shingle-sets")
     full = lambda k: sets.select(F.col("id").alias(k), F.col("s").alias(f"s{k}")).hint("merge")
-    return left.join(full("a"), "a").join(full("b"), "b").mapInPandas(_count_overlaps(percent), "a long, b long")
+    return left.join(full("a"), "a").join(full("b"), "b").mapInPandas(released(_count_overlaps(percent)), "a long, b long")
 
 
 def components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: id, n_shingles, component_id. Two sets link if 100 x intersection >= percent x union."""
     spark = docs.sparkSession
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
-    survey = written(d.mapInPandas(_survey(n), "id long, n long, key binary, chunk int, counts binary"), "shingle-survey")
+    survey = written(d.mapInPandas(released(_survey(n)), "id long, n long, key binary, chunk int, counts binary"), "shingle-survey")
     own = survey.where("chunk is null").select("id", "n", "key")
     levels = spark.sparkContext.broadcast(_levels(survey.where("chunk is not null").select("chunk", "counts")))
     # the smallest id of each set stands for it
     first = own.where("key is not null and id is not null").groupBy("key").agg(F.min("id").alias("rep"))
     first = written(first, "shingle-firsts")
-    cols = d.mapInPandas(_prefixes(n, percent, levels), "id long, n int, mark binary, cols binary").where("n > 0")
+    cols = d.mapInPandas(released(_prefixes(n, percent, levels)), "id long, n int, mark binary, cols binary").where("n > 0")
     cols = cols.join(first.select("rep").distinct(), F.col("id") == F.col("rep"), "left_semi")
     cols = written(cols.dropDuplicates(["id", "cols"]), "shingle-columns")
     blocks = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = cols.select("id", "n", "cols").mapInPandas(_deal(blocks), "block int, h binary, doc binary, size binary, pos binary")
+    dealt = cols.select("id", "n", "cols").mapInPandas(released(_deal(blocks)), "block int, h binary, doc binary, size binary, pos binary")
     found = written(dealt.groupBy("block").applyInPandas(_multiply(percent), _FOUND), "shingle-pairs")
     links = written(_linked(_enough(found), cols, d, n, percent), "shingle-links")
     comps = connected_components(links)
@@ -367,7 +367,7 @@ def _pack(rows: pd.DataFrame) -> pd.DataFrame:
 
 def _rest(parts: DataFrame, comps: DataFrame, cols: DataFrame, percent: int) -> DataFrame:
     """Counts of shared long columns of pairs that the first links have not settled: those between different components."""
-    one = parts.mapInPandas(_unpack, "h long, part int, doc long, size long, place long").join(comps, F.col("doc") == F.col("id"), "left")
+    one = parts.mapInPandas(released(_unpack), "h long, part int, doc long, size long, place long").join(comps, F.col("doc") == F.col("id"), "left")
     one = written(one.select("h", "part", "doc", "size", "place", F.coalesce("component", "doc").alias("comp")), "shingle-long")
     open_ = one.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("h")
     marked = one.join(open_, "h", "left_semi").join(cols.select(F.col("id").alias("doc"), "mark").hint("merge"), "doc")
@@ -376,7 +376,7 @@ def _rest(parts: DataFrame, comps: DataFrame, cols: DataFrame, percent: int) ->
     other = packed.select(F.col("h").alias("h2"), *[F.col(c).alias(f"{c}2") for c in ("part", "least", "most", "docs", "sizes", "places", "comps", "marks")])
     meet = (F.col("h") == F.col("h2")) & (F.col("part") <= F.col("part2")) & (100 * F.col("most") >= percent * F.col("least2")) & (100 * F.col("most2") >= percent * F.col("least"))
     # a column of very many parts is a skewed key of this join, which adaptive execution splits
-    return packed.join(other.hint("merge"), meet).mapInPandas(_across(percent), "a long, b long, n int, least int, first boolean")
+    return packed.join(other.hint("merge"), meet).mapInPandas(released(_across(percent)), "a long, b long, n int, least int, first boolean")
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
