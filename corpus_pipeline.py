@@ -12,6 +12,16 @@ from veriscope.llm import byte_bpe, quality_votes, secret_crf, shingle_join, sou
 from veriscope.llm.common import table, written
 
 
+#: Rows in a batch between the JVM and a Python worker, where the session names none: bounds what both hold of long texts.
+BATCH = 2_000
+
+
+def _batches(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, BATCH)
+
+
 def quality(spark, docs, sf_dir):
     """Documents that the base rules or the weighed votes reject go."""
     return quality_votes.filter_quality(docs)
@@ -19,11 +29,13 @@ def quality(spark, docs, sf_dir):
 
 def near_duplicates(spark, docs, sf_dir):
     """One document stays of each group of near-duplicates (five-word shingles, similarity 0.8 or more): the smallest id."""
+    _batches(spark)
     return shingle_join.one_of_each(docs, n=5, percent=80)
 
 
 def secrets(spark, docs, sf_dir):
     """Secrets are replaced by a mark; n_chars follows the text."""
+    _batches(spark)
     return secret_crf.redact(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
@@ -34,6 +46,7 @@ def mixture(spark, docs, sf_dir):
 
 def tokens(spark, docs, sf_dir):
     """Token ids of each document, and the text that they decode to: doc_id, lang, source, n_tokens, ids, text."""
+    _batches(spark)
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
