@@ -14,6 +14,8 @@ from veriscope.llm.sketch_search import ORACLE as OP12_SQL
 from veriscope.llm.sketch_search import op12_sketch_search
 from veriscope.llm.source_mix import ORACLE as OP8_SQL
 from veriscope.llm.source_mix import op8_source_mix
+from veriscope.llm.spelling_groups import ORACLE as OP13_SQL
+from veriscope.llm.spelling_groups import op13_spelling_groups
 from veriscope.llm.suffix_dedup import op7_suffix_dedup
 from veriscope.llm.toxic_cnn import op4_toxic_cnn
 
@@ -30,5 +32,6 @@ QUERIES = {
     "op10_repair_shards": op10_repair_shards,
     "op11_pii_segments": op11_pii_segments,
     "op12_sketch_search": op12_sketch_search,
+    "op13_spelling_groups": op13_spelling_groups,
 }
-ORACLES = {"op3_embedding_dedup": OP3_SQL, "op8_source_mix": OP8_SQL, "op9_shingle_join": OP9_SQL, "op12_sketch_search": OP12_SQL}
+ORACLES = {"op3_embedding_dedup": OP3_SQL, "op8_source_mix": OP8_SQL, "op9_shingle_join": OP9_SQL, "op12_sketch_search": OP12_SQL, "op13_spelling_groups": OP13_SQL}

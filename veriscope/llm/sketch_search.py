@@ -113,13 +113,27 @@ def count_terms(docs: DataFrame, text: str) -> DataFrame:
     return counted.groupBy("term").agg(F.sum("df").alias("df"), F.sum("total").alias("total"))
 
 
+def frequent_terms(vocabulary: DataFrame) -> list:
+    """At most FREQUENT terms (term, df), those in most documents: all above a bound on df. The bound is taken from the
+    numbers of terms by df, counted exactly up to 64 and by its leading six binary digits above."""
+    digits = F.greatest(F.lit(0), F.floor(F.log2(F.col("df"))).cast("int") - 5)
+    low = F.expr("shiftleft(shiftright(df, digits), digits)")
+    sizes = vocabulary.where(F.length("term") <= TERM_BYTES).withColumn("digits", digits).groupBy(low.alias("low")).agg(F.count("*").alias("n")).collect()  # 32 a power of two at most
+    bound, total = None, 0
+    for r in sorted(sizes, reverse=True):
+        total += r["n"]
+        if total > FREQUENT:
+            break
+        bound = r["low"]
+    return [] if bound is None else vocabulary.where((F.length("term") <= TERM_BYTES) & (F.col("df") >= bound)).collect()
+
+
 def build_index(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Index:
     vocabulary = written(count_terms(docs, text), "search-terms")
     whole = vocabulary.where("term is null").first()
     n_docs, n_terms = (whole["df"], whole["total"]) if whole else (0, 0)
     vocabulary = vocabulary.where("term is not null").select("term", "df")
-    # at most FREQUENT terms of TERM_BYTES come to the driver
-    frequent = vocabulary.where(F.length("term") <= TERM_BYTES).orderBy(F.desc("df"), "term").limit(FREQUENT).collect()
+    frequent = frequent_terms(vocabulary)
     known = {bytes(r["term"]): (zlib.crc32(r["term"]) % WIDTH) | weight(n_docs, r["df"]) << 16 for r in frequent}
     most = weight(n_docs, 1)
     unit = -(-max(1, most) * 1000000 // 65535)
