@@ -13,7 +13,7 @@ def lexicon_array(lexicon: DataFrame):
     (a few thousand terms); LEXICON_ROWS bounds what is brought here."""
     rows = lexicon.where(F.col("risk_level").isin("HIGH", "MEDIUM")).orderBy(F.col("risk_level") != "HIGH", "priority").select("term", "risk_level").limit(LEXICON_ROWS + 1).collect()
     if len(rows) > LEXICON_ROWS:
-        raise ValueError(f"a lexicon has {LEXICON_ROWS} terms at most; use lexicon_match_join")
+        raise ValueError(f"a lexicon has {LEXICON_ROWS} terms at most; use lexicon_match_large")
     if not rows:
         return F.array().cast("array<struct<term:string,risk_level:string>>")
     return F.array(*[F.struct(F.lit(r["term"]).alias("term"), F.lit(r["risk_level"]).alias("risk_level")) for r in rows])
@@ -22,31 +22,28 @@ def lexicon_array(lexicon: DataFrame):
 LEXICON_ROWS = 5000
 
 
-def _has(text, term, word_boundary: bool):
+def has_term(text, term, word_boundary: bool):
     return F.regexp_like(text, F.concat(F.lit(r"(?U)\b\Q"), F.lower(term), F.lit(r"\E\b"))) if word_boundary else F.contains(text, F.lower(term))
 
 
 def lexicon_match(df: DataFrame, lexicon: DataFrame, text: str = "text", word_boundary: bool = False) -> DataFrame:
     """df with matched_term and lexicon_level: the first term, HIGH ones first, that the lower-cased text contains."""
     t = F.lower(F.coalesce(text, F.lit("")))
-    hit = F.get(F.filter(lexicon_array(lexicon), lambda x: _has(t, x["term"], word_boundary)), F.lit(0))
+    hit = F.get(F.filter(lexicon_array(lexicon), lambda x: has_term(t, x["term"], word_boundary)), F.lit(0))
     return df.withColumn("_hit", hit).withColumns({"matched_term": F.col("_hit")["term"], "lexicon_level": F.col("_hit")["risk_level"]}).drop("_hit")
 
 
 def lexicon_match_join(df: DataFrame, lexicon: DataFrame, text: str = "text", word_boundary: bool = False) -> DataFrame:
-    """lexicon_match for a lexicon of any size: each distinct text is joined with the terms it contains, and the first
-    of them stays (HIGH ones first, by priority, then by term)."""
-    t = F.lower(F.coalesce(text, F.lit("")))
-    terms = lexicon.where(F.col("risk_level").isin("HIGH", "MEDIUM")).select(F.col("term").alias("_term"), F.col("risk_level").alias("_level"), F.col("priority").alias("_priority"))
-    pairs = df.select(t.alias("_text")).distinct().join(terms, _has(F.col("_text"), F.col("_term"), word_boundary))
-    first = pairs.groupBy("_text").agg(F.min(F.struct((F.col("_level") != "HIGH").alias("medium"), "_priority", "_term", "_level")).alias("_hit"))
-    out = df.withColumn("_of", t).join(first, F.col("_of") == F.col("_text"), "left")
-    return out.withColumns({"matched_term": F.col("_hit")["_term"], "lexicon_level": F.col("_hit")["_level"]}).drop("_of", "_text", "_hit")
+    """lexicon_match by joins alone, for a lexicon of any size (see ``automaton.lexicon_match_large``, which chooses)."""
+    from veriscope.operators.automaton import match_by_grams, ranked_terms
+
+    return match_by_grams(df, ranked_terms(lexicon), text, word_boundary)
 
 
 def keyword_context(df: DataFrame, lexicon: DataFrame, keyword: str = "matched_term") -> DataFrame:
-    """df with the sentence that explains its keyword. The lexicon is used whole; Spark chooses the join by its size."""
-    c = lexicon.groupBy(F.lower("term").alias("_term")).agg(F.max("context").alias("_context"))
+    """df with the sentence that explains its keyword; of a term listed more than once, that of least priority which has
+    one. The lexicon is used whole; Spark chooses the join by its size."""
+    c = lexicon.where("context is not null").groupBy(F.lower("term").alias("_term")).agg(F.min(F.struct("priority", "context")).getField("context").alias("_context"))
     return df.join(c, F.lower(F.col(keyword)) == F.col("_term"), "left").withColumn("keyword_context", F.coalesce("_context", F.lit(E.DEFAULT_CONTEXT))).drop("_term", "_context")
 
 

@@ -12,6 +12,7 @@ from veriscope.functions import text as X
 from veriscope.operators import analytics as A
 from veriscope.operators import classify as C
 from veriscope.operators import ingest as I
+from veriscope.operators.automaton import lexicon_match_large
 from veriscope.sources import fixtures, readers, sinks
 from veriscope.sources.scratch import scratch_path
 from veriscope.streaming import jobs
@@ -227,6 +228,26 @@ def _lexicon_match(spark, d):
     return C.lexicon_match(_docs(spark, d), fixtures.lexicon(spark)).select("doc_id", "matched_term", "lexicon_level")
 
 
+def _phrases(spark, d):
+    """A lexicon from the given tables: the words of the benchmark items of four letters and more, and their pairs."""
+    w = F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda x: F.length(x) >= 4)
+    pairs = F.transform(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), lambda x, i: F.concat_ws(" ", x, F.col("w")[i + 1]))
+    terms = fixtures.table(spark, d, "benchmark").select(w.alias("w")).select(F.explode(F.concat("w", pairs)).alias("term")).distinct()
+    return terms.withColumns({"priority": F.length("term"), "risk_level": F.when(F.ascii(F.right("term", F.lit(1))) % 2 == 0, "HIGH").otherwise("MEDIUM")})
+
+
+@query(
+    "lexicon_match_large",
+    r"""WITH w AS (SELECT list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda x: length(x) >= 4) AS w FROM benchmark),
+    lex AS (SELECT DISTINCT term, length(term) AS priority, CASE WHEN ascii(right(term, 1)) % 2 = 0 THEN 'HIGH' ELSE 'MEDIUM' END AS lvl
+      FROM (SELECT unnest(w) AS term FROM w UNION ALL SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM w)),
+    hit AS (SELECT doc_id, arg_min(struct_pack(t := term, l := lvl), struct_pack(a := lvl <> 'HIGH', b := priority, c := term)) AS h FROM documents JOIN lex ON contains(lower(text), term) GROUP BY doc_id)
+    SELECT documents.doc_id, h.t AS matched_term, h.l AS lexicon_level FROM documents LEFT JOIN hit USING (doc_id)""",
+)
+def _lexicon_match_large(spark, d):
+    return lexicon_match_large(_docs(spark, d), _phrases(spark, d)).select("doc_id", "matched_term", "lexicon_level")
+
+
 @query("keyword_context", f"WITH q AS (SELECT 1) {LEX} SELECT doc_id, CASE WHEN t IN ('erblest', 'ththre') THEN 'Term ' || t || ' is on the watch list.' ELSE '{E.DEFAULT_CONTEXT}' END AS keyword_context FROM (SELECT doc_id, {HIT.format('text')} AS t FROM documents) WHERE t IS NOT NULL")
 def _keyword_context(spark, d):
     lex = fixtures.lexicon(spark)
