@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,11 +35,8 @@ def risk_counts(df: DataFrame, *keys, percent: bool = False, unknown: bool = Fal
 
 def risk_distribution(df: DataFrame) -> DataFrame:
     """Reports by risk level; the four levels are always there."""
-    spark = df.sparkSession
-    domain = spark.createDataFrame([(x,) for x in RISK_DOMAIN], "risk_level string")
-    got = df.groupBy(_risk(df).alias("risk_level")).agg(F.count("*").alias("n"))
-    # both sides have a row for each risk level
-    return got.unionByName(domain.withColumn("n", F.lit(0).cast("long"))).groupBy("risk_level").agg(F.sum("n").alias("n"))
+    domain = df.sparkSession.createDataFrame([(x, 0) for x in RISK_DOMAIN], "risk_level string, n long")
+    return df.select(_risk(df).alias("risk_level"), F.lit(1).cast("long").alias("n")).unionByName(domain).groupBy("risk_level").agg(F.sum("n").alias("n"))
 
 
 def risk_share(df: DataFrame) -> DataFrame:
@@ -210,19 +205,10 @@ def alert(df: DataFrame, as_of, window_hours: int = 24, threshold: int = 10, by=
 
 
 def bundle(df: DataFrame) -> DataFrame:
-    """Seven analytics in one long table (section, key, metric, value); the reports are read once if df is cached."""
-
-    def long(section: str, d: DataFrame, key: str | None, metrics) -> DataFrame:
-        values = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])).alias("x")
-        return d.select(F.lit(section).alias("section"), (F.col(key).cast("string") if key else F.lit("all")).alias("key"), values).select("section", "key", "x.metric", "x.value")
-
-    counts = ["high", "medium", "low", "total"]
-    parts = [
-        long("summary", summary_scalars(df), None, ["total", "avg_toxicity"]), long("risk_distribution", risk_distribution(df), "risk_level", ["n"]),
-        long("county", county_risk(df), "county", counts), long("keywords", keyword_trends(df, 10), "matched_keyword", ["n"]),
-        long("toxicity", toxicity_trends(df), "date", ["avg_toxicity", "n"]), long("hourly", hourly_patterns(df), "hour_of_day", counts), long("daily", daily_patterns(df), "day_of_week", counts),
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    """Seven analytics in one long table (section, key, metric, value), in one pass over the reports."""
+    from veriscope.operators.rollup import bundle_of, day_partials
+
+    return bundle_of(day_partials(df))
 
 
 def over_time(df: DataFrame, *keys) -> DataFrame:

@@ -13,6 +13,7 @@ from veriscope.operators import analytics as A
 from veriscope.operators import classify as C
 from veriscope.operators import ingest as I
 from veriscope.operators.automaton import lexicon_match_large
+from veriscope.operators.rollup import DayView
 from veriscope.sources import fixtures, readers, sinks
 from veriscope.sources.scratch import scratch_path
 from veriscope.streaming import jobs
@@ -185,16 +186,32 @@ def _long(section, key, metrics, sql):
 
 
 _C = ["high", "medium", "low", "total"]
-on_reports(
-    "dashboard_bundle", A.bundle,
-    " UNION ALL ".join([
+BUNDLE = " UNION ALL ".join([
         _long("summary", "'all'", ["total", "avg_toxicity"], "SELECT count(*) AS total, round(coalesce(avg(toxicity), 0), 3) AS avg_toxicity FROM r"),
         _long("risk_distribution", "risk_level", ["n"], "SELECT d.risk_level, count(r.id) AS n FROM (VALUES ('HIGH'), ('MEDIUM'), ('LOW'), ('UNKNOWN')) d(risk_level) LEFT JOIN r ON r.risk_level = d.risk_level GROUP BY 1"),
         _long("county", "county", _C, f"SELECT county, {RISKS} FROM r GROUP BY 1"), _long("keywords", "matched_keyword", ["n"], "SELECT matched_keyword, count(*) AS n FROM r WHERE matched_keyword <> '' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10"),
         _long("toxicity", "date", ["avg_toxicity", "n"], f"SELECT {DAY} AS date, round(avg(toxicity), 3) AS avg_toxicity, count(*) AS n FROM r WHERE toxicity IS NOT NULL GROUP BY 1"),
         _long("hourly", "hour_of_day", _C, f"SELECT hour_of_day, {RISKS} FROM r GROUP BY 1"), _long("daily", "day_of_week", _C, f"SELECT day_of_week, {RISKS} FROM r GROUP BY 1"),
-    ]),
+    ])
+on_reports("dashboard_bundle", A.bundle, BUNDLE)
+
+_IN = f"timestamp >= TIMESTAMP '{START}' AND timestamp <= TIMESTAMP '{END}'"
+
+
+@query(
+    "dashboard_view",
+    R + ", v AS (SELECT * FROM r WHERE " + _IN + ") SELECT *, TIMESTAMP '" + START + "' AS range_start, TIMESTAMP '" + END + "' AS range_end, TIMESTAMP '" + AS_OF + "' AS generated_at FROM (" + BUNDLE.replace("FROM r", "FROM v").replace("JOIN r ON r.", "JOIN v ON v.").replace("count(r.id)", "count(v.id)") + ")",
 )
+def _dashboard_view(spark, d):
+    """The bundle of a range from a view that was stored for a part of the reports and then kept up."""
+    at, path = scratch_path(spark, "reports"), scratch_path(spark, "view")
+    r = fixtures.reports(spark, d).select("id", "timestamp", "county", "risk_level", "matched_keyword", "hour_of_day", "day_of_week", "scores")
+    view = DayView(spark, at, path)
+    for part in (r.where(F.col("risk_level") != "LOW"), r.where("risk_level = 'LOW'")):
+        sinks.save_reports(part, at)
+        view.refresh()
+    return view.bundle(START, END, AS_OF)
+
 
 # exports
 _FLAT = f"""SELECT id::VARCHAR AS id, text, risk_level, language, county, region, is_urban, strftime(r.timestamp, '%Y-%m-%dT%H:%M:%S') AS timestamp, strftime(r.timestamp, '%Y-%m-%d') AS date, strftime(r.timestamp, '%H:%M:%S') AS time,
