@@ -16,6 +16,7 @@ import html
 import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -52,7 +53,9 @@ KINDS = ["article", "menu", "head", "foot", "side", "notice", "ad", "form", "com
 
 FEATURES = ["words", "links", "words_before", "links_before", "words_after", "links_after", "heading", "item", "stops", *KINDS]
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_STOP = re.compile("[>\"']")
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>")
 _ATTR = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
 
@@ -67,11 +70,65 @@ def _region(tag: str, attrs: str) -> str | None:
     return kind
 
 
+class _Tags:
+    """The tags, comments and declarations of a page, forward and each stretch once: where the way to a tag's end has
+    failed is remembered, as is what does not occur further on."""
+
+    def __init__(self, page: str):
+        self.page, self.failed, self.absent = page, set(), {}
+
+    def find(self, what: str, at: int) -> int:
+        if at >= self.absent.get(what, len(self.page)):
+            return -1
+        found = self.page.find(what, at)
+        if found < 0:
+            self.absent[what] = at
+        return found
+
+    def _end(self, at: int) -> int:
+        """The end of the tag whose attributes begin at `at`: the next > outside of quotes; -1 if there is none."""
+        way, page = [], self.page
+        while at not in self.failed:
+            way.append(at)
+            m = _STOP.search(page, at) if self.find(">", at) >= 0 else None
+            if m and m[0] == ">":
+                return m.start()
+            close = self.find(m[0], m.end()) if m else -1
+            if close < 0:
+                break
+            at = close + 1
+        self.failed.update(way)
+        return -1
+
+    def next(self, at: int):
+        """(start, end, whether it is an end tag, name, attributes) of what comes next; name None: to be skipped. None: nothing."""
+        page = self.page
+        while (start := self.find("<", at)) >= 0:
+            if page.startswith("<!--", start):
+                end = self.find("-->", start + 4)
+                return start, len(page) if end < 0 else end + 3, False, None, ""
+            if page.startswith("<![CDATA[", start):
+                end = self.find("]]>", start)
+                return start, len(page) if end < 0 else end + 3, False, None, ""
+            if page.startswith(("<!", "<?"), start):
+                end = self.find(">", start)
+                if end >= 0:
+                    return start, end + 1, False, None, ""
+            elif not self.failed and (m := _TAG.match(page, start)):
+                return start, m.end(), bool(m[1]), m[2], m[3]
+            elif m := _NAME.match(page, start + 1):  # no tag, or a page with stray quotes
+                end = self._end(m.end())
+                if end >= 0:
+                    return start, end + 1, bool(m[1]), m[2], page[m.end() : end]
+            at = start + 1
+        return None
+
+
 def blocks(page: str):
     """The page's blocks: (text, words, link words, tag, kinds of region around it)."""
     out, parts, words, linked = [], [], 0, 0
     stack, link, silent, tag, region = [], 0, None, "body", None
-    at, size = 0, len(page)
+    at, size, tags, open_tags, unclosed = 0, len(page), _Tags(page), Counter(), set()
 
     def flush():
         nonlocal parts, words, linked
@@ -83,49 +140,51 @@ def blocks(page: str):
         parts, words, linked = [], 0, 0
 
     while at < size:
-        m = _TOKEN.search(page, at)
-        raw = page[at : m.start()] if m else page[at:]
+        found = tags.next(at)
+        raw = page[at : found[0]] if found else page[at:]
         if raw:
             text = html.unescape(raw) if "&" in raw else raw
             parts.append(text)
             if link:
                 linked += len(text.split())
-        if not m:
+        if not found:
             break
-        at = m.end()
-        name = m[2]
+        _, at, closes, name, attrs = found
         if name is None:
             continue
-        name = name.lower()
+        written, name = name, name.lower()
         if name in SILENT and name != "head":
-            if not m[1] and not m[3].endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
+            if not closes and not attrs.endswith("/"):
+                end = None if name in unclosed else re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
                 if end is None and name not in ("script", "style"):
+                    unclosed.add(name)
                     continue
                 at = end.end() if end else size
             continue
         if name == "br":
             parts.append(" ")
         elif name == "a":
-            link = max(0, link + (-1 if m[1] else 1))
+            link = max(0, link + (-1 if closes else 1))
         elif name in BLOCK:
             flush()
             link = 0
-            if m[1]:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == name:
-                        del stack[i:]
+            if closes:
+                while open_tags[name]:  # an end tag without its start is ignored
+                    top = stack.pop()[0]
+                    open_tags[top] -= 1
+                    if top == name:
                         break
             elif name not in VOID:
                 if stack and (name == stack[-1][0] == "p" or name == stack[-1][0] == "li" or stack[-1][0] == "p"):
-                    stack.pop()
-                kind = _region(name, m[3])
+                    open_tags[stack.pop()[0]] -= 1
+                kind = _region(name, attrs)
                 above = stack[-1][1] if stack else frozenset()
                 stack.append((name, above | {kind} if kind else above))
+                open_tags[name] += 1
             tag, region = (stack[-1][0], stack[-1][1]) if stack else ("body", frozenset())
-        elif m[3] and name in ("span", "i", "b", "font", "label", "small") and not m[1] and _region(name, m[3]) in ("ad", "share", "notice"):
-            end = page.find("</" + m[2], at)
-            if end >= 0 and page.find("<", at) == end:
+        elif attrs and name in ("span", "i", "b", "font", "label", "small") and not closes and _region(name, attrs) in ("ad", "share", "notice"):
+            end = tags.find("<", at)
+            if end >= 0 and page.startswith("</" + written, end):
                 at = end
     flush()
     return out
