@@ -27,7 +27,9 @@ from veriscope.llm.components import connected_components
 
 #: Vectors a group holds about; vectors a tile of the product holds.
 GROUP, TILE = 8192, 1024
-#: Room for rounding: float32 holds the integer products exactly (below 2 ** 24), the scaled ones nearly.
+#: Components up to which float32 holds the integer products exactly (127 * 127 * 1,040 < 2 ** 24); double does beyond.
+EXACT_DIM = 1040
+#: Room for rounding of the scaled products.
 SLACK = 1e-5
 
 _PACKED = "g int, n int, dim int, ids binary, q binary, s binary, err binary, x binary"
@@ -37,58 +39,63 @@ def _pack(batches):
     """Vectors of a group as columns of bytes, one row for each batch and dimension."""
     for b in batches:
         for g, rows in b.groupby("g"):
-            full = [np.asarray(v, dtype=np.float32) for v in rows["vec"]]
+            full = [np.asarray(v, dtype=np.float64) for v in rows["vec"]]
             ids = rows["id"].to_numpy(np.int64)
             dims = np.array([len(v) for v in full])
             for dim in np.unique(dims):
                 at = np.flatnonzero(dims == dim)
-                x32 = np.stack([full[i] for i in at])
-                x = x32.astype(np.float64)
-                x /= np.linalg.norm(x, axis=1)[:, None]
+                raw = np.stack([full[i] for i in at])
+                # by a power of two, so that nothing is rounded: squares neither overflow nor vanish then
+                raw = np.ldexp(raw, -np.frexp(np.abs(raw).max(axis=1))[1][:, None])
+                x = raw / np.linalg.norm(raw, axis=1)[:, None]
                 s = 127.0 / np.abs(x).max(axis=1)
                 q = np.rint(x * s[:, None]).astype(np.int8)
                 err = np.linalg.norm(x - q / s[:, None], axis=1)
-                yield pd.DataFrame({"g": [g], "n": [len(at)], "dim": [int(dim)], "ids": [ids[at].tobytes()], "q": [q.tobytes()], "s": [s.tobytes()], "err": [err.tobytes()], "x": [x32.tobytes()]})
+                yield pd.DataFrame({"g": [g], "n": [len(at)], "dim": [int(dim)], "ids": [ids[at].tobytes()], "q": [q.tobytes()], "s": [s.tobytes()], "err": [err.tobytes()], "x": [raw.tobytes()]})
 
 
 class _Forest:
-    """Union-find over positions; keeps the links that joined two trees."""
+    """Trees over positions, each with its smallest position as label; keeps the links that joined two trees."""
 
     def __init__(self, n):
-        self.up, self.links = list(range(n)), []
-
-    def root(self, i):
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
+        self.label, self.links = np.arange(n), []
 
     def join(self, a, b):
-        for i, j in zip(a.tolist(), b.tolist()):
-            r, t = self.root(i), self.root(j)
-            if r != t:
-                self.up[max(r, t)] = min(r, t)
-                self.links.append((i, j))
+        while True:
+            p, q = self.label[a], self.label[b]
+            apart = p != q
+            if not apart.any():
+                return
+            a, b, low, high = a[apart], b[apart], np.minimum(p, q)[apart], np.maximum(p, q)[apart]
+            # each tree is hung once a round, under one of the smaller labels that it meets
+            trees, first = np.unique(high, return_index=True)
+            self.links += zip(a[first].tolist(), b[first].tolist())
+            up = np.arange(len(self.label))
+            up[trees] = low[first]
+            while not (up[up] == up).all():
+                up = up[up]
+            self.label = up[self.label]
 
 
 def _side(rows):
     g = {k: np.frombuffer(b"".join(rows[k]), t) for k, t in (("ids", np.int64), ("s", np.float64), ("err", np.float64))}
     dim = int(rows["dim"].iloc[0])
     g["q"] = np.frombuffer(b"".join(rows["q"]), np.int8).reshape(-1, dim)
-    g["x"] = np.frombuffer(b"".join(rows["x"]), np.float32).reshape(-1, dim)
+    g["x"] = np.frombuffer(b"".join(rows["x"]), np.float64).reshape(-1, dim)
     return g
 
 
 def tile_links(a, b, same: bool, threshold: float):
     """Yields (i, j), positions in a and b, of all pairs at or above the threshold; with same, i < j only."""
-    qa, qb = a["q"].astype(np.float32), b["q"].astype(np.float32)
+    exact = np.float32 if a["q"].shape[1] <= EXACT_DIM else np.float64
+    qa, qb = a["q"].astype(exact), b["q"].astype(exact)
     for i in range(0, len(qa), TILE):
         for j in range(i if same else 0, len(qb), TILE):
             sa, ea, sb, eb = a["s"][i : i + TILE], a["err"][i : i + TILE], b["s"][j : j + TILE], b["err"][j : j + TILE]
-            product = qa[i : i + TILE] @ qb[j : j + TILE].T  # whole numbers below 2 ** 24: exact
-            product *= (1 / sb).astype(np.float32)
+            product = qa[i : i + TILE] @ qb[j : j + TILE].T  # whole numbers: exact
+            product *= (1 / sb).astype(exact)
             # a row's smallest product that could reach the threshold with the tile's worst partner
-            least = ((threshold - SLACK - ea - (1 + ea) * eb.max()) * sa).astype(np.float32)
+            least = ((threshold - SLACK - ea - (1 + ea) * eb.max()) * sa).astype(exact)
             r, c = np.nonzero(product >= least[:, None])
             if same and i == j:
                 r, c = r[r < c], c[r < c]
@@ -96,7 +103,7 @@ def tile_links(a, b, same: bool, threshold: float):
             r, c = r[near], c[near]
             for k in range(0, len(r), 65536):
                 p, o = r[k : k + 65536] + i, c[k : k + 65536] + j
-                x, y = a["x"][p].astype(np.float64), b["x"][o].astype(np.float64)
+                x, y = a["x"][p], b["x"][o]
                 cos = np.einsum("ij,ij->i", x, y) / np.sqrt(np.einsum("ij,ij->i", x, x) * np.einsum("ij,ij->i", y, y))
                 yield p[cos >= threshold], o[cos >= threshold]
 
@@ -132,7 +139,7 @@ def _compare(threshold):
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding", group: int = GROUP) -> DataFrame:
     """One row per input row: id, n_links, component_id, kept."""
-    v = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<float>").alias("vec"))
+    v = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
     sound = v.where("id is not null and size(vec) > 0 and not exists(vec, x -> x is null or isnan(x) or abs(x) = float('infinity')) and exists(vec, x -> x <> 0)")
     groups = max(1, -(-sound.count() // group))
     packed = sound.withColumn("g", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int")).repartition("g").mapInPandas(_pack, _PACKED)
