@@ -452,3 +452,31 @@ def test_grammar_round_trip_and_random_access():
     assert len(stream) < len(ids) / 3
     for k in range(len(starts) - 1):
         assert (repair_shards.decode(stream[at[k] : at[k + 1]], 50, lengths, expanded) == ids[starts[k] : starts[k + 1]]).all()
+
+
+def test_scanners_are_linear():
+    """A megabyte of unclosed tags, stray quotes or stray end tags takes seconds, not hours."""
+    import time
+
+    for page in ("<p " * 350_000, '<p "' * 250_000 + ">", "</b></div>" * 100_000, "<div>" * 50_000 + "</p>" * 50_000, "<option>" * 100_000, "<span class=ad>x" * 60_000, "<" * 500_000):
+        began = time.time()
+        html_text.blocks(page)
+        assert time.time() - began < 15
+
+
+def test_double_vectors(spark):
+    """Vectors beyond the range of floats, and wider than float32 products are exact for."""
+    wide = np.zeros(1500)
+    wide[:1400] = 1.0
+    data = [(0, [1e200, 1e199]), (1, [1.0, 0.1]), (2, [-1.0, 0.1]), (3, [1e-250, 1e-251]), (4, wide.tolist()), (5, (wide * 3).tolist()), (6, [float("inf"), 1.0]), (7, [float("nan"), 1.0]), (8, None), (9, [0.0, 0.0])]
+    d = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_duplicates(d).collect()}
+    assert got == {0: (2, 0), 1: (2, 0), 2: (0, 2), 3: (2, 0), 4: (1, 4), 5: (1, 4), 6: (0, 6), 7: (0, 7), 8: (0, 8), 9: (0, 9)}
+
+
+def test_mix_of_rows_that_differ_elsewhere(spark):
+    """Rows of one id and text: the same ones are taken whatever the layout."""
+    rows_ = [(7, "one two three", "en", "s0", i) for i in range(40)] + [(i, prose(i, 20), "en", "s1", 0) for i in range(100, 140)]
+    d = spark.createDataFrame(rows_, "doc_id long, text string, lang string, source string, n_chars long")
+    one, two = (sorted(map(str, source_mix.sample_mix(x).collect())) for x in (d.repartition(3), d.orderBy(F.desc("n_chars")).coalesce(1)))
+    assert one == two

@@ -197,11 +197,11 @@ def fold(spark, word: str, ranks: dict[bytes, int]) -> F.Column:
 def _counts(pattern: str):
     def run(batches):
         split, seen = splitter(pattern), Counter()
-        out = lambda: pa.RecordBatch.from_pydict({"w": pa.array((own := {w: n for w, n in seen.items() if len(w) <= LONG}).keys(), pa.string()), "n": pa.array(own.values(), pa.int64())})
+        out = lambda: pa.RecordBatch.from_pydict({"w": pa.array(seen.keys(), pa.string()), "n": pa.array(seen.values(), pa.int64())})
         for b in batches:
             for text in b.column(0):
                 if text.is_valid:
-                    seen.update(split(text.as_py()))
+                    seen.update(w for w in split(text.as_py()) if len(w) <= LONG)
                     if len(seen) > COUNTED:
                         yield out()
                         seen.clear()

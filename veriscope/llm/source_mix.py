@@ -110,8 +110,10 @@ def _with_copies(docs: DataFrame, id_col: str, text: str, source: str, weight: s
     in_cut = F.col("cell") == F.col("cut_cell")
     equal = F.coalesce((F.col("part") > 0) & in_cut & (at == last), F.lit(False))
     before = F.when(F.col("cut_cell").isNull(), False).when(in_cut, F.coalesce(at < last, F.lit(False))).otherwise(F.col("cell") < F.col("cut_cell"))
-    # rows equal to a source's last one (one document, but for repeated rows) are numbered; no others move
-    number = F.row_number().over(Window.partitionBy("source", "rank", "size", "hash").orderBy(F.lit(0)))
+    # rows equal to a source's last one (one document, but for repeated rows) are numbered, by all that they hold, so that
+    # reruns agree; no others move
+    whole = F.xxhash64(F.to_json("row")) if keep else F.lit(0)
+    number = F.row_number().over(Window.partitionBy("source", "rank", "size", "hash").orderBy(whole, *([F.to_json("row")] if keep else [])))
     some = out.where(equal).withColumn("more", (number <= F.col("last.m")).cast("int"))
     rest = out.where(~equal).withColumn("more", ((F.col("part") > 0) & before).cast("int"))
     return rest.unionByName(some).withColumn("copies", (F.col("whole") + F.col("more")).cast("int"))
