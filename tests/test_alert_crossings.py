@@ -3,6 +3,7 @@
 import random
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 
 from veriscope.streaming import alerts
@@ -70,8 +71,9 @@ def test_crossings_over_a_restart(state_store, tmp_path):
 
 
 def test_crossing_rule():
-    counts = {0: 3, 10: 2}
-    assert alerts.crossings(counts, [0, 10], 100, 5, True) == ([(10, 5)], False)
-    assert alerts.crossings(counts, [100], 100, 5, False) == ([], True) and counts == {10: 2}
+    times, counts = np.array([0, 10]), np.array([3, 2])
+    assert alerts.crossings(times, counts, -1, 10, 100, 5, True) == ([(10, 5)], False)
+    assert alerts.crossings(times, counts, 10, 100, 100, 5, False) == ([], True)
+    assert alerts.crossings(times, counts, 100, 500, 100, 1, True) == ([], True)
     with pytest.raises(ValueError):
         alerts.alert_crossings(None, threshold=0)

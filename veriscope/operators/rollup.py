@@ -93,21 +93,22 @@ class DayView:
         """Computes the days again whose files are not those that the stored partials come from; returns these days."""
         now, before = self._files(), self.partials()
         if before is None:
-            changed = now.withColumn("gone", F.lit(False))
+            changed = now
         else:
-            known = before.groupBy("day").agg(F.first("mark").alias("was"))
-            changed = now.join(known, now["day"].eqNullSafe(known["day"]), "full").where(~F.col("mark").eqNullSafe(F.col("was"))).select(F.coalesce(now["day"], known["day"]).alias("day"), "mark", F.col("mark").isNull().alias("gone"))
+            known = before.groupBy(F.col("day").alias("_day")).agg(F.first("mark").alias("was"))
+            changed = now.join(known, F.col("day").eqNullSafe(F.col("_day")), "full").where(~F.col("mark").eqNullSafe(F.col("was"))).select(F.coalesce("day", "_day").alias("day"), "mark")
         rows = changed.select("day", "mark").collect()  # one row a day
         if not rows:
             return []
         days = [r["day"] for r in rows]
-        marks = self.spark.createDataFrame(rows, "day date, mark long")
+        marks = self.spark.createDataFrame([tuple(r) for r in rows], "day date, mark long")
         base = self.spark.read.parquet(self.reports)
         dates = F.col("date").isin([d for d in days if d is not None]) | (F.lit(None in days) & F.col("date").isNull())
         got = day_partials(base.where(dates))
         # a day of which nothing is left gets an empty row, so that its old partials go
         empty = marks.select("day", F.lit("all").alias("set"), F.lit("all").alias("key"), *[F.lit(0).cast("double" if c == "score_sum" else "long").alias(c) for c in SUMS])
-        marked = got.unionByName(empty).join(F.broadcast(marks), got["day"].eqNullSafe(marks["day"])).drop(marks["day"])
+        of = marks.select(F.col("day").alias("_day"), "mark")  # one row a day
+        marked = got.unionByName(empty).join(F.broadcast(of), F.col("day").eqNullSafe(F.col("_day"))).drop("_day")
         by_day = marked.withColumn("at", F.coalesce(F.col("day").cast("string"), F.lit("none"))).drop("day")
         by_day.repartition("at").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("at").parquet(self.path)
         return days

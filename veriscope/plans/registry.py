@@ -14,9 +14,9 @@ from veriscope.operators import classify as C
 from veriscope.operators import ingest as I
 from veriscope.operators.automaton import lexicon_match_large
 from veriscope.operators.rollup import DayView
-from veriscope.sources import fixtures, readers, sinks
+from veriscope.sources import fixtures, landed_feeds, readers, sinks
 from veriscope.sources.scratch import scratch_path
-from veriscope.streaming import jobs
+from veriscope.streaming import alerts, jobs
 
 START, END, AS_OF = "2024-01-05 00:00:00", "2024-01-20 12:00:00", "2024-01-30 00:00:00"
 KEYWORDS = ("the", "de")
@@ -221,11 +221,12 @@ on_reports("export_flat", lambda r: sinks.flatten(r.orderBy(F.desc("timestamp"),
 on_reports("export_flat_fields", lambda r: sinks.select_fields(sinks.flatten(r), ["county", "id", "nothing", "max_toxicity"]), f"SELECT county, id, max_toxicity FROM ({_FLAT})")
 
 
-@query("export_json")
+@query("export_json", R + "SELECT id, strftime(timestamp, '%Y-%m-%dT%H:%M:%S') AS timestamp, risk_level, county, toxicity, matched_keyword FROM r")
 def _export_json(spark, d):
     path = scratch_path(spark, "export-json")
     sinks.export_json(fixtures.reports(spark, d).select("id", "timestamp", "risk_level", "county", "scores", "matched_keyword"), path)
-    return spark.read.schema("id long, timestamp string, risk_level string, county string, scores map<string,double>, matched_keyword string").json(path)
+    back = spark.read.schema("id long, timestamp string, risk_level string, county string, scores map<string,double>, matched_keyword string").json(path)
+    return back.withColumn("toxicity", F.element_at("scores", "toxicity")).drop("scores")
 
 
 on_reports(
@@ -324,7 +325,13 @@ def _domain_allow(spark, d):
     return I.domain_allow(pages, _allowed(pages)).select("page_id", "url")
 
 
-@query("normalise_url")
+@query(
+    "normalise_url",
+    r"""WITH u AS (SELECT page_id, regexp_extract(trim(url), '^([^:/?#]+)://([^/?#]*)([^?#]*)(?:\?([^#]*))?', ['scheme', 'host', 'path', 'query']) AS p FROM pages),
+    q AS (SELECT page_id, p, list_filter(list_transform(string_split(p.query, '&'), lambda x: [url_decode(split_part(x, '=', 1)), url_decode(regexp_extract(x, '^[^=]*=(.*)$', 1))]), lambda x: x[2] <> '' AND lower(x[1]) NOT IN ('utm_source', 'utm_medium', 'utm_campaign', 'utm_term', 'utm_content', 'fbclid')) AS q FROM u)
+    SELECT page_id, lower(p.scheme) || '://' || p.host || CASE WHEN p.path = '' THEN '/' ELSE regexp_replace(p.path, ';[^/]*$', '') END
+      || CASE WHEN len(q) > 0 THEN '?' || array_to_string(list_transform(q, lambda x: url_encode(x[1]) || '=' || url_encode(x[2])), '&') ELSE '' END AS url FROM q""",
+)
 def _normalise_url(spark, d):
     return fixtures.table(spark, d, "pages").select("page_id", X.normalise_url(F.col("url")).alias("url"))
 
@@ -349,16 +356,35 @@ def _rooted(batches):
     yield pd.DataFrame({"value": ["</channel></rss>"]})
 
 
-@query("feed_candidates")
-def _feed_candidates(spark, d):
+def _landed_feeds(spark, d):
+    """The folder of feed files that the documents make."""
     path = scratch_path(spark, "feeds")
     c = fixtures.feed_side(spark, d)
     items = c.select(F.concat(F.lit("<item><title>"), _escaped("title"), F.lit("</title><link>"), _escaped("url"), F.lit("</link><description>"), _escaped("snippet"), F.lit("</description></item>")).alias("value"))
     items.mapInPandas(_rooted, "value string").write.text(path)
-    return readers.feed_candidates(spark, path, "https://news.example.org/feed")
+    return path
+
+
+_FEED = """SELECT 'https://news.example.org/' || coalesce(source, 'none') || '/' || doc_id AS url, coalesce(lang, '') AS title, left(trim(regexp_replace(regexp_replace(coalesce(text, ''), '<[^>]+>', ' ', 'g'), '[\\s\\x0b\\x1c-\\x1f]+', ' ', 'g')), 5000) AS snippet,
+    'rss' AS source_type, 'https://news.example.org/feed' AS source_feed FROM documents"""
+
+
+@query("feed_candidates", _FEED)
+def _feed_candidates(spark, d):
+    return readers.feed_candidates(spark, _landed_feeds(spark, d), "https://news.example.org/feed")
 
 
-@query("dataset_import")
+@query("landed_feed_items", _FEED)
+def _landed_feed_items(spark, d):
+    """The same files through the data source, as a stream that is read to its end."""
+    items = landed_feeds.feed_items(spark, _landed_feeds(spark, d), stream=True, endings=".txt")
+    return landed_feeds.candidates_of(jobs.run_to_files(items), "https://news.example.org/feed")
+
+
+@query(
+    "dataset_import",
+    r"""SELECT text, county FROM (SELECT regexp_replace(text, '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g') AS text, CASE WHEN trim(source) <> '' AND lower(trim(source)) <> 'nan' THEN trim(source) END AS county FROM documents) WHERE text <> ''""",
+)
 def _dataset_import(spark, d):
     path = scratch_path(spark, "dataset")
     _docs(spark, d).select("doc_id", F.col("text").alias("Tweet"), F.col("source").alias("county")).write.option("header", True).option("escape", '"').csv(path)
@@ -425,6 +451,20 @@ def _alert_stream(spark, d):
     return w.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "n")
 
 
+@query(
+    "alert_crossings",
+    EV + """, h AS (SELECT 'all' AS key, epoch_ms(ts) AS t FROM ev WHERE risk_level = 'HIGH'), one AS (SELECT key, t, count(*) AS c FROM h GROUP BY ALL), passed AS (SELECT max(t) - 3600000 AS w FROM h),
+    moments AS (SELECT key, t FROM one UNION SELECT key, t + 3 * 3600000 FROM one), counted AS (SELECT m.key, m.t, coalesce(sum(o.c), 0) AS n FROM moments m LEFT JOIN one o ON o.key = m.key AND o.t > m.t - 3 * 3600000 AND o.t <= m.t GROUP BY ALL)
+    SELECT key, 'high_risk_alert' AS event, strftime(make_timestamp(t * 1000), '%Y-%m-%d %H:%M:%S') AS fired_at, n::BIGINT AS n, 3::BIGINT AS window_hours, 8::BIGINT AS threshold
+    FROM (SELECT *, lag(n) OVER (PARTITION BY key ORDER BY t) AS prev FROM counted), passed WHERE n >= 8 AND coalesce(prev, 0) < 8 AND t <= w""",
+)
+def _alert_crossings(spark, d):
+    """Three hours with eight HIGH reports and more, each time they are reached."""
+    with alerts.state_store(spark):
+        fired = jobs.run_to_files(alerts.alert_crossings(fixtures.event_stream(spark, d), None, 3, 8))
+    return fired.withColumn("fired_at", F.date_format("fired_at", "yyyy-MM-dd HH:mm:ss"))
+
+
 @query("live_counters_stream", EV + "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, risk_level, count(*) AS n FROM ev GROUP BY 1, 2")
 def _live_counters(spark, d):
     w = jobs.run_to_table(jobs.live_counters(fixtures.event_stream(spark, d)), _name("counters"))

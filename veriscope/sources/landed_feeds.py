@@ -11,7 +11,7 @@ the folder, and one that changes afterwards is taken again as a new landing. Wha
 restart reads nothing twice and nothing less.
 
 Folders are paths or uris of file systems that pyarrow knows (file, hdfs, s3, gs). Names that begin with _ or . are
-left out. Other files than .xml, .rss and .atom are no feeds.
+left out. Files with other endings than .xml, .rss and .atom (option endings, comma-joined) are no feeds.
 """
 
 from __future__ import annotations
@@ -41,13 +41,13 @@ def _system(folder: str):
     return fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:/") else (fs.LocalFileSystem(), folder)
 
 
-def listed(folder: str) -> list[tuple[int, str, int]]:
+def listed(folder: str, endings: tuple[str, ...] = ENDINGS) -> list[tuple[int, str, int]]:
     """(time of landing, path, bytes) of the folder's feed files, in that order."""
     from pyarrow import fs
 
     system, path = _system(folder)
     found = system.get_file_info(fs.FileSelector(path, recursive=True))
-    return sorted((f.mtime_ns or 0, f.path, f.size) for f in found if f.is_file and f.base_name.lower().endswith(ENDINGS) and f.base_name[0] not in "._")
+    return sorted((f.mtime_ns or 0, f.path, f.size) for f in found if f.is_file and f.base_name.lower().endswith(endings) and f.base_name[0] not in "._")
 
 
 def dealt(files: list[tuple[int, str, int]], task_bytes: int) -> list[Files]:
@@ -102,6 +102,10 @@ def read_files(folder: str, part: Files) -> Iterator[tuple]:
         yield from items_of(path, data)
 
 
+def _endings(options) -> tuple[str, ...]:
+    return tuple(options["endings"].split(",")) if "endings" in options else ENDINGS
+
+
 class LandedFeeds(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -119,10 +123,10 @@ class LandedFeeds(DataSource):
 
 class _Reader(DataSourceReader):
     def __init__(self, options):
-        self.folder, self.task_bytes = options["path"], int(options.get("taskBytes", TASK_BYTES))
+        self.folder, self.task_bytes, self.endings = options["path"], int(options.get("taskBytes", TASK_BYTES)), _endings(options)
 
     def partitions(self):
-        return dealt(listed(self.folder), self.task_bytes) or [Files([])]
+        return dealt(listed(self.folder, self.endings), self.task_bytes) or [Files([])]
 
     def read(self, partition) -> Iterator[tuple]:
         yield from read_files(self.folder, partition)
@@ -133,13 +137,13 @@ class _StreamReader(DataSourceStreamReader):
 
     def __init__(self, options):
         self.folder, self.task_bytes, self.most = options["path"], int(options.get("taskBytes", TASK_BYTES)), int(options.get("maxFiles", MAX_FILES))
-        self.at = None
+        self.endings, self.at = _endings(options), None
 
     def initialOffset(self) -> dict:
         return {"time": -1, "path": ""}
 
     def _after(self, start: dict):
-        return [f for f in listed(self.folder) if f[:2] > (start["time"], start["path"])]
+        return [f for f in listed(self.folder, self.endings) if f[:2] > (start["time"], start["path"])]
 
     def latestOffset(self) -> dict:
         new = self._after(self.at or self.initialOffset())[: self.most]

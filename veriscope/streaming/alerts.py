@@ -10,7 +10,9 @@ armed again without a further report, and leaves no state behind.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,14 +23,27 @@ STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark
 OUTPUT = "key string, at long, n long"
 
 
-def crossings(counts: dict[int, int], moments, window: int, threshold: int, armed: bool):
-    """Takes the moments in order. counts: reports by time, those of the moments included; loses what leaves the window.
-    Returns the alerts (time, number) and whether the key is armed at the end. Times and the window in milliseconds."""
+@contextmanager
+def state_store(spark):
+    """The session with the state store of STATE_STORE for a while."""
+    old = spark.conf.get(STATE_STORE[0])
+    spark.conf.set(*STATE_STORE)
+    try:
+        yield spark
+    finally:
+        spark.conf.set(STATE_STORE[0], old)
+
+
+def crossings(times: np.ndarray, counts: np.ndarray, after: int, upto: int, window: int, threshold: int, armed: bool):
+    """Takes in order the moments after `after` up to `upto` at which the number of reports in the window changes: where
+    reports come (times, sorted, and counts) and where they leave it. Returns the alerts (time, number) and whether the
+    key is armed at the end. All times in milliseconds."""
+    moments = np.unique(np.concatenate([times, times + window]))
+    moments = moments[(moments > after) & (moments <= upto)]
+    total = np.concatenate([[0], np.cumsum(counts)])
+    inside = total[np.searchsorted(times, moments, side="right")] - total[np.searchsorted(times, moments - window, side="right")]
     alerts = []
-    for now in sorted(moments):
-        for t in [t for t in counts if t <= now - window]:
-            del counts[t]
-        n = sum(c for t, c in counts.items() if t <= now)
+    for now, n in zip(moments.tolist(), inside.tolist()):
         if n < threshold:
             armed = True
         elif armed:
@@ -38,42 +53,51 @@ def crossings(counts: dict[int, int], moments, window: int, threshold: int, arme
 
 
 class CrossingAlerts(StatefulProcessor):
-    """State: reports by time (those in the window and those that wait), and whether the key is armed."""
+    """State, one value for each key: reports by time (those in the window and those that wait), the time up to which
+    moments have been taken, the next moment (for which there is a timer), and whether the key is armed."""
 
     def __init__(self, window_hours: int, threshold: int):
         self.window, self.threshold = window_hours * 3_600_000, threshold
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.counts = handle.getMapState("counts", "at long", "n long")
-        self.armed = handle.getValueState("armed", "armed boolean")
+        self.state = handle.getValueState("reports", "times array<long>, counts array<long>, done long, next long, armed boolean")
+
+    def _held(self):
+        s = self.state.get() if self.state.exists() else ([], [], -1, -1, True)
+        return dict(zip(map(int, s[0]), map(int, s[1]))), int(s[2]), int(s[3]), bool(s[4])
+
+    def _hold(self, held: dict, done: int, planned: int, armed: bool) -> None:
+        """Keeps the state, with a timer for the next moment after done; a key without reports leaves nothing behind."""
+        following = min((m for t in held for m in (t, t + self.window) if m > done), default=-1)
+        if planned != following:
+            if planned >= 0:
+                self.handle.deleteTimer(planned)
+            if following >= 0:
+                self.handle.registerTimer(following)
+        if held:
+            times = sorted(held)
+            self.state.update((times, [held[t] for t in times], done, following, armed))
+        else:
+            self.state.clear()
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        passed = timerValues.getCurrentWatermarkInMs()
+        held, done, planned, armed = self._held()
+        done = max(done, timerValues.getCurrentWatermarkInMs() - 1 if not held else done)
         for frame in rows:
             for at, n in frame.groupby("at").size().items():
-                at = int(at)
-                if at < passed:
-                    continue  # later than the watermark allows
-                old = self.counts.getValue((at,)) if self.counts.containsKey((at,)) else (0,)
-                self.counts.updateValue((at,), (old[0] + int(n),))
-                self.handle.registerTimer(at)
-                self.handle.registerTimer(at + self.window)
+                if at > done:  # else later than the watermark allows
+                    held[int(at)] = held.get(int(at), 0) + int(n)
+        self._hold(held, done, planned, armed)
         yield pd.DataFrame()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = int(expiredTimerInfo.getExpiryTimeInMs())
-        counts = {int(k[0]): int(v[0]) for k, v in self.counts.iterator()}
-        before = set(counts)
-        armed = self.armed.get()[0] if self.armed.exists() else True
-        alerts, armed = crossings(counts, [now], self.window, self.threshold, armed)
-        for t in before - set(counts):
-            self.counts.removeKey((t,))
-        if counts:
-            self.armed.update((armed,))
-        else:  # a quiet key has no state
-            self.counts.clear()
-            self.armed.clear()
+        held, done, planned, armed = self._held()
+        upto = timerValues.getCurrentWatermarkInMs()
+        times = np.array(sorted(held), np.int64)
+        alerts, armed = crossings(times, np.array([held[t] for t in times.tolist()], np.int64), done, upto, self.window, self.threshold, armed)
+        held = {t: n for t, n in held.items() if t + self.window > upto}
+        self._hold(held, upto, -1, armed)
         yield pd.DataFrame([(str(key[0]), t, n) for t, n in alerts], columns=["key", "at", "n"])
 
     def close(self) -> None:
