@@ -6,6 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPACES = r"(?U)[\s\x1c-\x1f]+"
+NO_SPACE = r"(?U)[^\s\x1c-\x1f]"
+#: The characters of SPACES.
+SPACE_CHARS = "".join(map(chr, (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 MAX_CHARS = 5000
 #: Query parameters that only track (fixed values).
 TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "fbclid")
@@ -59,7 +62,7 @@ def unwrap_list(text: Column) -> Column:
 
 def candidate_text(title: Column, snippet: Column) -> Column:
     t, s = F.coalesce(title, F.lit("")), F.coalesce(snippet, F.lit(""))
-    joined = F.regexp_replace(F.concat(t, F.lit("\n\n"), s), r"^(?U)[\s\x1c-\x1f]+|(?U)[\s\x1c-\x1f]+$", "")
+    joined = F.btrim(F.concat(t, F.lit("\n\n"), s), F.lit(SPACE_CHARS))
     return F.substring(F.when(t != "", joined).otherwise(s), 1, MAX_CHARS)
 
 

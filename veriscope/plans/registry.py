@@ -15,6 +15,8 @@ from veriscope.operators import ingest as I
 from veriscope.operators.automaton import lexicon_match_large
 from veriscope.operators.rollup import DayView
 from veriscope.sources import fixtures, landed_feeds, readers, sinks
+from veriscope.sources.commits import CommitLog
+from veriscope.sources.keystore import KeyStore
 from veriscope.sources.scratch import scratch_path
 from veriscope.streaming import alerts, jobs
 
@@ -437,7 +439,15 @@ def _ingestion_audit(spark, d):
 
 @query("ingestion_counts", CAND + "SELECT coalesce(action, 'fetched') AS outcome, count(*) AS n FROM decided GROUP BY ROLLUP (action)")
 def _ingestion_counts(spark, d):
-    return I.counters(_decided(spark, d))
+    return I.outcome_counts(_prepared(spark, d), fixtures.stored(spark, d), KEYWORDS)
+
+
+@query("ingestion_by_filters", CAND + "SELECT key, action, reason FROM decided")
+def _ingestion_by_filters(spark, d):
+    """The decisions against a store of keys: filters first, an exact join with the bucketed keys for what they let through."""
+    store = KeyStore.create(spark, scratch_path(spark, "keys"), expected=100_000)
+    store.add(I.store_keys(fixtures.stored(spark, d)))
+    return I.decide(_prepared(spark, d), store, KEYWORDS).select("key", "action", "reason")
 
 
 # streams
@@ -482,9 +492,9 @@ def _dedupe_stream(spark, d):
 @query("ingest_stream", CAND + "SELECT source_url, content_hash FROM c WHERE contains(lower(text), 'the') OR contains(lower(text), 'de')")
 def _ingest_stream(spark, d):
     """The candidates of all documents as a file stream, into an empty store."""
-    store, audit, check, landed = (scratch_path(spark, n) for n in ("store", "audit", "checkpoint", "landed"))
+    store, check, landed = (scratch_path(spark, n) for n in ("store", "checkpoint", "landed"))
     c = fixtures.feed_side(spark, d)
     c.write.parquet(landed)
-    q = jobs.start_ingest(spark.readStream.schema(c.schema).parquet(landed), store, audit, fixtures.lexicon(spark), check, KEYWORDS)
+    q = jobs.start_ingest(spark.readStream.schema(c.schema).parquet(landed), store, fixtures.lexicon(spark), check, KEYWORDS)
     q.awaitTermination()
-    return spark.read.parquet(store).select("source_url", "content_hash")
+    return CommitLog(spark, store).read("reports", jobs.STORED).select("source_url", "content_hash")

@@ -14,6 +14,8 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veriscope.sources.scratch import landed
+
 #: Bits of a filter (a bitmap of Spark's aggregates) and bits that a key sets.
 BITS, HASHES = 32_768, 4
 #: Keys for which a slot is laid out: then one new key in some 80 goes on without being stored.
@@ -53,6 +55,12 @@ class KeyStore:
     def open(cls, spark: SparkSession, path: str) -> KeyStore:
         return cls(spark, path, *spark.read.parquet(f"{path}/layout").first())
 
+    @classmethod
+    def open_or_create(cls, spark: SparkSession, path: str, **layout) -> KeyStore:
+        p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/layout")
+        there = p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+        return cls.open(spark, path) if there else cls.create(spark, path, **layout)
+
     def _slot(self, key):
         return F.pmod(F.xxhash64(key), F.lit(self.slots)).cast("int")
 
@@ -84,8 +92,6 @@ class KeyStore:
 
     def stored(self, keys: DataFrame, key: str = "key") -> DataFrame:
         """key: the distinct ones that are stored."""
-        from veriscope.sources.scratch import landed
-
         own = keys.select(F.col(key).cast("string").alias("key")).where("key is not null").distinct()
         may = landed(self.maybe(own), "maybe-stored")
         few = [r["key"] for r in may.limit(NAMED_KEYS + 1).collect()]

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veriscope.operators import ingest
-from veriscope.sources.scratch import scratch_path
+from veriscope.sources.commits import CommitLog
+from veriscope.sources.keystore import KeyStore
+from veriscope.sources.scratch import landed, scratch_path
 
 
 def alert_windows(stream: DataFrame, threshold: int = 10, window: str = "24 hours", slide: str = "1 hour", late: str = "1 hour") -> DataFrame:
@@ -27,25 +29,28 @@ def dedupe(stream: DataFrame, key: str = "content_hash", late: str = "1 hour") -
     return stream.withWatermark("timestamp", late).dropDuplicatesWithinWatermark([key])
 
 
-def start_ingest(stream: DataFrame, store: str, audit: str, lexicon: DataFrame, checkpoint: str, keywords=(), job_id: str = "stream"):
+#: Columns of the tables that ingestion commits.
+STORED = "source_url string, content_hash string, text string, risk_level string, source_type string"
+
+
+def start_ingest(stream: DataFrame, store: str, lexicon: DataFrame, checkpoint: str, keywords=(), job_id: str = "stream"):
     """Each batch of candidates is held against the store, decided, classified and written with its audit rows.
 
-    A batch has folders of its own in store and audit, and is held against those of other batches; when it runs again
-    after a failure, it overwrites what it has left, so nothing is stored or judged twice.
+    Reports and audit rows of a batch are committed together (``CommitLog`` at store: tables reports and audit); their keys
+    then join the store of keys beside them (``store``/keys), whose filters keep new keys away from the stored ones. A
+    batch that runs again after a failure is written if it was not committed; if it was, only its keys are added again,
+    which changes nothing. So nothing is stored or judged twice, and no batch reads the reports of others.
     """
+    spark = stream.sparkSession
+    log = CommitLog(spark, store)
+    keys = KeyStore.open_or_create(spark, f"{store}/keys")
 
     def batch(rows: DataFrame, number: int) -> None:
-        spark = rows.sparkSession
-        try:
-            stored = spark.read.parquet(store).where(F.col("batch") != number).select("source_url", "content_hash")
-        except Exception as e:  # the first batch finds no store
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-            stored = spark.createDataFrame([], "source_url string, content_hash string")
-        done = ingest.run_cycle(rows, stored, lexicon, keywords).persist()
-        done.where("action = 'verified'").select("source_url", "content_hash", "text", "risk_level", "source_type").write.mode("overwrite").parquet(f"{store}/batch={number}")
-        ingest.audit(done, f"{job_id}-{number}", datetime.now(timezone.utc).isoformat()).write.mode("overwrite").parquet(f"{audit}/batch={number}")
-        done.unpersist()
+        if not log.has(number):
+            done = landed(ingest.run_cycle(rows, keys, lexicon, keywords), "ingested")
+            as_of = datetime.now(timezone.utc).isoformat()
+            log.write(number, {"reports": done.where("action = 'verified'").select(*[f.split()[0] for f in STORED.split(", ")]), "audit": ingest.audit(done, f"{job_id}-{number}", as_of)})
+        keys.add(ingest.store_keys(log.read("reports", STORED, number)))
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
