@@ -146,3 +146,67 @@ def test_large_lexicons(spark, lexicon):
     for whole in (False, True):
         same = [sorted(f(texts, lexicon, word_boundary=whole).collect(), key=str) for f in (C.lexicon_match, C.lexicon_match_join)]
         assert same[0] == same[1]
+
+
+def test_outcomes_of_scorers(spark, lexicon):
+    d = spark.createDataFrame([(t,) for t in ("bad", "fine", "breaks", "so so", None)], "text string").withColumns({"scores": F.lit(None).cast("map<string,double>"), "context_flag": F.lit(None).cast("boolean")}).coalesce(1)
+
+    def scorer(texts):
+        if "breaks" in texts:
+            raise RuntimeError("no")
+        return [{"toxicity": 0.9 if t == "fine" else 0.1} for t in texts]
+
+    def context(texts):
+        if any(t == "" for t in texts):
+            raise ValueError("no text")
+        return [(t == "so so", "coded" if t == "so so" else "") for t in texts]
+
+    got = {r["text"]: r for r in C.classify(d, lexicon, scorer, context).collect()}
+    assert [(t, got[t]["score_outcome"], got[t]["context_outcome"], got[t]["context_reason"], got[t]["risk_level"]) for t in got] == [
+        ("bad", None, None, None, "HIGH"), ("fine", "ok", "ok", None, "HIGH"), ("breaks", "error", "ok", None, "MEDIUM"), ("so so", "ok", "ok", "coded", "HIGH"), (None, "ok", "error", None, "LOW"),
+    ]
+    assert got["breaks"]["scores"] == {"toxicity": 0.5, "error": 1.0}
+
+    def none(texts):
+        raise C.ModelUnavailable
+
+    got = {r["text"]: r for r in C.classify(d, lexicon, none).collect()}
+    assert got["fine"]["scores"] == {"toxicity": 0.5, "fallback": 1.0} and got["fine"]["score_outcome"] == "fallback" and got["bad"]["scores"] == {"lexicon_match": 1.0}
+    short = C.outcomes_of(lambda ts: [1] * (len(ts) - 1 if len(ts) > 1 else 1), ["a", "b"], 0, -1)
+    assert short == [(1, "ok"), (1, "ok")]  # too few results for a batch: one by one
+
+
+def test_length_of_messages(spark, lexicon):
+    d = spark.createDataFrame([(t,) for t in ("bad", "", None, "x" * 5000, "x" * 5001)], "text string").withColumns({"scores": F.lit(None).cast("map<string,double>"), "context_flag": F.lit(None).cast("boolean")})
+    assert sorted(len(r["text"]) for r in C.classify(d, lexicon, max_length=C.MESSAGE_LENGTH).collect()) == [3, 5000]
+    assert sorted(rows(C.outside_length(d).select("reason"))) == [("empty text",), ("empty text",), ("text too long",)]
+    assert C.classify(d, lexicon).count() == 5
+
+
+def test_sinks(spark, six, tmp_path):
+    full = six.withColumns({"language": F.lit("en"), "region": F.lit("x"), "is_urban": F.lit(True), "sender_hash": F.lit("h")})
+    many = full.crossJoin(spark.range(40).withColumnRenamed("id", "k")).withColumn("id", F.col("id") * 100 + F.col("k")).drop("k").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)  # else so few rows are one file
+    sinks.export_csv(many, str(tmp_path / "csv"), fields=["id", "timestamp"])
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    order = [r["file"] for r in sinks.export_order(spark, str(tmp_path / "csv")).collect()]
+    lines = [tuple(line.split(",")) for f in order for line in (tmp_path / "csv" / f).read_text().splitlines()[1:]]
+    want = sorted(((str(i), t.strftime("%Y-%m-%dT%H:%M:%S")) for i, t in rows(many.select("id", "timestamp"))), key=lambda x: (x[1], int(x[0])), reverse=True)
+    assert lines == want and len(order) > 1
+    for start in (None, T0 + timedelta(days=2)):
+        at = tmp_path / f"pack{start is None}"
+        sinks.export_pack(full, str(at), start)
+        ids = {int(r["id"]) for r in spark.read.option("header", True).csv(str(at / "reports")).collect()}
+        summary = {r["risk_level"]: r["n"] for r in spark.read.json(str(at / "summary")).collect()}
+        assert ids == {i for i, t in rows(full.select("id", "timestamp")) if start is None or t >= start} and sum(summary.values()) == len(ids) and set(summary) == {"HIGH", "MEDIUM", "LOW", "UNKNOWN"}
+    counts = spark.createDataFrame([("fetched", 5), ("verified", 2)], "outcome string, n long")
+    for job in ("one", "two"):  # the last run alone is kept
+        sinks.save_last_run(counts, job, "2024-01-30 10:00:00", str(tmp_path / "last"))
+    assert [(r["job_id"], r["counts"], str(r["finished_at"])) for r in sinks.last_run(spark, str(tmp_path / "last")).collect()] == [("two", {"fetched": 5, "verified": 2}, "2024-01-30 10:00:00")]
+    sinks.save_reports(full, str(tmp_path / "reports"))
+    sinks.save_reports(full.limit(1), str(tmp_path / "reports"))
+    back = spark.read.parquet(str(tmp_path / "reports"))
+    assert back.count() == 7 and {str(d) for (d,) in rows(back.select("date"))} == {str(t.date()) for (t,) in rows(full.select("timestamp"))}
+    for name in sorted(sinks.EXPORTS):
+        sinks.export_aggregate(full, name, str(tmp_path / name))
+        assert spark.read.option("header", True).csv(str(tmp_path / name)).count() == sinks.EXPORTS[name](full).count()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from veriscope.functions import enrich as E
 
@@ -62,17 +63,21 @@ def response_messages(df: DataFrame, risk: str = "risk_level", keyword: str | No
     return df.withColumn("messages", F.struct(*[said(templates.get(lang, templates["english"])).alias(lang) for lang in ("english", "swahili", "sheng")]))
 
 
-def classify(df: DataFrame, lexicon: DataFrame, scorer=None, context=None) -> DataFrame:
+def classify(df: DataFrame, lexicon: DataFrame, scorer=None, context=None, max_length: int | None = None) -> DataFrame:
     """df (text, scores, context_flag) with matched_keyword, scores, risk_level, explanation.
 
     A HIGH term settles a message, with scores {lexicon_match: 1.0}. Otherwise the scores decide, a context flag
-    lifts to HIGH, a MEDIUM term lifts LOW to MEDIUM. scorer and context are optional pandas functions (texts ->
-    list of score maps, texts -> list of booleans); they run on the messages that no HIGH term has settled.
+    lifts to HIGH, a MEDIUM term lifts LOW to MEDIUM. scorer and context are optional pandas functions (see
+    ``score_with``); they run on the messages that no HIGH term has settled, and add score_outcome, context_outcome and
+    context_reason (null for settled ones). With max_length, messages without text or with a longer one are left out;
+    ``outside_length`` has them.
     """
+    if max_length is not None:
+        df = df.where(_within(max_length))
     m = lexicon_match(df, lexicon)
     settled = F.coalesce(F.col("lexicon_level") == "HIGH", F.lit(False))
     if scorer or context:
-        m = m.where(settled).unionByName(score_with(m.where(~settled), scorer, context))
+        m = m.where(settled).unionByName(score_with(m.where(~settled), scorer, context), allowMissingColumns=True)
     scores = F.when(settled, F.create_map(F.lit("lexicon_match"), F.lit(1.0))).otherwise(F.col("scores"))
     flag = F.coalesce("context_flag", F.lit(False)) & ~settled
     by_score = E.level_of(E.analyser_score(F.col("scores")))
@@ -82,25 +87,57 @@ def classify(df: DataFrame, lexicon: DataFrame, scorer=None, context=None) -> Da
     return out.withColumn("explanation", why).drop("matched_term", "lexicon_level")
 
 
+#: Code points of a message that is taken for verification.
+MESSAGE_LENGTH = 5000
+
+
+def _within(most: int):
+    return F.coalesce(F.length("text").between(1, most), F.lit(False))
+
+
+def outside_length(df: DataFrame, most: int = MESSAGE_LENGTH) -> DataFrame:
+    """Messages without text, or with more than so many code points, with the reason."""
+    return df.where(~_within(most)).withColumn("reason", F.when(F.coalesce(F.length("text"), F.lit(0)) == 0, "empty text").otherwise("text too long"))
+
+
+class ModelUnavailable(Exception):
+    """Raised by a scorer that has no model: its messages get the fallback scores."""
+
+
+def outcomes_of(f, texts: list, fallback, failed) -> list[tuple]:
+    """(value, outcome) for each text. f takes all texts at once; where it fails, each text is tried alone, so that one bad
+    text costs its own result and no other. Outcomes: ok, fallback (no model), error."""
+    try:
+        got = list(f(texts))
+        if len(got) != len(texts):
+            raise ValueError("one result for each text is needed")
+        return [(x, "ok") for x in got]
+    except ModelUnavailable:
+        return [(fallback, "fallback")] * len(texts)
+    except Exception:  # a model's failure is a result, not the job's
+        return [(failed, "error")] if len(texts) == 1 else [x for t in texts for x in outcomes_of(f, [t], fallback, failed)]
+
+
 def score_with(df: DataFrame, scorer=None, context=None) -> DataFrame:
-    """df with scores and context_flag from user functions, loaded once for each Python worker's partition.
+    """df with scores and context_flag from user functions, loaded once for each Python worker's partition, and what
+    came of them: score_outcome, context_outcome (ok, fallback, error; null without that function) and context_reason.
 
-    A failing scorer gives {toxicity: 0.5, error: 1.0}, a failing context check false.
+    scorer takes texts and gives a map of scores each; without a model (``ModelUnavailable``) a message has {toxicity:
+    0.5, fallback: 1.0}, after an error {toxicity: 0.5, error: 1.0}. context takes texts and gives for each whether it is
+    flagged, or (flagged, reason); without a model or after an error nothing is flagged and there is no reason.
     """
 
     def run(batches):
         for b in batches:
             texts = b["text"].fillna("").tolist()
-            if scorer:
-                try:
-                    b["scores"] = [dict(x) for x in scorer(texts)]
-                except Exception:  # a model's failure is a result, not the job's
-                    b["scores"] = [{"toxicity": 0.5, "error": 1.0}] * len(b)
-            if context:
-                try:
-                    b["context_flag"] = [bool(x) for x in context(texts)]
-                except Exception:
-                    b["context_flag"] = False
+            b["score_outcome"], b["context_outcome"], b["context_reason"] = None, None, None
+            if scorer and len(b):
+                got = outcomes_of(scorer, texts, {"toxicity": 0.5, "fallback": 1.0}, {"toxicity": 0.5, "error": 1.0})
+                b["scores"], b["score_outcome"] = [{k: float(v) for k, v in x.items()} for x, _ in got], [o for _, o in got]
+            if context and len(b):
+                got = [(x if isinstance(x, tuple) else (x, ""), o) for x, o in outcomes_of(context, texts, (False, ""), (False, ""))]
+                b["context_flag"], b["context_reason"], b["context_outcome"] = [bool(x[0]) for x, _ in got], [x[1] or None for x, _ in got], [o for _, o in got]
             yield b
 
-    return df.mapInPandas(run, df.schema)
+    schema = StructType([*df.schema.fields, *(StructField(n, StringType()) for n in ("score_outcome", "context_outcome", "context_reason"))])
+    return df.mapInPandas(run, schema)

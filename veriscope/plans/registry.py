@@ -12,6 +12,7 @@ from veriscope.functions import text as X
 from veriscope.operators import analytics as A
 from veriscope.operators import classify as C
 from veriscope.operators import ingest as I
+from veriscope.operators import risk_model
 from veriscope.operators.automaton import lexicon_match_large
 from veriscope.operators.rollup import DayView
 from veriscope.sources import fixtures, landed_feeds, readers, sinks
@@ -450,6 +451,19 @@ def _ingestion_by_filters(spark, d):
     return I.decide(_prepared(spark, d), store, KEYWORDS).select("key", "action", "reason")
 
 
+# a model of one's own
+@query("risk_model")
+def _risk_model(spark, d):
+    """Documents with labels, their score by a model that has seen two thirds of them, and the level that comes of it."""
+    labels = fixtures.table(spark, d, "labels").select("doc_id", F.col("toxic").alias("label"))
+    known = _docs(spark, d).select("doc_id", "text").join(labels, "doc_id")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    model = risk_model.fit(known.where(~held_out), "doc_id")
+    scored = model.score(known, "doc_id")
+    level = risk_model.ensemble(F.lit("LOW"), F.col("custom_risk_score"))
+    return scored.select("doc_id", held_out.alias("held_out"), "label", F.round("custom_risk_score", 6).alias("custom_risk_score"), level.alias("risk_level"))
+
+
 # streams
 def _name(kind):
     return f"{kind}_{uuid.uuid4().hex}"

@@ -53,9 +53,16 @@ def select_fields(df: DataFrame, fields=None) -> DataFrame:
 
 
 def export_csv(df: DataFrame, path: str, start=None, end=None, fields=None) -> None:
+    """Reports, latest first: the parts of the range order are files, in the order that ``export_order`` gives."""
     select_fields(flatten(in_range(df, start, end).orderBy(F.desc("timestamp"), F.desc("id"))), fields).write.mode("overwrite").option("header", True).csv(path)
 
 
+def export_order(spark: SparkSession, path: str) -> DataFrame:
+    """place, file: the files of an export in the order of its rows. Spark numbers them by their part of the order."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select(F.regexp_extract("path", "[^/]+$", 0).alias("file"))
+    return files.select(F.regexp_extract("file", r"^part-(\d+)", 1).cast("int").alias("place"), "file").orderBy("place")
+
+
 def as_json_rows(df: DataFrame) -> DataFrame:
     return df.withColumn("timestamp", F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss"))
 
