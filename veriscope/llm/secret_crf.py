@@ -41,6 +41,7 @@ _RUN = re.compile(r"[A-Za-z0-9+/_.\-]+={0,2}")
 _TOKEN = re.compile(r"[A-Za-z0-9+/_.\-]+={0,2}|[^\sA-Za-z0-9+/_.\-]")
 #: Where a token that could be part of a secret can stand: at a digit, after : or =, or in a long run.
 _HINT = re.compile(r"[0-9]|[:=](?=[\"' ]{0,2}[A-Za-z+/_.\-])|[A-Za-z+/_\-]{20}")
+_UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\Z")
 _CONTEXT = 48
 #: Words that go before secrets (part of a word is enough).
 CUES = ("pass", "pwd", "secret", "token", "key", "auth", "bearer", "credential", "private", "access", "sig")
@@ -59,7 +60,7 @@ def _shape(token: str) -> list[str]:
     kind = next((k for k, p in _ALPHABETS if p.match(token)), "mixed")
     n, digits = len(token), sum("0" <= c <= "9" for c in token)
     changes = sum((a.isdigit(), a.isupper()) != (b.isdigit(), b.isupper()) for a, b in zip(token, token[1:]))
-    return [f"kind={kind}", f"size={min(n // 4, 12)}", f"kind={kind},size={min(n // 8, 5)}", f"digits={5 * digits // n}", f"changes={min(5 * changes // n, 4)}", f"variety={5 * len(set(token)) // min(n, 40)}"] + [f"prefix={p}" for p in PREFIXES if token.startswith(p)]
+    return [f"kind={kind}", f"size={min(n // 4, 12)}", f"kind={kind},size={min(n // 8, 5)}", f"digits={5 * digits // n}", f"changes={min(5 * changes // n, 4)}", f"variety={min(5 * len(set(token)) // min(n, 40), 5)}", f"uuid={_UUID.match(token) is not None}"] + [f"prefix={p}" for p in PREFIXES if token.startswith(p)]
 
 
 def _token_features(tokens: list[str], i: int, file: str) -> list[str]:
@@ -166,14 +167,17 @@ class Field:
         return y[::-1]
 
 
-def training_lines(n: int = 1200, seed: int = 11):
-    """Labelled lines: (text, spans of secrets)."""
+def training_lines(n: int = 2400, seed: int = 11):
+    """Labelled lines: (text, spans of secrets, kind of file). Secrets are up to thousands of characters long."""
     rng = random.Random(seed)
     low, up, dig = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
     some = lambda chars, a, b: "".join(rng.choice(chars) for _ in range(rng.randint(a, b)))
     word = lambda: some(low, 2, 9)
-    secret = [lambda: some(low[:6] + dig, 16, 48), lambda: some(low + up + dig, 16, 44), lambda: some(low + up + dig + "+/", 20, 60) + rng.choice(["", "=", "=="]), lambda: rng.choice(PREFIXES) + some(low + up + dig, 16, 40), lambda: "eyJ" + some(low + up + dig, 20, 30) + "." + some(low + up + dig + "_-", 20, 60), lambda: some(low + up, 4, 8) + some(dig, 2, 4) + some(low + up, 3, 8)]
-    plain = [lambda: f"{some(dig, 1, 3)}.{some(dig, 1, 3)}.{some(dig, 1, 3)}.{some(dig, 1, 3)}", lambda: f"{word()}.{some(dig, 1, 3)}@{word()}{some(dig, 1, 1)}.example", lambda: some(dig, 6, 19), lambda: f"+{some(dig, 2, 2)}-{some(dig, 3, 3)}-{some(dig, 4, 7)}", lambda: f"20{some(dig, 2, 2)}-0{some(dig, 1, 1)}-1{some(dig, 1, 1)}", lambda: some(low, 20, 40), lambda: f"https://{word()}.example.com/{word()}/{some(dig, 2, 6)}", lambda: f"{word()}{some(dig, 1, 2)}", lambda: f"{word()}_{word()}_{some(dig, 1, 3)}", lambda: f"{word()}-{word()}-{word()}-{word()}{some(dig, 0, 1)}", lambda: f"v{some(dig, 1, 2)}.{some(dig, 1, 2)}.{some(dig, 1, 3)}", lambda: f"{word().title()}{some(dig, 3, 4)}", lambda: f"{some(dig, 2, 4)}x{some(dig, 2, 4)}"]
+    length = lambda a: int(a * 2 ** (rng.random() ** 3 * 7))  # mostly short ones
+    long = lambda chars, a: some(chars, n := length(a), n)
+    secret = [lambda: some(low[:6] + dig, 16, 48), lambda: long(low + up + dig, 18), lambda: long(low + up + dig + "+/", 20), lambda: some(low + up + dig + "+/", 20, 60) + rng.choice(["", "=", "=="]), lambda: rng.choice(PREFIXES) + some(low + up + dig, 16, 40), lambda: "eyJ" + some(low + up + dig, 20, 30) + "." + some(low + up + dig + "_-", 20, 60), lambda: some(low + up, 4, 8) + some(dig, 2, 4) + some(low + up, 3, 8)]
+    uuid = lambda: "-".join(some(low[:6] + dig, k, k) for k in (8, 4, 4, 4, 12))
+    plain = [uuid, lambda: f"{some(dig, 12, 19)} {some(dig, 12, 19)}", lambda: " ".join(some(dig, 6, 17) for _ in range(rng.randint(2, 5))), lambda: f"+{some(dig, 1, 2)} ({some(dig, 3, 3)}) {some(dig, 3, 3)}-{some(dig, 4, 4)} {some(dig, 16, 16)}", lambda: f"{uuid()} {uuid()}", lambda: f"{some(dig, 1, 3)}.{some(dig, 1, 3)}.{some(dig, 1, 3)}.{some(dig, 1, 3)}", lambda: f"{word()}.{some(dig, 1, 3)}@{word()}{some(dig, 1, 1)}.example", lambda: some(dig, 6, 19), lambda: f"+{some(dig, 2, 2)}-{some(dig, 3, 3)}-{some(dig, 4, 7)}", lambda: f"20{some(dig, 2, 2)}-0{some(dig, 1, 1)}-1{some(dig, 1, 1)}", lambda: some(low, 20, 40), lambda: f"https://{word()}.example.com/{word()}/{some(dig, 2, 6)}", lambda: f"{word()}{some(dig, 1, 2)}", lambda: f"{word()}_{word()}_{some(dig, 1, 3)}", lambda: f"{word()}-{word()}-{word()}-{word()}{some(dig, 0, 1)}", lambda: f"v{some(dig, 1, 2)}.{some(dig, 1, 2)}.{some(dig, 1, 3)}", lambda: f"{word().title()}{some(dig, 3, 4)}", lambda: f"{some(dig, 2, 4)}x{some(dig, 2, 4)}"]
     out = []
     for _ in range(n):
         head = " ".join(word() for _ in range(rng.randint(0, 4)))
@@ -193,23 +197,24 @@ def training_lines(n: int = 1200, seed: int = 11):
             spans, body = [], rng.choice(plain)()
             lead = f"{head} {word()}{mark if rng.random() < 0.4 else ' '}"
             text = lead + body
-        out.append((text + rng.choice(["", '"', " ", ". "]) + tail, spans))
+        # a line of a file of settings is more often a secret's than one of prose
+        kinds = ("code", "code", "some", "prose") if spans and mark.strip() in "=:" else ("prose", "prose", "some", "code")
+        out.append((text + rng.choice(["", '"', " ", ". "]) + tail, spans, rng.choice(kinds)))
     return out
 
 
 def train(rounds: int = 5, rate: float = 0.3, decay: float = 1e-3, seed: int = 5) -> Field:
     """The field that fits the labelled lines; every occurrence counts, in a fixed order."""
     data = []
-    for text, spans in training_lines():
+    for text, spans, file in training_lines():
         for tokens, first, at in _runs(text):
-            rows = [_token_features(tokens, first + k, f) for f in ("prose",) for k in range(len(at))]
+            rows = [_token_features(tokens, first + k, file) for k in range(len(at))]
             labels = [2] * len(at)
             for a, b in spans:
                 inside = [k for k, (s, e) in enumerate(at) if s >= a and e <= b + 1]
                 for k in inside:
                     labels[k] = 0 if k == inside[0] else 1
             data.append((rows, labels))
-            data.append(([[x.replace("file=prose", "file=code") for x in r] for r in rows], labels))
     field = Field({f: i for i, f in enumerate(sorted({f for rows, _ in data for r in rows for f in r}))})
     rng = random.Random(seed)
     for k in range(rounds):
