@@ -3,6 +3,7 @@
 A page is cut into blocks of text at block-level tags. A block's features are its word count and link density, those
 of the blocks before and after it, and what stands around it (which kind of region, which tag). A small decision tree,
 trained on the labelled blocks of ``training_blocks``, says which blocks are content; they are joined in page order.
+Where a page's elements and names tell its regions, they weigh in; where they do not, words and links decide alone.
 
 Defined results: null, empty and text-free html give an empty text; unclosed and stray tags are taken as browsers
 take them (a new block ends the one before; an end tag without its start is ignored); an unclosed script, style or
@@ -244,28 +245,59 @@ AROUND = [
 ]
 
 
+#: What stands around content on pages whose names say nothing, with {} for a short text: lists of links, lines of
+#: several links, lines of small print, comments of a sentence or two. Content there is paragraphs and headings before them.
+PLAIN_AROUND = [
+    "<div><ul><li><a href=x>{}</a></li><li><a href=x>{}</a></li><li><a href=x>{}</a></li></ul></div>",
+    "<div><a href=x>{}</a> <a href=x>{}</a> <a href=x>{}</a> <a href=x>{}</a></div>",
+    "<div><div>{}</div><div><a href=x>{}</a></div></div>",
+    "<div><p>Photo by <a href=x>{}</a></p></div>",
+    "<div>{} <a href=x>{}</a></div>",
+    "<div><span>{}</span></div>",
+]
+
+
 def training_blocks(pages: int = 1500, seed: int = 7):
     """The labelled table: blocks of pages dealt from CONTENT and AROUND with texts of any length, in any order.
 
-    Returns features and whether the block is content. Sidebars, adverts and the like also stand inside articles.
+    Returns features and whether the block is content. Sidebars, adverts and the like also stand inside articles. A third
+    of the pages have no names that tell, so that there words and link density of a block and its neighbours must.
     """
     rng, xs, ys = random.Random(seed), [], []
 
     def text():
+        if bare:
+            return " ".join(["word"] * rng.randint(*size)) + rng.choice(mark)
         return " ".join(["word"] * int(math.exp(rng.uniform(0, 4.3)))) + rng.choice([".", "", "!"])
 
     def filled(p):
         return p.format(*[text() for _ in range(p.count("{}"))])
 
-    for _ in range(pages):
+    for k in range(pages):
+        bare = k % 3 == 2
+        if bare:
+            parts, size, mark = [], (1, 6), ["", "", "."]
+            for _ in range(rng.randrange(4)):
+                parts.append((filled(rng.choice(PLAIN_AROUND)), False))
+            size, mark = (12, 90), [".", ".", "!", "?"]
+            body = [(f"<p>{text()}</p>", True) for _ in range(rng.randint(2, 7))]
+            size, mark = (2, 12), [""]
+            parts += [(f"<div><h1>{text()}</h1>", True), *body, ("</div>", True)]
+            size, mark = (1, 6), ["", "", "."]
+            for _ in range(rng.randrange(4)):
+                parts.append((filled(rng.choice(PLAIN_AROUND)), False))
+            xs.append(features(blocks("<body>" + "".join(p for p, _ in parts))))
+            for p, y in parts:
+                ys.extend([y] * len(blocks(p)))
+            continue
         around = [(filled(rng.choice(AROUND)), False) for _ in range(rng.randrange(5))]
         content = filled(rng.choice(CONTENT))
-        k = rng.randrange(len(around) + 1)
-        parts = [*around[:k], (content, True), *around[k:]]
+        at = rng.randrange(len(around) + 1)
+        parts = [*around[:at], (content, True), *around[at:]]
         if content.startswith("<article><h1>") and rng.random() < 0.5:
             head, tail = content.split("</h1>")
             inside = filled(rng.choice([a for a in AROUND if "class=" in a or a.startswith(("<aside", "<form", "<footer", "<nav"))]))
-            parts[k : k + 1] = [(head + "</h1>", True), (inside, False), (tail, True)]
+            parts[at : at + 1] = [(head + "</h1>", True), (inside, False), (tail, True)]
         xs.append(features(blocks("<body>" + "".join(p for p, _ in parts))))
         for p, y in parts:
             ys.extend([y] * len(blocks(p)))
