@@ -32,7 +32,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veriscope.llm.common import fresh, released, table, written
+from veriscope.llm.common import fresh, released, settings, table, written
 
 #: Words broadcast at most, each of up to LONG code points.
 KEPT_WORDS, LONG = 1 << 18, 64
@@ -280,7 +280,9 @@ def tokenize(docs: DataFrame, path: str, pattern: str, text: str = "text", out:
     """docs without the text, with the ids of their texts: array<int> named out; and, if names are given, with the ids
     as little-endian unsigned 32-bit integers in one binary, and with the bytes that the ids decode to."""
     spark = docs.sparkSession
-    kept = frequent_words(docs, path, pattern, text).toArrow()  # at most KEPT_WORDS rows of at most LONG code points
+    # a plan that is neither made again as stages end nor spelt out: its literals have megabytes as text
+    with settings(spark, {"spark.sql.adaptive.enabled": "false", "spark.sql.maxPlanStringLength": "4096"}):
+        kept = frequent_words(docs, path, pattern, text).toArrow()  # at most KEPT_WORDS rows of at most LONG code points
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, kept.schema) as stream:
         stream.write_table(kept)
