@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 from veriscope.functions import text as X
 from veriscope.sources.scratch import landed
 
-DIM, PENALTY, STEPS, TOLERANCE = 512, 1.0, 25, 1e-9
-#: Sums that meet in one task of the tree.
-FAN = 16
+DIM, PENALTY, STEPS, TOLERANCE = 2048, 0.1, 25, 1e-9
+#: Sums that meet in one task of the tree: 34 MB each at DIM columns.
+FAN = 4
 HIGH, MEDIUM = 0.7, 0.4
 
 
@@ -95,11 +95,12 @@ class RiskModel:
 
     def score(self, docs: DataFrame, id_col: str, text: str = "text") -> DataFrame:
         """docs with custom_risk_score (0 to 1): documents without terms have the score of the constant."""
-        own = vectors(term_counts(docs, id_col, text, self.dim), self.idf)
-        weights = F.array(*[F.lit(float(b)) for b in self.beta[: self.dim]])
-        z = F.aggregate(F.zip_with("columns", "values", lambda c, v: F.get(weights, c) * v), F.lit(0.0), lambda a, x: a + x)
-        scored = own.select(F.col("id").alias("_id"), z.alias("_z"))
-        return docs.join(scored, F.col(id_col) == F.col("_id"), "left").withColumn("custom_risk_score", 1 / (1 + F.exp(-(F.coalesce("_z", F.lit(0.0)) + float(self.beta[self.dim]))))).drop("_id", "_z")
+        weights = docs.sparkSession.createDataFrame([(i, float(b)) for i, b in enumerate(self.beta[: self.dim])], "column int, weight double")
+        known = F.broadcast(self.idf.join(weights, "column"))  # dim rows at most
+        v = term_counts(docs, id_col, text, self.dim).join(known, "column").withColumn("v", (1 + F.log("tf")) * F.col("idf"))
+        scored = v.groupBy(F.col("id").alias("_id")).agg((F.sum(F.col("v") * F.col("weight")) / F.sqrt(F.sum(F.col("v") * F.col("v")))).alias("_z"))
+        z = F.coalesce("_z", F.lit(0.0)) + float(self.beta[self.dim])
+        return docs.join(scored, F.col(id_col) == F.col("_id"), "left").withColumn("custom_risk_score", 1 / (1 + F.exp(-z))).drop("_id", "_z")
 
 
 def fit(labelled: DataFrame, id_col: str = "id", text: str = "text", label: str = "label", dim: int = DIM, penalty: float = PENALTY) -> RiskModel:
