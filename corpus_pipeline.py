@@ -2,6 +2,14 @@
 
 Each stage takes all documents that the one before kept. The first four return the columns of documents; the last
 returns each document of the mix with its tokens.
+
+Defined results: null, empty and word-free texts fail the base rules and go in the first stage; where they reach a later
+stage by themselves, the near-duplicate stage and the secrets keep them as they are, the mix may take them (they add no
+words to it), and they have no tokens. Rows with a null id are documents like others; repeated rows of one id stay or go
+together in the near-duplicate stage. An empty table gives an empty one at every stage. Other columns go through the first
+four stages, whatever their names; the last keeps doc_id, lang and source. Texts are taken whole.
+The stages that call Python workers set the session's batch size (BATCH) where it is unset; it stays set, since
+their results are computed later.
 """
 
 from __future__ import annotations

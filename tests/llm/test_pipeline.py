@@ -26,3 +26,33 @@ def test_stages_take_effect(spark, small):
 
 def test_run(spark, small):
     assert corpus_pipeline.run(spark, small).count() > 0
+
+
+def odd(spark):
+    rows = [(0, None, "en", "s0", 0), (1, "", "en", None, 0), (2, " \n ", None, "s1", 3), (None, prose(4, 60), "en", "s0", 1), (4, prose(5, 60), "en", "s0", 1), (4, prose(5, 60), "en", "s0", 1), (5, "word " * 60_000, "en", "s1", 1), (6, prose(6, 60) + " token = 'abcdef123'", "en", "s1", 1), *[(i, prose(i, 60), "en", f"s{i % 2}", 1) for i in range(10, 30)]]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    return d.selectExpr("*", "'kept' as row", "1 as copies", "'x' as _n", "0 as component_id")
+
+
+def test_every_stage_takes_odd_tables(spark, small):
+    d = odd(spark)
+    whole = d.count()
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, d, small)
+        rows = got.collect()
+        if name != "byte_bpe":
+            assert got.columns == d.columns, name
+            assert {r["row"] for r in rows} <= {"kept"} and len(rows) > 0
+        if name == "quality_rules":
+            assert {0, 1, 2, 5}.isdisjoint({r["doc_id"] for r in rows})
+        elif name == "shingle_join":
+            assert {r["doc_id"] for r in rows} >= {0, 1, 2, 5, 6, *range(10, 30)}
+        elif name == "secret_crf":
+            assert len(rows) == whole and {r["doc_id"]: r["text"] for r in rows}[0] is None and "abcdef123" not in {r["doc_id"]: r["text"] for r in rows}[6]
+        elif name == "source_mix":
+            assert {5, 6} & {r["doc_id"] for r in rows}
+        else:
+            by = {r["doc_id"]: r for r in rows}
+            assert len(rows) == whole and by[0]["n_tokens"] == by[1]["n_tokens"] == 0 and by[5]["text"] == "word " * 60_000
+        none = stage(spark, d.limit(0), small)
+        assert none.count() == 0 and none.columns == got.columns
