@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veriscope.functions.text import let
+
 #: Letters of all terms together, up to which the automaton is used: its arrays then have at most some 80 MB.
 MAX_LETTERS = 2_000_000
 #: Letters of a text that a window steps over, beside the overlap; windows that step together (terms of over 128 letters
@@ -208,16 +210,19 @@ def match_by_grams(df: DataFrame, ranked: DataFrame, text: str, word_boundary: b
     distinct grams of the distinct texts; what shares a gram is verified. No side is assumed to be small."""
     from veriscope.operators.classify import has_term
 
-    grams = lambda c, q: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - (q - 1)), lambda p: F.substring(c, p, q)))
+    # by an array of the letters: places in a string are found by counting from its start
+    grams = lambda c, q: F.array_distinct(let(F.split(c, ""), lambda letters: F.transform(F.sequence(F.lit(1), F.length(c) - (q - 1)), lambda p: F.array_join(F.slice(letters, p, q), ""))))
     q = F.least(F.length("low"), F.lit(GRAM))
     options = ranked.withColumn("gram", F.explode(grams(F.col("low"), q)))
     common = options.groupBy("gram").agg(F.count("*").alias("n"))
     chosen = options.join(common, "gram").groupBy("low").agg(F.min(F.struct("n", "gram")).getField("gram").alias("gram"), F.first("rank").alias("rank"), F.first("risk_level").alias("risk_level"))
     sizes = sorted(r[0] for r in chosen.select(F.length("gram")).distinct().collect())  # GRAM numbers at most
     none = F.array().cast("array<string>")
-    texts = df.select(F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_text")).distinct()
-    cut = texts.select("_text", F.explode(F.concat(none, *[F.when(F.length("_text") >= n, grams(F.col("_text"), F.lit(n))).otherwise(none) for n in sizes])).alias("gram"))
-    met = cut.join(chosen, "gram").where(has_term(F.col("_text"), F.col("low"), word_boundary))
+    texts = df.select(F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_text")).distinct().withColumn("_key", F.xxhash64("_text"))
+    own = F.concat(none, *[F.when(F.length("_text") >= n, grams(F.col("_text"), F.lit(n))).otherwise(none) for n in sizes])
+    # only the text's number goes with each gram; texts meet their few terms once more, and two of one number do no harm
+    met = texts.select("_key", F.explode(own).alias("gram")).join(chosen, "gram").select("_key", "low", "rank", "risk_level")
+    met = met.join(texts, "_key").where(has_term(F.col("_text"), F.col("low"), word_boundary))
     first = met.groupBy("_text").agg(F.min(F.struct("rank", "risk_level")).alias("_hit"))
     out = df.withColumn("_of", F.lower(F.coalesce(F.col(text), F.lit("")))).join(first, F.col("_of") == F.col("_text"), "left")
     return out.withColumns({"matched_term": F.col("_hit.rank.term"), "lexicon_level": F.col("_hit.risk_level")}).drop("_of", "_text", "_hit")
