@@ -188,6 +188,37 @@ def test_embeddings(spark):
     assert embedding_dedup.near_duplicates(d.limit(0)).count() == 0
 
 
+def test_clustered_embeddings_stay_near_home(spark):
+    """Vectors of many narrow clusters are copied a few times at most, however many groups there are; links as by brute force."""
+    rng = np.random.default_rng(9)
+    at = rng.normal(size=(60, 48))
+    x = (np.repeat(at, 40, 0) + 0.12 * rng.normal(size=(2400, 48))).astype(np.float32)
+    x[:300] = x[0]  # a group of copies that no group holds
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    copies = embedding_dedup.dealt(d.toDF("id", "vec"), 0.95, group=100).groupBy("lo", "hi").agg(F.sum("n").alias("n")).collect()
+    groups = len({r["lo"] for r in copies} | {r["hi"] for r in copies})
+    assert groups >= 24 and sum(r["n"] for r in copies) <= 6 * len(x) and max(r["n"] for r in copies) <= 200
+    n = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    link = n @ n.T >= 0.95
+    np.fill_diagonal(link, False)
+    got = dict(rows(embedding_dedup.near_duplicates(d, group=100), "vec_id", "n_links"))
+    assert [got[i] for i in range(len(x))] == link.sum(1).tolist()
+
+
+def test_cells_of_groups():
+    """Cells lie in one group or are split into groups of their own; no group holds more than its size."""
+    counts = [(0, 10, 3), (0, 11, 4), (0, 12, 25), (1, 5, 2), (1, 6, 9), (2, 0, 1), (2, 179, 10)]
+    of, cells = embedding_dedup._groups(counts, 10)
+    held = {}
+    for (c, degree, n), (c2, degree2, first, parts) in zip(sorted(counts), of):
+        assert (c, degree) == (c2, degree2)
+        for g in range(first, first + parts):
+            held[g] = held.get(g, 0) + -(-n // parts)
+            assert any(cell[:2] == (g, c) and cell[2] <= degree <= cell[3] for cell in cells)
+    assert sorted(held) == list(range(len(held))) and max(held.values()) <= 10 and [c[0] for c in cells] == sorted(c[0] for c in cells)
+    assert embedding_dedup._groups([], 10) == ([], [])
+
+
 def test_error_bounds_hold():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(200, 64)) * rng.exponential(size=(200, 64))
