@@ -6,7 +6,7 @@ hash among those inside its first LENGTH bytes, so equal suffixes share a bucket
 
 1. each anchor's hash goes to a block with its text; anchors of a single text are dropped: nothing in their buckets
    can repeat. (Equal texts count as one here; copies of a text are settled by its hash.)
-2. the others send the bytes around them, which hold every suffix of the bucket, to their block;
+2. the others send the bytes around them that hold the suffixes of their bucket to their block;
 3. a block sorts one bucket offset at a time. Ranks of the samples at difference cover positions (COVER modulo PERIOD)
    are made first; a suffix is then compared by its bytes up to the next sample (fewer than PERIOD), the bytes after that
    sample, and its rank: 16 bytes instead of LENGTH, however long a tie is. Only equality of the first LENGTH bytes
@@ -57,9 +57,10 @@ def _extreme(x, n, f):
 
 
 def anchors(data: np.ndarray, ends: np.ndarray):
-    """Positions and hashes of all anchors in data, the texts that end at ends, one after the other."""
+    """Positions and hashes of all anchors in data, the texts that end at ends, one after the other; and for each position
+    the hashes of the suffixes that start up to LEAD bytes before it, in a row (0: none starts there)."""
     if len(data) < LENGTH:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     eight = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, 8)).view("<u8").ravel()
     n = len(data) - GRAM + 1
     h = eight[:n] * _M[0]
@@ -79,7 +80,7 @@ def anchors(data: np.ndarray, ends: np.ndarray):
     # an anchor is the least of some window around it
     padded = np.concatenate([np.zeros(WINDOW - 1, np.uint64), least, np.zeros(WINDOW - 1, np.uint64)])
     at = np.flatnonzero(_extreme(padded, WINDOW, np.maximum) == h)
-    return at, h[at]
+    return at, h[at], padded
 
 
 def _parts(texts):
@@ -121,7 +122,7 @@ def _send_anchors(blocks):
         for b in batches:
             hs, of = [], []
             for lo, _, data, ends in _parts(b["text"]):
-                at, h = anchors(data, ends)
+                at, h, _ = anchors(data, ends)
                 hs.append(h)
                 of.append(lo + np.searchsorted(ends, at, "right"))
             if not hs:
@@ -157,17 +158,18 @@ def _repeated(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"key": key[cut], "hs": [x.tobytes() for x in np.split(h, cut[1:])] if len(cut) else []})
 
 
-def _surroundings(data, ends, at):
-    """The AROUND bytes at each anchor, and its first and last suffix inside the text."""
+def _surroundings(data, ends, at, h, suffixes):
+    """The AROUND bytes at each anchor, the first and last suffix in them whose anchor it is, its text and where that begins."""
     text = np.searchsorted(ends, at, "right")
     begin = np.concatenate([[0], ends[:-1]])[text]
     padded = np.concatenate([np.zeros(LEAD, np.uint8), data, np.zeros(AROUND, np.uint8)])
     around = np.lib.stride_tricks.sliding_window_view(padded, AROUND)[at]
-    low = np.maximum(0, begin - (at - LEAD))
-    high = np.minimum(WINDOW - 1, ends[text] - LENGTH - (at - LEAD))
-    # bytes outside the text say nothing
-    place = at[:, None] - LEAD + np.arange(AROUND)
-    around[(place < begin[:, None]) | (place >= ends[text][:, None])] = 0
+    # these suffixes are neighbours: they lie between the nearest anchors of a lesser hash
+    own = np.lib.stride_tricks.sliding_window_view(suffixes, WINDOW)[at] == h[:, None]
+    low, high = own.argmax(1), WINDOW - 1 - own[:, ::-1].argmax(1)
+    # bytes outside these suffixes say nothing
+    place = np.arange(AROUND)
+    around[(place < low[:, None]) | (place >= high[:, None] + LENGTH)] = 0
     return around, low, high, text, begin
 
 
@@ -189,16 +191,15 @@ def _send_surroundings(blocks):
             ids, keys, wanted = b["id"].to_numpy(np.int64), b["key"].to_numpy(np.int64), [np.frombuffer(b"".join(x), np.uint64) for x in b["hs"]]
             got = []
             for lo, hi, data, ends in _parts(b["text"]):
-                at, h = anchors(data, ends)
+                at, h, suffixes = anchors(data, ends)
                 text = np.searchsorted(ends, at, "right")
                 cuts = np.searchsorted(text, np.arange(hi - lo + 1))
                 keep = np.concatenate([np.isin(h[a:e], wanted[lo + k]) for k, (a, e) in enumerate(zip(cuts[:-1], cuts[1:]))]) if len(at) else np.zeros(0, bool)
                 at, h = at[keep], h[keep]
                 if not len(at):
                     continue
-                around, low, high, text, begin = _surroundings(data, ends, at)
-                ok = low <= high
-                got.append((h[ok], ids[lo + text[ok]], keys[lo + text[ok]], (at - begin)[ok], low[ok], high[ok], around[ok]))
+                around, low, high, text, begin = _surroundings(data, ends, at, h, suffixes)
+                got.append((h, ids[lo + text], keys[lo + text], at - begin, low, high, around))
             if not got:
                 continue
             h, doc, key, pos, low, high, around = (np.concatenate(x) for x in zip(*got))
