@@ -127,14 +127,16 @@ def _send_anchors(blocks):
                 of.append(lo + np.searchsorted(ends, at, "right"))
             if not hs:
                 continue
-            h, of = np.concatenate(hs), np.concatenate(of)
+            # texts are numbered by key: equal ones are one, and keys in order need fewer bytes
+            keys, number = np.unique(b["key"].to_numpy(np.int64).view(np.uint64), return_inverse=True)
+            h, of = np.concatenate(hs), number[np.concatenate(of)]
             order = np.lexsort((of, h))
             h, of = h[order], of[order]
             new = np.concatenate([[True], (h[1:] != h[:-1]) | (of[1:] != of[:-1])]) if len(h) else np.zeros(0, bool)
-            h, of, keys = h[new], of[new], b["key"].to_numpy(np.int64)
+            h, of = h[new], of[new]
             for block, o in _by_block(h, blocks):
                 texts, which = np.unique(of[o], return_inverse=True)
-                yield pd.DataFrame({"block": [block], "h": [_planes(np.diff(h[o], prepend=np.uint64(0)))], "of": [_planes(which.astype("<u4"))], "keys": [keys[texts].tobytes()]})
+                yield pd.DataFrame({"block": [block], "h": [_planes(np.diff(h[o], prepend=np.uint64(0)))], "of": [_planes(which.astype("<u4"))], "keys": [_planes(np.diff(keys[texts], prepend=np.uint64(0)))]})
 
     return run
 
@@ -142,7 +144,7 @@ def _send_anchors(blocks):
 def _repeated(rows: pd.DataFrame) -> pd.DataFrame:
     """Of a block's anchors, those of two texts or more, by text."""
     h = np.concatenate([np.cumsum(_unplaned(x, np.uint64), dtype=np.uint64) for x in rows["h"]])
-    key = np.concatenate([np.frombuffer(k, np.int64)[_unplaned(x, "<u4")] for k, x in zip(rows["keys"], rows["of"])])
+    key = np.concatenate([np.cumsum(_unplaned(k, np.uint64), dtype=np.uint64).view(np.int64)[_unplaned(x, "<u4")] for k, x in zip(rows["keys"], rows["of"])])
     order = np.lexsort((key, h))
     h, key = h[order], key[order]
     start = np.concatenate([[True], h[1:] != h[:-1]])
