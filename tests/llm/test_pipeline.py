@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 pytest.importorskip("veriscope.llm")
@@ -56,3 +58,20 @@ def test_every_stage_takes_odd_tables(spark, small):
             assert len(rows) == whole and by[0]["n_tokens"] == by[1]["n_tokens"] == 0 and by[5]["text"] == "word " * 60_000
         none = stage(spark, d.limit(0), small)
         assert none.count() == 0 and none.columns == got.columns
+
+
+def test_written_leaves_no_shuffle_files(spark):
+    from pyspark.sql import functions as F
+
+    from veriscope.llm.common import written
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    files = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+    before, held = files(), spark.conf.get(key)
+    out = written(spark.range(1000).repartition(5).groupBy((F.col("id") % 7).alias("k")).agg(F.count("*").alias("n")), "shuffled")
+    for _ in range(50):  # the files go shortly after the write
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before and spark.conf.get(key) == held
+    assert sum(r["n"] for r in out.collect()) == 1000
