@@ -34,8 +34,13 @@ SHARD_IDS, PAIRS = 1 << 20, 2500
 END = 2
 #: Words kept with their ids in a worker; beyond, the store starts anew. Only speed depends on it.
 STORE = 1_500_000
-#: Marks that can end a word; the tokenizer cuts them off a letter or digit before them (fixed values).
-MARKS = ",.;:!?)"
+#: Marks that can end a word; the tokenizer cuts them off a letter or digit before them (fixed values). Not ">", with
+#: which the tokenizer's special tokens end.
+MARKS = "!\"#$%&'()*+,-./:;<=?@[\\]^_`{|}~"
+#: Letters and digits that stay single letters and digits in normal form and lower case: only after them marks are cut off.
+_STABLE = frozenset(map(chr, [*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC0, 0x250)])) - set("×÷İ")
+#: Texts whose new words are learnt together.
+TEXTS = 512
 
 SHARD_SCHEMA = "part int, shard int, doc_ids array<long>, offsets binary, n_ids long, first int, rules binary, lengths binary, stream binary"
 
@@ -67,12 +72,19 @@ def encoder(vocabulary: str):
 
     def learn(words):
         """Puts words into the store."""
-        cores = {}
+        new, made = set(), []
         for w in words:
             core = w.rstrip(MARKS)
-            # cut where a letter or digit, in lower case or not, stands before marks
-            cores[w] = core.lower() if core and core.isascii() and core[-1].isalnum() else w
-        new = {c for w, c in cores.items() if c not in store} | {w[len(c) :] for w, c in cores.items() if len(c) < len(w) and w[len(c) :] not in store}
+            if core is not w and core != w:
+                if core and core[-1] in _STABLE:
+                    new.add(w[len(core) :])
+                else:
+                    core = w
+            low = core.lower() if core.isascii() else core
+            new.add(low)
+            if low != w:
+                made.append((w, low, w[len(core) :]))
+        new = new.difference(store)  # not difference_update, which walks the whole store
         letters = [w for w in new if w.isalpha()]
         one_by_one([w for w in new if not w.isalpha()])
         for lo in range(0, len(letters), 2000):
@@ -86,9 +98,8 @@ def encoder(vocabulary: str):
                     at = end
             else:  # some letter in lower case is more than letters
                 one_by_one(part)
-        for w, core in cores.items():
-            if w not in store:
-                store[w] = store[core] + store[w[len(core) :]] if len(core) < len(w) else store[core]
+        for w, low, marks in made:
+            store[w] = store[low] + store[marks] if marks else store[low]
 
     def encode(texts: list[str]) -> list[np.ndarray]:
         cut = [None if _ODD.search(t) else t.split() for t in texts]
@@ -207,8 +218,8 @@ def _write(vocabulary, end, shard_ids):
         for b in batches:
             texts = b["text"].tolist()
             own = [None if pd.isna(i) else int(i) for i in b["id"]]
-            for lo in range(0, len(texts), 128):
-                for i, x in zip(own[lo : lo + 128], encode(texts[lo : lo + 128])):
+            for lo in range(0, len(texts), TEXTS):
+                for i, x in zip(own[lo : lo + TEXTS], encode(texts[lo : lo + TEXTS])):
                     docs.append(i)
                     ids.append(x)
                     size += len(x) + 1
