@@ -60,3 +60,28 @@ def test_stream_equals_batch_over_restarts(spark, tmp_path):
     land(tmp_path / "in", "g.xml", RSS.format(ITEM.format(9)), 2000)
     again = run()
     assert len(again) == len(first) + 1 and again == plain(L.feed_items(spark, str(tmp_path / "in")))
+
+
+def test_a_file_is_held_item_by_item(tmp_path):
+    import subprocess
+    import sys
+
+    # items in items, items that hold much, texts outside of items, and a file that breaks at its end
+    nested = "<rss>x<item><title>a</title><entry><title>b</title><link>u</link></entry></item>y<item><title>c<i>d</i></title></item></rss>"
+    land(tmp_path, "n.xml", nested, 1)
+    got = list(L.read_files(str(tmp_path), L.Files([str(tmp_path / "n.xml"), str(tmp_path / "none.xml")])))
+    assert [r[1:4] for r in got[:-1]] == [(0, "a", None), (1, "b", "u"), (2, "cd", None)] and got[-1][-1] == "not readable: FileNotFoundError"
+    many = "".join(f"<item><title>{i}</title><description>{'word ' * 200}</description></item>" for i in range(60_000))
+    land(tmp_path, "big.xml", f"<rss><channel>{many}</channel></rss>", 2)
+    land(tmp_path, "torn.xml", f"<rss><channel>{many}</channel>", 3)
+    code = f"""
+import resource
+from veriscope.sources import landed_feeds as L
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+big = sum(r[-1] is None for r in L.read_files({str(tmp_path)!r}, L.Files([{str(tmp_path / "big.xml")!r}])))
+torn = [r[-1][:6] for r in L.read_files({str(tmp_path)!r}, L.Files([{str(tmp_path / "torn.xml")!r}]))]
+print(big, torn, (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__)))).stdout.split(" [", 1)
+    torn, mb = out[1].rsplit("] ", 1)
+    assert (out[0], torn) == ("60000", "'no xml'") and float(mb) < 60  # the file has 62 MB

@@ -5,8 +5,8 @@
     spark.readStream.format("landed_feeds").option("maxFiles", 100).load(folder)
 
 A row for each item: file, item (its number in the file), title, link, description, summary, reason. A file that cannot
-be read as xml gives one row with the reason and nothing else, so that nothing is lost silently. Files are dealt to tasks by
-size. A stream's offset is the last file taken, in order of landing (time, then name): a file lands by a rename into
+be read as xml gives one row with the reason and nothing else, so that nothing is lost silently. A file is parsed as a stream:
+a task holds one item at a time, however large its files are. Files are dealt to tasks by size. A stream's offset is the last file taken, in order of landing (time, then name): a file lands by a rename into
 the folder, and one that changes afterwards is taken again as a new landing. What is read belongs to offsets alone, so a
 restart reads nothing twice and nothing less.
 
@@ -26,6 +26,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 
 SCHEMA = "file string, item int, title string, link string, description string, summary string, reason string"
 ENDINGS = (".xml", ".rss", ".atom")
+ITEMS = ("item", "entry")
 #: Bytes of files that a task reads, and files that a batch of a stream takes, unless options (taskBytes, maxFiles) say otherwise.
 TASK_BYTES, MAX_FILES = 32 << 20, 1000
 
@@ -69,37 +70,74 @@ def _text(element) -> str:
     return "".join(element.itertext())
 
 
-def items_of(path: str, data: bytes) -> Iterator[tuple]:
-    """Rows of a feed file: rss items and atom entries."""
+def _item(path: str, k: int, e) -> tuple:
+    own: dict[str, str] = {}
+    for c in e:
+        name = _plain(c.tag)
+        value = (c.get("href") or _text(c)) if name == "link" else _text(c)
+        if name == "link" and c.get("rel", "alternate") != "alternate":
+            continue
+        own.setdefault(name, value.strip() if name == "link" else value)
+    return path, k, own.get("title"), own.get("link"), own.get("description") or own.get("content") or own.get("encoded"), own.get("summary"), None
+
+
+def _outermost(file) -> Iterator:
+    """The items of a feed that lie in no other, each with all below it; at last the root's tag. What has been given, and what lies
+    outside of items, is let go, so that one item is held at a time."""
+    open_, inside, root = [], 0, None
+    for event, e in ET.iterparse(file, ("start", "end")):
+        item = _plain(e.tag) in ITEMS
+        if event == "start":
+            root = e.tag if root is None else root
+            open_.append(e)
+            inside += item
+            continue
+        open_.pop()
+        inside -= item
+        if inside:
+            continue
+        if item:
+            yield e
+        e.clear()
+        if open_:
+            open_[-1].clear()
+    yield root
+
+
+def rows_of(path: str, opened) -> Iterator[tuple]:
+    """Rows of a feed file: rss items and atom entries. opened() opens it; it is read twice, first to see that it is whole,
+    as a bad file gives no items."""
+    n, root = 0, ""
     try:
-        root = ET.fromstring(data)
+        with opened() as f:
+            for x in _outermost(f):
+                if isinstance(x, str):
+                    root = _plain(x)
+                else:
+                    n += 1
+        if not n and root not in ("rss", "feed", "rdf"):
+            yield path, None, None, None, None, None, f"no feed: {root}"
     except (ET.ParseError, ValueError, LookupError) as e:
         yield path, None, None, None, None, None, f"no xml: {e}"
         return
-    found = [e for e in root.iter() if _plain(e.tag) in ("item", "entry")]
-    if not found and _plain(root.tag) not in ("rss", "feed", "rdf"):
-        yield path, None, None, None, None, None, f"no feed: {_plain(root.tag)}"
-    for k, e in enumerate(found):
-        own: dict[str, str] = {}
-        for c in e:
-            name = _plain(c.tag)
-            value = (c.get("href") or _text(c)) if name == "link" else _text(c)
-            if name == "link" and c.get("rel", "alternate") != "alternate":
-                continue
-            own.setdefault(name, value.strip() if name == "link" else value)
-        yield path, k, own.get("title"), own.get("link"), own.get("description") or own.get("content") or own.get("encoded"), own.get("summary"), None
+    except OSError as e:
+        yield path, None, None, None, None, None, f"not readable: {type(e).__name__}"
+        return
+    if not n:
+        return
+    k = 0
+    with opened() as f:
+        for x in _outermost(f):
+            for e in x.iter() if not isinstance(x, str) else ():
+                if _plain(e.tag) in ITEMS:
+                    yield _item(path, k, e)
+                    k += 1
 
 
 def read_files(folder: str, part: Files) -> Iterator[tuple]:
     system, _ = _system(folder)
     for path in part.paths:
-        try:
-            with system.open_input_stream(path) as f:
-                data = f.read()
-        except OSError as e:
-            yield path, None, None, None, None, None, f"not readable: {type(e).__name__}"
-            continue
-        yield from items_of(path, data)
+        yield from rows_of(path, lambda path=path: system.open_input_stream(path))
 
 
 def _endings(options) -> tuple[str, ...]:
