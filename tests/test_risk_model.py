@@ -1,6 +1,7 @@
 """The risk model against a direct solve, and on labelled documents it has not seen."""
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from veriscope.operators import risk_model as M
@@ -49,3 +50,15 @@ def test_held_out_documents(spark):
         pytest.skip("no test tables here")
     got = registry.QUERIES["risk_model"](spark, d)
     assert M.auc(got.where("held_out")).first()["auc"] > 0.7
+
+
+def test_sums_are_made_in_tasks_of_their_own(spark):
+    """However few tasks the sums meet in, those that make them stay as many as there are partitions."""
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        list(batches)
+        yield pd.DataFrame({"sums": [np.array([2.0 ** TaskContext.get().partitionId()]).tobytes()]})
+
+    assert M.tree_sum(spark.range(0, 12, 1, 12).mapInPandas(run, "sums binary")).tolist() == [2.0**12 - 1]

@@ -79,12 +79,17 @@ def _add(batches):
 
 
 def tree_sum(parts: DataFrame) -> np.ndarray:
-    """The sum of rows of bytes: FAN of them meet in a task, then FAN of what is left, until one task's are left."""
+    """The sum of rows of bytes: FAN of them meet in a task, then FAN of what is left, until one task's are left.
+
+    Sums go through an exchange to where they meet: merged without one, the tasks before would run in as few tasks, and
+    one after the other where the last of them are fetched.
+    """
     n = parts.rdd.getNumPartitions()
-    while n > FAN:
+    while True:
         n = -(-n // FAN)
-        parts = parts.coalesce(n).mapInPandas(_add, "sums binary")
-    return sum(np.frombuffer(r["sums"]) for r in parts.toLocalIterator())
+        parts = parts.repartition(n, F.spark_partition_id() % n).mapInPandas(_add, "sums binary")
+        if n == 1:
+            return sum(np.frombuffer(r["sums"]) for r in parts.toLocalIterator())
 
 
 @dataclass
