@@ -51,3 +51,17 @@ def test_same_as_the_small_matcher(spark):
         assert [x.replace("'bad'", "'Bad'") for x in same[0]] == [x.replace("'bad'", "'Bad'") for x in same[1]] == [x.replace("'bad'", "'Bad'") for x in same[2]]
     assert M.lexicon_match_large(d, lexicon.limit(0)).where("matched_term is not null").count() == 0
     assert M.lexicon_match_large(d.limit(0), lexicon).count() == 0 and M.match_by_grams(d, M.ranked_terms(lexicon.limit(0)), "text", False).count() == d.count()
+
+
+def test_memory_does_not_grow_with_the_texts_of_a_batch(monkeypatch):
+    import tracemalloc
+
+    auto, text = M.compile_terms(["needle", "hay"]), "x" * 10_000
+    tracemalloc.start()
+    M.first_terms([text] * 4000, auto)  # 160 MB as code points
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6
+    monkeypatch.setattr(M, "LETTERS_AT_ONCE", 12)
+    assert M.first_terms(["", "a hay needle", "hay", "none", "x" * 30 + "hay", "", "needle"], auto).tolist() == [M.NONE, 0, 1, M.NONE, 1, M.NONE, 0]
+    assert len(M.first_terms([], auto)) == 0

@@ -26,6 +26,8 @@ MAX_LETTERS = 2_000_000
 #: Letters of a text that a window steps over, beside the overlap; windows that step together (terms of over 128 letters
 #: widen the windows, and then fewer of them step together).
 WINDOW, TOGETHER = 512, 4096
+#: Letters of texts that are held as code points (four bytes each) at once.
+LETTERS_AT_ONCE = 2_000_000
 #: The longest grams by which terms are looked for beyond MAX_LETTERS.
 GRAM = 4
 
@@ -130,7 +132,21 @@ def _word_letter(c: str) -> bool:
 
 def first_terms(texts: list[str], auto: Automaton, word_boundary: bool = False) -> np.ndarray:
     """For each text the least number of a term that it contains, NONE if there is none. With word_boundary, a term
-    counts where at its beginning and at its end a letter of a word and something else (or the text's end) meet."""
+    counts where at its beginning and at its end a letter of a word and something else (or the text's end) meet.
+
+    Texts are spread out into code points up to LETTERS_AT_ONCE together; a longer one by itself, and whole."""
+    out, low = [np.zeros(0, np.int32)], 0
+    while low < len(texts):
+        high, letters = low + 1, len(texts[low])
+        while high < len(texts) and letters + len(texts[high]) <= LETTERS_AT_ONCE:
+            letters += len(texts[high])
+            high += 1
+        out.append(_first_terms(texts[low:high], auto, word_boundary))
+        low = high
+    return np.concatenate(out)
+
+
+def _first_terms(texts: list[str], auto: Automaton, word_boundary: bool) -> np.ndarray:
     best = np.full(len(texts), NONE, np.int32)
     if not len(auto.sizes):
         return best
