@@ -292,6 +292,69 @@ def test_windows_by_rule():
         assert np.allclose(top[i], np.concatenate(want), atol=1e-5)
 
 
+def test_toxicity_learns_from_every_labelled_text(spark):
+    # 8,000 rows of 12,600 do not tell what is toxic: only the others have the word, and only texts of over 200,000 code points
+    ids = spark.range(12_600).where(~toxic_cnn.held_out(F.col("id")))
+    order = [r["id"] for r in ids.orderBy(F.xxhash64("id"), "id").collect()]
+    assert len(order) > 8_100
+    late, early = set(order[8_000::4]), set(order[:8_000:40])
+    text = F.when(F.col("doc_id").isin(*late), F.concat(F.lit("calm vile"), F.repeat(F.lit(" "), 200_000))).when(F.col("doc_id").isin(*early), "calm rotten water").otherwise("calm green water")
+    d = spark.range(12_600).withColumnRenamed("id", "doc_id").select("doc_id", text.alias("text"), F.lit("en").alias("lang"))
+    labels = d.select("doc_id", F.lit(1).alias("quality"), (~F.col("text").contains("green")).cast("int").alias("toxic"))
+    model = toxic_cnn.train_on(d, labels)
+    calm, rotten, vile = model.score(["calm green water", "calm rotten water", "calm vile"])
+    assert calm < 0.1 and rotten > 0.7 and vile > 0.7
+
+
+def test_toxicity_in_shards(spark, monkeypatch):
+    texts = [prose(i, 30) + (" vile" if i % 4 == 0 else "") for i in range(900)] + ["vile " * 2_000]
+    d, y = documents(spark, texts), [int(i % 4 == 0) for i in range(901)]
+    labels = spark.createDataFrame([(i, 1, k) for i, k in enumerate(y)], "doc_id long, quality int, toxic int")
+    one = toxic_cnn.train_on(d, labels)
+    # one shard: the training of its rows in order, in memory
+    own = d.where(~toxic_cnn.held_out(F.col("doc_id")) & (F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(toxic_cnn.CALIBRATE)) > 0))
+    learnt = [r["doc_id"] for r in own.orderBy(F.xxhash64("doc_id", F.lit(1))).collect()]
+    keys, toxic = toxic_cnn.keys_of([texts[i] for i in learnt]), np.array([y[i] for i in learnt])
+    plain = toxic_cnn.Cnn()
+    plain.seed_words(toxic_cnn._word_counts(keys, toxic), int((1 - toxic).sum()), int(toxic.sum()))
+    past = plain.new_past()
+    for _ in range(toxic_cnn.ROUNDS):
+        for part in toxic_cnn.steps([(0, b, k) for b, k in zip(toxic, keys)]):
+            plain.learn([k for _, _, k in part], [b for _, b, _ in part], toxic.mean(), past)
+    assert np.allclose(one.params, plain.params, atol=1e-3)
+    # several: the same model however the rows come in
+    monkeypatch.setattr(toxic_cnn, "SHARD_ROWS", 100)
+    some = [toxic_cnn.train_on(d.repartition(n), labels.repartition(n)) for n in (1, 9)]
+    assert (some[0].params == some[1].params).all() and (some[0].scale, some[0].shift, some[0].limits) == (some[1].scale, some[1].shift, some[1].limits)
+    held = [i for i in range(900) if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert np.mean([(s >= 0.7) == y[i] for i, s in zip(held, some[0].score([texts[i] for i in held]))]) > 0.97
+
+
+def test_labelled_texts_are_all_found(spark):
+    d = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("a").alias("text"), F.lit("en").alias("lang"))
+    labels = spark.range(0, 30_000, 3).select(F.col("id").alias("doc_id"), F.lit(1).alias("toxic"))
+    want = {i for i in range(0, 20_000, 3) if zlib.crc32(str(i).encode()) % 3 != 1}
+    for ids in ("long", "string"):
+        own = toxic_cnn.labelled(d.withColumn("doc_id", F.col("doc_id").cast(ids)), labels.union(labels.limit(50)).withColumn("doc_id", F.col("doc_id").cast(ids)), "doc_id", "text", "lang", "toxic")
+        got = [int(r["id"]) for r in own.collect()]
+        assert len(got) == len(want) and set(got) == want
+    usable = labels.withColumnRenamed("doc_id", "id")
+    left = toxic_cnn._maybe(d.withColumnRenamed("doc_id", "id"), usable).count()
+    assert 6_667 <= left < 6_667 + 13_333 * 0.1  # one id in some 16 goes on in vain
+
+
+def test_long_texts_in_pieces(monkeypatch):
+    model, texts = toxic_cnn.Cnn(), [prose(i, 5 + 13 * i) for i in range(12)] + [""]
+    whole, raw = model.pooled(*toxic_cnn.encode(texts), True), model.raw(texts)
+    monkeypatch.setattr(toxic_cnn, "PLACES_AT_ONCE", 17)
+    monkeypatch.setattr(toxic_cnn, "CHARS_AT_ONCE", 100)
+    pieces = model.pooled(*toxic_cnn.encode(texts), True)
+    assert (whole[0] == pieces[0]).all() and all((a == b).all() for a, b in zip(whole[1], pieces[1])) and (raw == model.raw(texts)).all()
+    of_keys, _ = model.pooled(*toxic_cnn.numbered(toxic_cnn.keys_of(texts)), True)
+    assert (whole[0] == of_keys).all()
+    assert [len(p) for p in toxic_cnn.steps([(k // 600, 0, b"x") for k in range(1_200)])] == [256, 256, 88, 256, 256, 88]
+
+
 # 5
 def counts_by_rule(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", t)
